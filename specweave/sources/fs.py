@@ -71,13 +71,7 @@ def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _fs(spark, path)
     stream = fs.open(p)
     try:
-        length = int(fs.getFileStatus(p).getLen())
-        buf = bytearray(length)
-        stream.readFully(0, buf)
-        return bytes(buf).decode("utf-8")
+        return str(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
 
-
-def link_or_record(spark: SparkSession, src: str, dst: str) -> None:  # pragma: no cover - doc only
-    raise NotImplementedError("staging uses a path manifest, see sources.files.stage_dataset")

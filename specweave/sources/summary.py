@@ -51,7 +51,7 @@ def read_summary(spark: SparkSession, out: str) -> DataFrame:
 
 def split_summaries(spark: SparkSession, out: str) -> DataFrame:
     """``(split, counts map, ir_lengths map)`` rows from a summary file."""
-    text = spark.read.option("wholetext", True).text(f"{out.rstrip('/')}/{SUMMARY_FILE}")
+    text = spark.read.text(f"{out.rstrip('/')}/{SUMMARY_FILE}", wholetext=True)
     schema = T.StructType([T.StructField("splits", T.MapType(T.StringType(), HCIR_SPLIT_SCHEMA))])
     parsed = text.select(F.from_json("value", schema).alias("s"))
     return parsed.select(F.explode("s.splits").alias("split", "v")).select(
@@ -68,7 +68,7 @@ def write_ready(spark: SparkSession, out: str, rows: dict[str, int]) -> str:
 
 def read_ready(spark: SparkSession, out: str) -> DataFrame:
     """``(split, rows)`` from a ready marker."""
-    text = spark.read.option("wholetext", True).text(f"{out.rstrip('/')}/{READY_FILE}")
+    text = spark.read.text(f"{out.rstrip('/')}/{READY_FILE}", wholetext=True)
     parsed = text.select(F.from_json("value", "rows map<string,bigint>").alias("r"))
     return parsed.select(F.explode("r.rows").alias("split", "rows"))
 
