@@ -66,7 +66,7 @@ def _finish(raw: Column) -> Column:
                                       S.py_repr_double(raw["mz"]), F.lit(", "), S.py_repr_double(raw["intensity"])))
         .otherwise(raw["message"])
     )
-    return F.when(raw.isNotNull(), raw.withField("message", message))
+    return F.when(raw["rule"].isin("C10", "C12"), raw.withField("message", message)).otherwise(raw)
 
 
 def _first(*errors: Column) -> Column:

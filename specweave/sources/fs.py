@@ -75,3 +75,9 @@ def read_text(spark: SparkSession, path: str) -> str:
     finally:
         stream.close()
 
+
+def rename(spark: SparkSession, src: str, dst: str) -> None:
+    fsys, p = _fs(spark, src)
+    _, q = _fs(spark, dst)
+    if not fsys.rename(p, q):
+        raise OSError(f"could not rename {src} to {dst}")

@@ -28,42 +28,68 @@ TARGET_PARTITION_BYTES = 128 << 20
 
 
 def number_chunks(df: DataFrame, chunk_cols: list[str], row_col: str, out_col: str = "line_number",
-                  broadcast_ok: bool = True) -> DataFrame:
+                  broadcast_ok: bool = True, group_cols: list[str] | None = None) -> DataFrame:
     """Turn a within-chunk position into a global 1-based position.
 
     ``row_col`` increases by one per row inside a chunk, in order; chunks are
-    ordered by ``chunk_cols``.  Used for text splits (file, block start,
-    monotonically increasing id) and Parquet files (file, row index).
+    ordered by ``chunk_cols`` and numbered independently per ``group_cols``.
+    Used for text splits (file, block start, monotonically increasing id)
+    and Parquet files (file, row index).
     """
-    chunks = df.groupBy(*chunk_cols).agg(F.count(F.lit(1)).alias("_n"), F.min(row_col).alias("_first"))
-    # The chunk table is tiny (files + partitions); a single ordered window
-    # over it is cheap and deterministic.
-    before = Window.orderBy(*chunk_cols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.select(*chunk_cols, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    group_cols = group_cols or []
+    keys = [*group_cols, *chunk_cols]
+    chunks = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(row_col).alias("_first"))
+    # The chunk table is tiny (files + partitions); an ordered window over
+    # it is cheap and deterministic.
+    before = Window.partitionBy(*group_cols).orderBy(*chunk_cols).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = chunks.select(*keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     if broadcast_ok:
         offsets = F.broadcast(offsets)
     return (
-        df.join(offsets, chunk_cols)
+        df.join(offsets, keys)
         .withColumn(out_col, (F.col("_off") + F.col(row_col) - F.col("_first") + F.lit(1)).cast("long"))
         .drop("_off", "_first")
     )
 
 
-def read_lines(spark: SparkSession, path: str, value_col: str = "value") -> DataFrame:
-    """``(line_number, value)`` for a text file or a directory of part files.
+def _qualified(spark: SparkSession, path: str) -> str:
+    fsys, p = fs._fs(spark, path)
+    return str(fsys.makeQualified(p).toString()).rstrip("/")
 
-    Lines are numbered across part files in file-name order, as if the
-    parts were concatenated.  Line breaks: ``\\n``, ``\\r\\n``, ``\\r``.
+
+def read_line_groups(spark: SparkSession, groups: dict[str, str], value_col: str = "value") -> DataFrame:
+    """``(group, line_number, value)`` for several text inputs in ONE scan.
+
+    ``groups`` maps a name to a text file or a directory of part files;
+    each group is numbered on its own, across its part files in name
+    order.  One scan and one chunk table serve all groups.
     """
-    raw = spark.read.text(path).select(
+    names = list(groups)
+    prefixes = {g: _qualified(spark, groups[g]) for g in names}
+    raw = spark.read.text([groups[g] for g in names]).select(
         F.col("value").alias(value_col),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
+    group = None
+    for g in names:
+        hit = (F.col("_file") == prefixes[g]) | F.col("_file").startswith(prefixes[g] + "/")
+        group = F.when(hit, F.lit(g)) if group is None else group.when(hit, F.lit(g))
+    raw = raw.withColumn("_group", group)
     bound = raw.rdd.getNumPartitions() + len(raw.inputFiles())
-    numbered = number_chunks(raw, ["_file", "_block"], "_row", broadcast_ok=bound <= BROADCAST_MAX_CHUNKS)
-    return numbered.select("line_number", value_col)
+    numbered = number_chunks(raw, ["_file", "_block"], "_row", broadcast_ok=bound <= BROADCAST_MAX_CHUNKS,
+                             group_cols=["_group"])
+    return numbered.select(F.col("_group").alias("group"), "line_number", value_col)
+
+
+def read_lines(spark: SparkSession, path: str, value_col: str = "value") -> DataFrame:
+    """A2: ``(line_number, value)`` for a text file or a directory of part files.
+
+    Lines are numbered across part files in file-name order, as if the
+    parts were concatenated.  Line breaks: ``\\n``, ``\\r\\n``, ``\\r``.
+    """
+    return read_line_groups(spark, {"_": path}, value_col).select("line_number", value_col)
 
 
 def split_paths(view: str, split: str) -> tuple[str, str]:
@@ -109,43 +135,52 @@ def align(src: DataFrame, tgt: DataFrame, n_partitions: int | None = None) -> Da
 def read_aligned(spark: SparkSession, view: str, splits=None, max_molecules: int = 0) -> DataFrame:
     """A1: ``(split, line_number, source, target)`` for all splits of a view.
 
-    With ``max_molecules`` N, lines beyond N+1 are dropped before the
-    shuffle: the reference checks alignment up to line N+1, parses up to N.
+    All source files are read by one scan, all target files by another.  With
+    ``max_molecules`` N, lines beyond N+1 are dropped before the shuffle:
+    the reference checks alignment up to line N+1 and parses up to N.
     """
     splits = list(splits or SPLITS)
-    srcs, tgts, paths = [], [], []
-    for split in splits:
-        s_path, t_path = split_paths(view, split)
-        paths += [s_path, t_path]
-        srcs.append(read_lines(spark, s_path, "source").withColumn("split", F.lit(split)))
-        tgts.append(read_lines(spark, t_path, "target").withColumn("split", F.lit(split)))
-    src, tgt = srcs[0], tgts[0]
-    for s, t in zip(srcs[1:], tgts[1:]):
-        src, tgt = src.unionByName(s), tgt.unionByName(t)
+    paths = {split: split_paths(view, split) for split in splits}
+    # One scan per side: each file is read once for its chunk table and
+    # once for its lines.
+    src = read_line_groups(spark, {s: p[0] for s, p in paths.items()}, "source")
+    tgt = read_line_groups(spark, {s: p[1] for s, p in paths.items()}, "target")
+    src = src.select(F.col("group").alias("split"), "line_number", "source")
+    tgt = tgt.select(F.col("group").alias("split"), "line_number", "target")
     if max_molecules:
         src = src.where(F.col("line_number") <= max_molecules + 1)
         tgt = tgt.where(F.col("line_number") <= max_molecules + 1)
-    n = shuffle_partitions_for(spark, paths)
-    return align(src.select("split", "line_number", "source"), tgt.select("split", "line_number", "target"), n)
+    n = shuffle_partitions_for(spark, [p for pair in paths.values() for p in pair])
+    return align(src, tgt, n)
 
 
 def write_text_view(df: DataFrame, view: str, parts: int = 4) -> None:
     """Write ``(split, line_number, source, target)`` as a text view.
 
     Each split becomes ``src-<stem>.txt`` / ``tgt-<stem>.txt`` directories
-    of part files, range-partitioned on line number so the part files, in
-    name order, hold consecutive lines.  Rows with a NULL side are skipped
-    on that side (a trailing gap).
+    of part files, range-partitioned on line number so that part files, in
+    name order, hold consecutive lines.  One write per side (partitioned by
+    split, then renamed); rows with a NULL side are skipped on that side.
     """
-    for split, stem in SPLITS.items():
-        part = df.where(F.col("split") == split)
-        for col, prefix in (("source", "src"), ("target", "tgt")):
-            (
-                part.where(F.col(col).isNotNull())
-                .select("line_number", F.col(col).alias("value"))
-                .repartitionByRange(parts, "line_number")
-                .sortWithinPartitions("line_number")
-                .select("value")
-                .write.mode("errorifexists")
-                .text(f"{view.rstrip('/')}/data/{prefix}-{stem}.txt")
-            )
+    base = view.rstrip("/")
+    fs.mkdirs(spark_of(df), f"{base}/data")
+    for col, prefix in (("source", "src"), ("target", "tgt")):
+        tmp = f"{base}/_{prefix}"
+        (
+            df.where(F.col(col).isNotNull())
+            .select("split", "line_number", F.col(col).alias("value"))
+            .repartitionByRange(parts * len(SPLITS), "split", "line_number")
+            .sortWithinPartitions("split", "line_number")
+            .select("split", "value")
+            .write.mode("errorifexists").partitionBy("split").text(tmp)
+        )
+        for split, stem in SPLITS.items():
+            target = f"{base}/data/{prefix}-{stem}.txt"
+            if fs.exists(spark_of(df), f"{tmp}/split={split}"):
+                fs.rename(spark_of(df), f"{tmp}/split={split}", target)
+            else:
+                fs.mkdirs(spark_of(df), target)
+
+
+def spark_of(df: DataFrame) -> SparkSession:
+    return df.sparkSession
