@@ -43,23 +43,27 @@ def pair_peaks(toks: Column) -> Column:
     )
 
 
-def pair_peaks_fast(toks: Column) -> Column:
-    """As :func:`pair_peaks` for the common case, without any regex.
+def plain_values(toks: Column) -> Column:
+    """Cast every token; NULL array unless all tokens are plain decimals.
 
-    When every character is one of ``0-9 . e E + -``, Spark's cast and
-    Python's ``float()`` accept exactly the same tokens with the same value,
-    so a plain cast decides.  Returns NULL otherwise (or when a token does
-    not parse); callers fall back to :func:`pair_peaks` on that rare path.
+    Over the characters ``0-9 . e E + -`` Spark's cast and Python's
+    ``float()`` accept exactly the same tokens with the same value, so a
+    plain cast decides without any regex.
     """
     vals = F.transform(toks, lambda t: t.try_cast("double"))
     plain = F.translate(F.array_join(toks, ""), PLAIN_NUMBER_CHARS, "") == F.lit("")
+    return F.when(plain, vals)
+
+
+def pair_values(vals: Column, toks: Column) -> Column:
+    """Pair an already parsed value array (a column, evaluated once) into
+    ``(mz, intensity)`` structs; NULL when any value is NULL or the token
+    count is zero or odd."""
     return F.when(
-        plain & F.forall(vals, lambda v: v.isNotNull()),
+        F.forall(vals, lambda v: v.isNotNull()),
         F.transform(
             _pair_indexes(toks),
-            lambda k: F.struct(
-                F.get(vals, k * 2).alias("mz"), F.get(vals, k * 2 + 1).alias("intensity")
-            ),
+            lambda k: F.struct(F.get(vals, k * 2).alias("mz"), F.get(vals, k * 2 + 1).alias("intensity")),
         ),
     )
 

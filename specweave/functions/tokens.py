@@ -73,13 +73,16 @@ def parse_numbers(section: Column) -> Column:
     joined = F.regexp_replace(F.array_join(section, " "), UNDERSCORE_RX, "")
     empty = F.size(section) == 0
     slow_ok = joined.rlike(NUMBER_RUN_RX)
-    ok = F.when(empty, F.lit(True)).when(plain, F.forall(plain_vals, lambda v: v.isNotNull())).otherwise(slow_ok)
     values = (
         F.when(empty, F.array().cast("array<double>"))
-        .when(plain, F.when(ok, plain_vals))
+        .when(plain, plain_vals)
         .when(slow_ok, F.transform(F.split(joined, " "), _cast_number))
     )
-    return F.struct(ok.alias("ok"), values.alias("values"))
+    # ``values`` is bound once in a lambda, so the cast runs once per token.
+    return F.get(F.transform(F.array(values), lambda v: F.struct(
+        F.when(empty, F.lit(True)).when(plain, F.forall(v, lambda x: x.isNotNull())).otherwise(slow_ok).alias("ok"),
+        F.when(F.forall(v, lambda x: x.isNotNull()), v).alias("values"),
+    )), 0)
 
 
 def marker_position(toks: Column, marker: str) -> Column:

@@ -17,14 +17,22 @@ DEFAULT_BUCKET_WIDTH = 1 << 20
 
 
 def number_rows(df: DataFrame, group_cols: list[str], order_col: str, out_col: str = "line_number",
-                bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                bucket_width: int = DEFAULT_BUCKET_WIDTH, materialize: bool = False) -> DataFrame:
     """Add a 1-based dense row number per group in ``order_col`` order.
 
     ``order_col`` must be an integer column, unique within each group.
     The offset join is left to the optimiser: AQE broadcasts the count
     table when its measured size is under the broadcast threshold and
     falls back to a sort-merge join otherwise.
+
+    The input is consumed twice (counts, numbering).  For an expensive
+    input pass ``materialize=True``: it is written once to the shared
+    checkpoint folder and both branches read that table.
     """
+    if materialize:
+        from ..session import materialize as _materialize
+
+        df = _materialize(df, "numbering-input")
     bucket = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("long")
     keyed = df.withColumn("_nb", bucket)
     counts = keyed.groupBy(*group_cols, "_nb").agg(F.count(F.lit(1)).alias("_nc"))

@@ -184,8 +184,11 @@ def parse_msms(df: DataFrame, source: str = "source", target: str = "target") ->
         smiles_raw=T.smiles(F.col(target)),
         **{f"_s_{m}": F.when(ok, T.section(F.col("_tok"), pos[m], pos[nxt[m]])) for m in T.ENERGY_MARKERS},
     )
+    # Values are cast once per section (a staged column) and then paired;
+    # only sections with non-plain tokens take the per-token float() path.
+    staged = stage(staged, **{f"_v_{m}": S.plain_values(F.col(f"_s_{m}")) for m in T.ENERGY_MARKERS})
     staged = stage(staged, **{
-        f"_p_{m}": F.coalesce(S.pair_peaks_fast(F.col(f"_s_{m}")), S.pair_peaks(F.col(f"_s_{m}")))
+        f"_p_{m}": F.coalesce(S.pair_values(F.col(f"_v_{m}"), F.col(f"_s_{m}")), S.pair_peaks(F.col(f"_s_{m}")))
         for m in T.ENERGY_MARKERS
     })
     spectrum_errors = [
@@ -210,6 +213,7 @@ def parse_msms(df: DataFrame, source: str = "source", target: str = "target") ->
         **{f"peaks_{m}": S.positive_peaks(F.col(f"_p_{m}")) for m in T.ENERGY_MARKERS},
     )
     return out.drop("_tok", "_pos", "_raw_error", *[f"_s_{m}" for m in T.ENERGY_MARKERS],
+                    *[f"_v_{m}" for m in T.ENERGY_MARKERS],
                     *[f"_p_{m}" for m in T.ENERGY_MARKERS])
 
 

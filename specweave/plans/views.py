@@ -41,7 +41,7 @@ def msms(spark: SparkSession, sf: str) -> DataFrame:
 def msms_valid(spark: SparkSession, sf: str) -> DataFrame:
     """Valid MS/MS molecules renumbered densely by line (``line_number``)."""
     v = msms(spark, sf).where(F.col("error").isNull()).withColumnRenamed("line_number", "source_line")
-    return number_rows(v, ["split"], "source_line")
+    return number_rows(v, ["split"], "source_line", materialize=True)
 
 
 def msms_valid_lines(spark: SparkSession, sf: str) -> DataFrame:

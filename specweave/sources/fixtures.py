@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Hash-spread a fixture view over the cluster's cores.
+
+    Small driver tables are single files (one scan task); the parse that
+    follows is CPU-bound, so the view is spread like a multi-split input.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, "split", "line_number")
+
+
 def _hcir_parts(e: DataFrame) -> DataFrame:
     vid = F.col("vec_id")
     ir = F.array_join(
@@ -66,7 +76,7 @@ def hcir_lines(spark: SparkSession, sf_dir: str, bad: bool = False) -> DataFrame
         )
         target = F.when(k == 47, F.lit("  ")).otherwise(F.col("_t"))
     lines = p.select("vec_id", "split", source.alias("source"), target.alias("target"))
-    return number_rows(lines, ["split"], "vec_id").select("split", "line_number", "source", "target", "vec_id")
+    return _spread(number_rows(lines, ["split"], "vec_id").select("split", "line_number", "source", "target", "vec_id"))
 
 
 def _intensity(discount: Column) -> Column:
@@ -104,13 +114,13 @@ def msms_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("E10Pos"), F.col("E20Pos"), F.col("E40Pos"), F.lit("IR 1 2"),
     )
     joined = o.join(secs, o["o_orderkey"] == secs["l_orderkey"], "left")
-    return joined.select(
+    return _spread(joined.select(
         F.lit("train").alias("split"),
         (F.col("o_orderkey") + 1).alias("line_number"),
         F.when(F.col("l_orderkey").isNotNull(), source).alias("source"),
         F.concat(F.repeat(F.lit("C "), k), F.col("o_orderstatus")).alias("target"),
         F.col("o_orderkey"),
-    )
+    ))
 
 
 def molecule_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
