@@ -82,3 +82,27 @@ def rows_in_file_order(spark: SparkSession, path: str) -> DataFrame:
                     F.col("_metadata.row_index").alias("_row"))
     bound = len(raw.inputFiles())
     return number_chunks(raw, ["_file"], "_row", out_col="position", broadcast_ok=bound <= 200_000).drop("_file", "_row")
+
+
+def first_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """F2 on a written dataset: its first ``n`` rows in on-disk order.
+
+    Per-file row counts come from a zero-column scan (Parquet metadata);
+    the running offsets over files in name order select the few files that
+    hold rows 1..n, and only those files are read.  The selected file list
+    has at most ``n`` entries.
+    """
+    from pyspark.sql import Window
+
+    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("_file"))
+    counts = files.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_file", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    needed = offs.where((F.col("_off") < n) & (F.col("_n") > 0)).orderBy("_file").collect()
+    if not needed:
+        return spark.read.parquet(path).limit(0)
+    df = spark.read.parquet(*[r["_file"] for r in needed])
+    cols = df.columns
+    off = F.broadcast(spark.createDataFrame([(r["_file"], int(r["_off"])) for r in needed], "_file string, _off long"))
+    raw = df.select(*cols, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return raw.join(off, "_file").where(F.col("_off") + F.col("_row") < n).select(*cols)
