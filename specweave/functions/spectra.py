@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tokens import PLAIN_NUMBER_CHARS, py_float
+from .tokens import PLAIN_NUMBER_CHARS, all_present, py_float
 
 PEAK_TYPE = "array<struct<mz:double,intensity:double>>"
 
@@ -50,7 +50,7 @@ def plain_values(toks: Column) -> Column:
     ``float()`` accept exactly the same tokens with the same value, so a
     plain cast decides without any regex.
     """
-    vals = F.transform(toks, lambda t: t.try_cast("double"))
+    vals = toks.try_cast("array<double>")
     plain = F.translate(F.array_join(toks, ""), PLAIN_NUMBER_CHARS, "") == F.lit("")
     return F.when(plain, vals)
 
@@ -60,7 +60,7 @@ def pair_values(vals: Column, toks: Column) -> Column:
     ``(mz, intensity)`` structs; NULL when any value is NULL or the token
     count is zero or odd."""
     return F.when(
-        F.forall(vals, lambda v: v.isNotNull()),
+        all_present(vals),
         F.transform(
             _pair_indexes(toks),
             lambda k: F.struct(F.get(vals, k * 2).alias("mz"), F.get(vals, k * 2 + 1).alias("intensity")),

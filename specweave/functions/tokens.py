@@ -43,7 +43,8 @@ UNDERSCORE_RX = r"(?<=\d)_(?=\d)"
 def tokens(c: Column | str) -> Column:
     """``str.split()``: split on any Unicode whitespace and drop empties."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.filter(F.split(c, WHITESPACE_RX), lambda t: t != F.lit(""))
+    # array_remove (not a lambda filter) keeps the stage in whole-stage codegen.
+    return F.array_remove(F.split(c, WHITESPACE_RX), "")
 
 
 def _cast_number(t: Column) -> Column:
@@ -68,7 +69,7 @@ def parse_numbers(section: Column) -> Column:
     character, a cast decides.  Otherwise (inf, nan, underscores, junk)
     the whole section is checked by one regex after underscore removal.
     """
-    plain_vals = F.transform(section, lambda t: t.try_cast("double"))
+    plain_vals = section.try_cast("array<double>")
     plain = F.translate(F.array_join(section, ""), PLAIN_NUMBER_CHARS, "") == F.lit("")
     joined = F.regexp_replace(F.array_join(section, " "), UNDERSCORE_RX, "")
     empty = F.size(section) == 0
@@ -78,13 +79,19 @@ def parse_numbers(section: Column) -> Column:
         .when(plain, plain_vals)
         .when(slow_ok, F.transform(F.split(joined, " "), _cast_number))
     )
-    # ``values`` is bound once in a lambda, so the cast runs once per token.
+    # ``values`` is bound once in a lambda, so the casts run once per token;
+    # the regex branch is evaluated only for non-plain sections.
     return F.get(F.transform(F.array(values), lambda v: F.struct(
-        F.when(empty, F.lit(True)).when(plain, F.forall(v, lambda x: x.isNotNull())).otherwise(slow_ok).alias("ok"),
-        F.when(F.forall(v, lambda x: x.isNotNull()), v).alias("values"),
+        F.when(empty, F.lit(True)).when(plain, all_present(v)).otherwise(slow_ok).alias("ok"),
+        F.when(all_present(v), v).alias("values"),
     )), 0)
 
 
+def all_present(arr: Column) -> Column:
+    """No NULL element (without a lambda, so it stays code-generated)."""
+    return F.size(F.array_compact(arr)) == F.size(arr)
+
+
 def marker_position(toks: Column, marker: str) -> Column:
     """1-based index of the first occurrence of ``marker``; NULL if absent."""
     return F.nullif(F.array_position(toks, F.lit(marker)), F.lit(0))

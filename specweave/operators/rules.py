@@ -205,14 +205,14 @@ def parse_msms(df: DataFrame, source: str = "source", target: str = "target") ->
     for m in T.ENERGY_MARKERS:
         z = F.coalesce(S.zero_peak_count(F.col(f"_p_{m}")), F.lit(0))
         zero = z if zero is None else zero + z
-    staged = stage(staged, _raw_error=error)
     out = stage(
         staged,
-        error=_finish(F.col("_raw_error")),
+        # the raw error is bound once (lambda) and its message rendered in place
+        error=F.get(F.transform(F.array(error), _finish), 0),
         zero_peaks=zero,
         **{f"peaks_{m}": S.positive_peaks(F.col(f"_p_{m}")) for m in T.ENERGY_MARKERS},
     )
-    return out.drop("_tok", "_pos", "_raw_error", *[f"_s_{m}" for m in T.ENERGY_MARKERS],
+    return out.drop("_tok", "_pos", *[f"_s_{m}" for m in T.ENERGY_MARKERS],
                     *[f"_v_{m}" for m in T.ENERGY_MARKERS],
                     *[f"_p_{m}" for m in T.ENERGY_MARKERS])
 
