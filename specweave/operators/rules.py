@@ -87,32 +87,39 @@ def _in_order(pos: Column, markers) -> Column:
 
 # --------------------------------------------------------------------------- HC-IR
 
-def parse_hcir(df: DataFrame, expected_ir_length: int = 0,
-               source: str = "source", target: str = "target") -> DataFrame:
-    """Parse NMR/IR lines into typed columns plus an ``error`` struct.
+_STAGE_CACHE: dict[tuple, list] = {}
 
-    Adds ``molecular_formula, h_nmr_text, ir_spectra (array<float>), smiles,
-    ir_len, multiplets, error``.  Staged projections keep the tokeniser a
-    single expression per row (checked in the optimised plan).
+
+def _cached_stages(key: tuple, build) -> list:
+    """Column trees of a parser, built once per Spark context.
+
+    They refer to columns by name only, so one set serves every DataFrame;
+    building them costs thousands of driver round trips.
     """
-    if expected_ir_length < 0:
-        raise ValueError("expected IR length must be non-negative")
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    full = (sc.applicationId if sc else None, *key)
+    if full not in _STAGE_CACHE:
+        _STAGE_CACHE[full] = build()
+    return _STAGE_CACHE[full]
+
+
+def _apply(df: DataFrame, stages: list) -> DataFrame:
+    for kind, cols in stages:
+        if kind == "stage":
+            df = stage(df, **cols)
+        else:
+            for name, c in cols.items():
+                df = df.withColumn(name, c)
+    return df
+
+
+def _hcir_stages(expected_ir_length: int, source: str, target: str) -> list:
     m1, mc, mir = T.HCIR_MARKERS
-    staged = stage(df, _tok=T.tokens(F.col(source)))
-    staged = stage(staged, _pos=T.marker_positions(F.col("_tok"), T.HCIR_MARKERS))
     pos = F.col("_pos")
     order_ok = _in_order(pos, T.HCIR_MARKERS)
     ok = F.coalesce(order_ok, F.lit(False))
-    staged = stage(
-        staged,
-        _ok=ok,
-        _h=F.when(ok, T.section(F.col("_tok"), pos[m1], pos[mc])),
-        _ir=F.when(ok, T.parse_numbers(T.section(F.col("_tok"), pos[mir]))),
-        molecular_formula=F.when(ok, T.formula(F.col("_tok"), pos[m1])),
-        smiles=T.smiles(F.col(target)),
-    )
-    staged = staged.withColumn("h_nmr_text", T.h_nmr_text(F.col("_h"))).withColumn(
-        "ir_len", F.size(F.col("_ir.values")))
     ir_len = F.col("ir_len")
     error = _first(
         *_missing_markers(pos, T.HCIR_MARKERS),
@@ -128,13 +135,38 @@ def parse_hcir(df: DataFrame, expected_ir_length: int = 0,
         ),
         F.when(F.col("smiles") == "", _err("C8", MSG_TARGET_EMPTY)),
     )
-    out = stage(
-        staged,
-        error=error,
-        ir_spectra=F.transform(F.col("_ir.values"), lambda x: x.cast("float")),
-        multiplets=T.multiplet_count(F.col("h_nmr_text")),
-    )
-    return out.drop("_tok", "_pos", "_ok", "_h", "_ir")
+    return [
+        ("stage", {"_tok": T.tokens(F.col(source))}),
+        ("stage", {"_pos": T.marker_positions(F.col("_tok"), T.HCIR_MARKERS)}),
+        ("stage", {
+            "_ok": ok,
+            "_h": F.when(ok, T.section(F.col("_tok"), pos[m1], pos[mc])),
+            "_ir": F.when(ok, T.parse_numbers(T.section(F.col("_tok"), pos[mir]))),
+            "molecular_formula": F.when(ok, T.formula(F.col("_tok"), pos[m1])),
+            "smiles": T.smiles(F.col(target)),
+        }),
+        ("columns", {"h_nmr_text": T.h_nmr_text(F.col("_h")), "ir_len": F.size(F.col("_ir.values"))}),
+        ("stage", {
+            "error": error,
+            "ir_spectra": F.transform(F.col("_ir.values"), lambda x: x.cast("float")),
+            "multiplets": T.multiplet_count(F.col("h_nmr_text")),
+        }),
+    ]
+
+
+def parse_hcir(df: DataFrame, expected_ir_length: int = 0,
+               source: str = "source", target: str = "target") -> DataFrame:
+    """Parse NMR/IR lines into typed columns plus an ``error`` struct.
+
+    Adds ``molecular_formula, h_nmr_text, ir_spectra (array<float>), smiles,
+    ir_len, multiplets, error``.  Each stage is evaluated once per row
+    (see :mod:`specweave.functions.staging`).
+    """
+    if expected_ir_length < 0:
+        raise ValueError("expected IR length must be non-negative")
+    stages = _cached_stages(("hcir", expected_ir_length, source, target),
+                            lambda: _hcir_stages(expected_ir_length, source, target))
+    return _apply(df, stages).drop("_tok", "_pos", "_ok", "_h", "_ir")
 
 
 # --------------------------------------------------------------------------- MS/MS
@@ -165,32 +197,12 @@ def spectrum_error(toks: Column, peaks: Column, marker: str) -> Column:
     )
 
 
-def parse_msms(df: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """Parse MS/MS lines: ``formula, smiles_raw, peaks_<E>, zero_peaks, error``.
-
-    ``error`` covers C1-C3, C9-C14 and C8.  C15 and the formula check need
-    the molecule reference table (:mod:`specweave.operators.enrich`).
-    """
+def _msms_stages(source: str, target: str) -> list:
     markers = T.MSMS_MARKERS
-    staged = stage(df, _tok=T.tokens(F.col(source)))
-    staged = stage(staged, _pos=T.marker_positions(F.col("_tok"), markers))
     pos = F.col("_pos")
     order_ok = _in_order(pos, markers)
     ok = F.coalesce(order_ok, F.lit(False))
     nxt = {"E10Pos": "E20Pos", "E20Pos": "E40Pos", "E40Pos": "IR"}
-    staged = stage(
-        staged,
-        formula=F.when(ok, T.formula(F.col("_tok"), pos[markers[0]])),
-        smiles_raw=T.smiles(F.col(target)),
-        **{f"_s_{m}": F.when(ok, T.section(F.col("_tok"), pos[m], pos[nxt[m]])) for m in T.ENERGY_MARKERS},
-    )
-    # Values are cast once per section (a staged column) and then paired;
-    # only sections with non-plain tokens take the per-token float() path.
-    staged = stage(staged, **{f"_v_{m}": S.plain_values(F.col(f"_s_{m}")) for m in T.ENERGY_MARKERS})
-    staged = stage(staged, **{
-        f"_p_{m}": F.coalesce(S.pair_values(F.col(f"_v_{m}"), F.col(f"_s_{m}")), S.pair_peaks(F.col(f"_s_{m}")))
-        for m in T.ENERGY_MARKERS
-    })
     spectrum_errors = [
         spectrum_error(F.col(f"_s_{m}"), F.col(f"_p_{m}"), m) for m in T.ENERGY_MARKERS
     ]
@@ -205,16 +217,40 @@ def parse_msms(df: DataFrame, source: str = "source", target: str = "target") ->
     for m in T.ENERGY_MARKERS:
         z = F.coalesce(S.zero_peak_count(F.col(f"_p_{m}")), F.lit(0))
         zero = z if zero is None else zero + z
-    out = stage(
-        staged,
-        # the raw error is bound once (lambda) and its message rendered in place
-        error=F.get(F.transform(F.array(error), _finish), 0),
-        zero_peaks=zero,
-        **{f"peaks_{m}": S.positive_peaks(F.col(f"_p_{m}")) for m in T.ENERGY_MARKERS},
-    )
+    return [
+        ("stage", {"_tok": T.tokens(F.col(source))}),
+        ("stage", {"_pos": T.marker_positions(F.col("_tok"), markers)}),
+        ("stage", {
+            "formula": F.when(ok, T.formula(F.col("_tok"), pos[markers[0]])),
+            "smiles_raw": T.smiles(F.col(target)),
+            **{f"_s_{m}": F.when(ok, T.section(F.col("_tok"), pos[m], pos[nxt[m]])) for m in T.ENERGY_MARKERS},
+        }),
+        # Values are cast once per section (a staged column) and then paired;
+        # only sections with non-plain tokens take the per-token float() path.
+        ("stage", {f"_v_{m}": S.plain_values(F.col(f"_s_{m}")) for m in T.ENERGY_MARKERS}),
+        ("stage", {
+            f"_p_{m}": F.coalesce(S.pair_values(F.col(f"_v_{m}"), F.col(f"_s_{m}")), S.pair_peaks(F.col(f"_s_{m}")))
+            for m in T.ENERGY_MARKERS
+        }),
+        ("stage", {
+            # the raw error is bound once (lambda) and its message rendered in place
+            "error": F.get(F.transform(F.array(error), _finish), 0),
+            "zero_peaks": zero,
+            **{f"peaks_{m}": S.positive_peaks(F.col(f"_p_{m}")) for m in T.ENERGY_MARKERS},
+        }),
+    ]
+
+
+def parse_msms(df: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """Parse MS/MS lines: ``formula, smiles_raw, peaks_<E>, zero_peaks, error``.
+
+    ``error`` covers C1-C3, C9-C14 and C8.  C15 and the formula check need
+    the molecule reference table (:mod:`specweave.operators.enrich`).
+    """
+    stages = _cached_stages(("msms", source, target), lambda: _msms_stages(source, target))
+    out = _apply(df, stages)
     return out.drop("_tok", "_pos", *[f"_s_{m}" for m in T.ENERGY_MARKERS],
-                    *[f"_v_{m}" for m in T.ENERGY_MARKERS],
-                    *[f"_p_{m}" for m in T.ENERGY_MARKERS])
+                    *[f"_v_{m}" for m in T.ENERGY_MARKERS], *[f"_p_{m}" for m in T.ENERGY_MARKERS])
 
 
 # --------------------------------------------------------------------------- line-level
