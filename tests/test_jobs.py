@@ -93,3 +93,46 @@ def test_msms_convert_and_fail_fast(spark, tmpdir_path):
         f.write("{}")
     with pytest.raises(ValueError, match=r"^train line 1: missing marker E40Pos$"):
         J.convert_msms(spark, raw_view, os.path.join(tmpdir_path, "o3"), FX.molecule_ref(spark, SF001))
+
+
+def test_msms_staging_and_gate(spark, tmpdir_path):
+    from specweave.operators.numbering import number_rows
+    from specweave.streaming.gate import NotReady, ready_gate
+
+    v = V.msms_valid_lines(spark, SF001).withColumnRenamed("line_number", "o")
+    three = v.withColumn("split", F.when(F.col("o") % 10 < 8, "train").when(F.col("o") % 10 == 8, "validation")
+                         .otherwise("test"))
+    three = number_rows(three, ["split"], "o")
+    counts = {r.split: r["count"] for r in three.groupBy("split").count().collect()}
+    root = os.path.join(tmpdir_path, "payload")
+    view = os.path.join(root, "opennmt", "VIEW")
+    write_text_view(three, view)
+    with open(os.path.join(root, "manifest.json"), "w") as f:
+        f.write("{}")
+    full = os.path.join(tmpdir_path, "full")
+    ref = FX.molecule_ref(spark, SF001)
+    J.convert_msms(spark, view, full, ref, expected=counts)
+    eval_dir = os.path.join(tmpdir_path, "eval")
+    expected = {s: (n, 3 * n) for s, n in counts.items()}
+    with pytest.raises(AssertionError):   # 7 formula mismatches are not tolerated
+        J.stage_msms(spark, view, full, eval_dir, ref, expected, eval_rows=100)
+    with pytest.raises(NotReady):
+        ready_gate(spark, eval_dir)
+    # first 100 rows of the test split = 33 whole molecules + E10Pos of the 34th
+    sub = J._first_rows(spark, os.path.join(full, "split=test"), 100).collect()
+    assert len(sub) == 100
+    assert [len(r.spectrum) > 0 for r in sub] == [True] * 100
+
+
+def test_stage_hcir_skips_complete_conversion(spark, tmpdir_path):
+    view = os.path.join(tmpdir_path, "view")
+    write_text_view(FX.hcir_lines(spark, SF001), view)
+    full = os.path.join(tmpdir_path, "full")
+    J.convert_hcir(spark, view, full, expected_ir_length=64)
+    mtime = os.path.getmtime(os.path.join(full, "summary.json"))
+    J.stage_hcir(spark, view, full, os.path.join(tmpdir_path, "eval"), {"train": 400, "validation": 50, "test": 50},
+                 eval_rows=16, expected_ir_length=64)
+    assert os.path.getmtime(os.path.join(full, "summary.json")) == mtime   # not converted again
+    with pytest.raises(AssertionError):
+        J.stage_hcir(spark, view, full, os.path.join(tmpdir_path, "eval2"), {"train": 401, "validation": 50, "test": 50},
+                     eval_rows=16, expected_ir_length=64)
