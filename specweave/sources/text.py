@@ -53,8 +53,14 @@ def number_chunks(df: DataFrame, chunk_cols: list[str], row_col: str, out_col: s
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
+    """Encoded path component of the qualified URI (spaces -> %20), as in
+    ``_metadata.file_path``; scheme and authority are compared separately
+    spelled (``file:/`` vs ``file:///``), so they are left out."""
     fsys, p = fs._fs(spark, path)
-    return str(fsys.makeQualified(p).toString()).rstrip("/")
+    return str(fsys.makeQualified(p).toUri().getRawPath()).rstrip("/")
+
+
+_URI_PREFIX_RX = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
 
 
 def read_line_groups(spark: SparkSession, groups: dict[str, str], value_col: str = "value") -> DataFrame:
@@ -73,10 +79,14 @@ def read_line_groups(spark: SparkSession, groups: dict[str, str], value_col: str
         F.monotonically_increasing_id().alias("_row"),
     )
     group = None
+    file_path = F.regexp_replace(F.col("_file"), _URI_PREFIX_RX, "")
     for g in names:
-        hit = (F.col("_file") == prefixes[g]) | F.col("_file").startswith(prefixes[g] + "/")
+        hit = (file_path == prefixes[g]) | file_path.startswith(prefixes[g] + "/")
         group = F.when(hit, F.lit(g)) if group is None else group.when(hit, F.lit(g))
-    raw = raw.withColumn("_group", group)
+    # Every scanned file belongs to exactly one group; anything else is a bug
+    # that would silently drop lines, so it fails the job instead.
+    raw = raw.withColumn("_group", F.coalesce(group, F.raise_error(F.concat(
+        F.lit("input file outside every group: "), F.col("_file")))))
     bound = raw.rdd.getNumPartitions() + len(raw.inputFiles())
     numbered = number_chunks(raw, ["_file", "_block"], "_row", broadcast_ok=bound <= BROADCAST_MAX_CHUNKS,
                              group_cols=["_group"])

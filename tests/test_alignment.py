@@ -85,3 +85,13 @@ def test_missing_inputs_and_nonempty_output(spark, tmpdir_path):
         J.convert_hcir(spark, view2, out)
     with pytest.raises(ValueError):
         J.convert_hcir(spark, view2, os.path.join(tmpdir_path, "o3"), max_molecules=-1)
+
+
+def test_paths_with_spaces_and_plus(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "a b+c")
+    os.makedirs(os.path.join(d, "dir x"))
+    open(os.path.join(d, "dir x", "p 1.txt"), "w").write("l1\nl2\nl3\n")
+    open(os.path.join(d, "z+1.txt"), "w").write("m1\nm2\n")
+    got = sorted(map(tuple, TX.read_line_groups(
+        spark, {"a": os.path.join(d, "dir x"), "b": os.path.join(d, "z+1.txt")}).collect()))
+    assert got == [("a", 1, "l1"), ("a", 2, "l2"), ("a", 3, "l3"), ("b", 1, "m1"), ("b", 2, "m2")]
