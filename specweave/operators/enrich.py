@@ -37,6 +37,7 @@ def enrich_molecules(df: DataFrame, ref: DataFrame, smiles_col: str = "smiles_ra
     Adds ``smiles`` (canonical), ``fingerprint``, ``ref_formula`` and
     ``formula_mismatch``; folds C15 into ``error`` after every earlier rule.
     Run before the energy fan-out, so the join sees one row per molecule.
+    Precondition: ``ref`` is unique on ``smiles`` (one row per molecule).
     """
     r = ref.select(
         F.col("smiles").alias("_ref_smiles"),

@@ -50,12 +50,6 @@ def _spectrum_text(c: Column) -> Column:
                                           F.get(p, 1).cast("long").cast("string"))), " ")
 
 
-def _peaks_text(c: Column) -> Column:
-    return F.array_join(
-        F.transform(c, lambda p: F.concat(p["mz"].cast("long").cast("string"), F.lit(":"),
-                                          p["intensity"].cast("long").cast("string"))), " ")
-
-
 def _bits(c: Column) -> Column:
     return F.array_join(F.transform(c, lambda b: b.cast("string")), "")
 
