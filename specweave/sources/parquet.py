@@ -42,8 +42,17 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
+TARGET_PARTITION_BYTES = 128 << 20
+
+
+def partitions_for_bytes(spark: SparkSession, n_bytes: int, factor: float = 1.0) -> int:
+    """Shuffle partitions so each holds about 128 MB (never fewer than the default)."""
+    default = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(default, int(-(-(n_bytes * factor) // TARGET_PARTITION_BYTES)))
+
+
 def write_dataset(df: DataFrame, out: str, schema: T.StructType, ordered_by: list[str] | None = None,
-                  max_records_per_file: int = 0) -> None:
+                  max_records_per_file: int = 0, n_partitions: int | None = None) -> None:
     """Zstd Parquet, one directory per split (``split=<name>``).
 
     ``ordered_by`` (e.g. ``["line_number", "energy_ord"]``) range-partitions
@@ -52,7 +61,11 @@ def write_dataset(df: DataFrame, out: str, schema: T.StructType, ordered_by: lis
     the upstream partitioning (no extra shuffle).
     """
     if ordered_by:
-        df = df.repartitionByRange("split", *ordered_by).sortWithinPartitions("split", *ordered_by)
+        # Size the range exchange from the data (``n_partitions``), not from
+        # the session default: 200 partitions of 100 TB would not fit a task.
+        keys = ["split", *ordered_by]
+        df = (df.repartitionByRange(n_partitions, *keys) if n_partitions else df.repartitionByRange(*keys))
+        df = df.sortWithinPartitions(*keys)
     writer = conform(df, schema).write.mode("append").option("compression", "zstd")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
