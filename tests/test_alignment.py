@@ -95,3 +95,28 @@ def test_paths_with_spaces_and_plus(spark, tmpdir_path):
     got = sorted(map(tuple, TX.read_line_groups(
         spark, {"a": os.path.join(d, "dir x"), "b": os.path.join(d, "z+1.txt")}).collect()))
     assert got == [("a", 1, "l1"), ("a", 2, "l2"), ("a", 3, "l3"), ("b", 1, "m1"), ("b", 2, "m2")]
+
+
+def test_first_error_and_counts_independent_of_partitioning(spark, tmpdir_path):
+    """Metamorphic: split size changes no count and no first error."""
+    from specweave.sources import fixtures as FX
+    from specweave.sources.text import write_text_view
+    from conftest import SF001
+
+    good = os.path.join(tmpdir_path, "good")
+    bad = os.path.join(tmpdir_path, "bad")
+    write_text_view(FX.hcir_lines(spark, SF001), good, parts=3)
+    write_text_view(FX.hcir_lines(spark, SF001, bad=True), bad, parts=5)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    results = []
+    try:
+        for size in ("2048", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            s = J.convert_hcir(spark, good, os.path.join(tmpdir_path, f"o-{size}"), expected_ir_length=64)
+            with pytest.raises(ValueError) as e:
+                J.convert_hcir(spark, bad, os.path.join(tmpdir_path, f"b-{size}"), expected_ir_length=64)
+            results.append(({k: v["counts"] for k, v in s["splits"].items()}, str(e.value)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert results[0] == results[1]
+    assert results[0][1] == "train line 33: missing marker 13CNMR"
