@@ -69,13 +69,18 @@ def pair_values(vals: Column, toks: Column) -> Column:
 
 
 def positive_peaks(peaks: Column) -> Column:
-    """Drop zero-intensity peaks, keep order (negatives are rejected earlier)."""
-    return F.filter(peaks, lambda p: p["intensity"] != F.lit(0.0))
+    """Drop zero-intensity peaks, keep order (negatives are rejected earlier).
+
+    When no intensity is zero the array is returned as is, without
+    evaluating the filter lambda."""
+    return F.when(F.array_min(peaks["intensity"]) > 0, peaks).otherwise(
+        F.filter(peaks, lambda p: p["intensity"] != F.lit(0.0)))
 
 
 def zero_peak_count(peaks: Column) -> Column:
     """How many zero-intensity peaks a spectrum loses (``-0.0`` counts)."""
-    return F.size(F.filter(peaks, lambda p: p["intensity"] == F.lit(0.0)))
+    return F.when(F.array_min(peaks["intensity"]) > 0, F.lit(0)).otherwise(
+        F.size(F.filter(peaks, lambda p: p["intensity"] == F.lit(0.0))))
 
 
 def peaks_as_arrays(peaks: Column) -> Column:

@@ -189,11 +189,21 @@ def spectrum_error(toks: Column, peaks: Column, marker: str) -> Column:
         )
 
     first_peak_error = F.get(F.filter(F.transform(peaks, peak_error), lambda e: e.isNotNull()), 0)
-    return F.when((n == 0) | (n % 2 == 1), _err("C9", MSG_NOT_PAIRS.format(m=marker))).otherwise(
-        F.coalesce(
-            first_peak_error,
-            F.when(F.size(S.positive_peaks(peaks)) == 0, _err("C14", MSG_NO_POSITIVE.format(m=marker))),
-        )
+    # Lambda-free proof that no peak breaks C10-C13 (the common case): all
+    # values parsed, finite, m/z > 0, intensity >= 0, m/z non-decreasing.
+    mz, it = peaks["mz"], peaks["intensity"]
+    inf = F.lit(float("inf"))
+    clean = (
+        S.all_present(mz) & S.all_present(it)
+        & (F.array_min(mz) > 0) & (F.array_min(it) >= 0)
+        & (F.array_max(mz) < inf) & (F.array_max(it) < inf)
+        & (F.array_sort(mz) == mz)
+    )
+    no_positive = _err("C14", MSG_NO_POSITIVE.format(m=marker))
+    return (
+        F.when((n == 0) | (n % 2 == 1), _err("C9", MSG_NOT_PAIRS.format(m=marker)))
+        .when(F.coalesce(clean, F.lit(False)), F.when(F.array_max(it) == 0, no_positive))
+        .otherwise(F.coalesce(first_peak_error, F.when(F.size(S.positive_peaks(peaks)) == 0, no_positive)))
     )
 
 
