@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKET_WIDTH = 1 << 20
 
 
+MIN_BUCKET_WIDTH = 4096
+
+
 def number_rows(df: DataFrame, group_cols: list[str], order_col: str, out_col: str = "line_number",
-                bucket_width: int = DEFAULT_BUCKET_WIDTH, materialize: bool = False) -> DataFrame:
+                bucket_width: int | None = None, materialize: bool = False) -> DataFrame:
     """Add a 1-based dense row number per group in ``order_col`` order.
 
     ``order_col`` must be an integer column, unique within each group.
@@ -33,6 +36,16 @@ def number_rows(df: DataFrame, group_cols: list[str], order_col: str, out_col: s
         from ..session import materialize as _materialize
 
         df = _materialize(df, "numbering-input")
+        if bucket_width is None:
+            # The key range is a one-column read of the materialised table;
+            # aim for a few buckets per core, never above the default width.
+            r = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+            if r["lo"] is not None:
+                cores = df.sparkSession.sparkContext.defaultParallelism
+                span = int(r["hi"]) - int(r["lo"]) + 1
+                bucket_width = min(DEFAULT_BUCKET_WIDTH, max(MIN_BUCKET_WIDTH, -(-span // (4 * cores))))
+    if bucket_width is None:
+        bucket_width = DEFAULT_BUCKET_WIDTH
     bucket = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("long")
     keyed = df.withColumn("_nb", bucket)
     counts = keyed.groupBy(*group_cols, "_nb").agg(F.count(F.lit(1)).alias("_nc"))
