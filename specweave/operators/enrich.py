@@ -25,9 +25,17 @@ BROADCAST_LIMIT_BYTES = 64 << 20
 _ROW_BYTES = 128 + 3 * 256 + 64
 
 
+_ROW_COUNTS: dict[int, int] = {}
+
+
 def should_broadcast(ref: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> bool:
-    """Size check for the reference side (one count; Parquet answers it from footers)."""
-    return ref.count() * _ROW_BYTES <= limit_bytes
+    """Size check for the reference side: one count (Parquet answers it from
+    footers), remembered per reference plan for the session.  Only the join
+    strategy depends on it, never the result."""
+    key = ref._jdf.queryExecution().analyzed().semanticHash()
+    if key not in _ROW_COUNTS:
+        _ROW_COUNTS[key] = ref.count()
+    return _ROW_COUNTS[key] * _ROW_BYTES <= limit_bytes
 
 
 def enrich_molecules(df: DataFrame, ref: DataFrame, smiles_col: str = "smiles_raw",
