@@ -64,3 +64,22 @@ def test_py_float_property(spark, toks):
     df = spark.createDataFrame([(t,) for t in toks], "t string")
     for r in df.select("t", T.py_float(F.col("t")).alias("v")).collect():
         assert _same(_py(r.t), r.v), r.t
+
+
+def test_py_repr_double_normal_range(spark):
+    """Spark-side repr text equals Python's for doubles in [1e-300, 1e15].
+
+    (Outside that range JDK 17 may print non-shortest digits; the raised
+    fatal message is formatted by Python, see README deviations.)
+    """
+    import random
+
+    from specweave.functions.spectra import py_repr_double
+
+    rnd = random.Random(11)
+    vals = [0.0, -0.0, 1.0, 100.0, 1e-05, 0.0001, 0.001, 12345678.0, 1e15, -2.5e-07, 0.1, 2 / 3]
+    vals += [rnd.choice([1, -1]) * 10 ** rnd.uniform(-300, 15) for _ in range(1500)]
+    vals += [round(rnd.uniform(-1e6, 1e6), rnd.randint(0, 6)) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    rows = df.select("x", py_repr_double(F.col("x")).alias("r")).collect()
+    assert [r.r for r in rows] == [repr(r.x) for r in rows]
