@@ -23,6 +23,10 @@ from . import fs
 
 # Chunk tables up to this many rows are broadcast (a few MB).
 BROADCAST_MAX_CHUNKS = 200_000
+# Target files up to this size are broadcast for the alignment (no shuffle
+# of the source side); SMILES lines are short, so this covers tens of
+# millions of molecules.
+BROADCAST_TARGET_BYTES = 256 << 20
 # Target bytes per shuffle partition when sizing the alignment join.
 TARGET_PARTITION_BYTES = 128 << 20
 
@@ -160,10 +164,32 @@ def read_aligned(spark: SparkSession, view: str, splits=None, max_molecules: int
     if max_molecules:
         src = src.where(F.col("line_number") <= max_molecules + 1)
         tgt = tgt.where(F.col("line_number") <= max_molecules + 1)
+    tgt_bytes = sum(fs.size(spark, p[1]) for p in paths.values())
+    if tgt_bytes <= BROADCAST_TARGET_BYTES:
+        return align_broadcast_target(src, tgt)
     n = shuffle_partitions_for(spark, [p for pair in paths.values() for p in pair])
     return align(src, tgt, n)
 
 
+def align_broadcast_target(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """D1 without shuffling the source side, for a target side of checked size.
+
+    Positional files can only disagree at the tail, so zip-longest =
+    (every source line, left-joined to the broadcast target lines) plus the
+    target lines past the source's last line.  The source keeps its scan
+    partitioning; only the small target side moves.
+    """
+    keys = ["split", "line_number"]
+    paired = src.join(F.broadcast(tgt), keys, "left")
+    src_last = src.groupBy("split").agg(F.max("line_number").alias("_last"))
+    tail = (
+        tgt.join(F.broadcast(src_last), "split", "left")
+        .where(F.col("line_number") > F.coalesce(F.col("_last"), F.lit(0)))
+        .select("split", "line_number", F.lit(None).cast("string").alias("source"), "target")
+    )
+    return paired.select("split", "line_number", "source", "target").unionByName(tail)
+
+
 def write_text_view(df: DataFrame, view: str, parts: int = 4) -> None:
     """Write ``(split, line_number, source, target)`` as a text view.
 

@@ -120,3 +120,23 @@ def test_first_error_and_counts_independent_of_partitioning(spark, tmpdir_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert results[0] == results[1]
     assert results[0][1] == "train line 33: missing marker 13CNMR"
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_target_longer_than_source_both_paths(spark, tmpdir_path, broadcast, monkeypatch):
+    """Tail mismatch in either direction, through both alignment strategies."""
+    monkeypatch.setattr(TX, "BROADCAST_TARGET_BYTES", (1 << 30) if broadcast else 0)
+    view = make_view(tmpdir_path, 2, 4)
+    with pytest.raises(ValueError) as e:
+        J.convert_hcir(spark, view, os.path.join(tmpdir_path, "o1"))
+    assert str(e.value) == "train source/target mismatch at line 3"
+    view2 = make_view(os.path.join(tmpdir_path, "v2"), 4, 2)
+    with pytest.raises(ValueError) as e:
+        J.convert_hcir(spark, view2, os.path.join(tmpdir_path, "o2"))
+    assert str(e.value) == "train source/target mismatch at line 3"
+    s = J.convert_hcir(spark, make_view(os.path.join(tmpdir_path, "v3"), 5, 3), os.path.join(tmpdir_path, "o3"),
+                       max_molecules=2)
+    assert s["splits"]["train"]["counts"]["molecules_written"] == 2
+    got = sorted(map(tuple, TX.read_aligned(spark, view).collect()))
+    assert [(r[1], r[2] is None, r[3] is None) for r in got if r[0] == "train"] == \
+        [(1, False, False), (2, False, False), (3, True, False), (4, True, False)]
