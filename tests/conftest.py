@@ -20,13 +20,10 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="specweave-test-ckpt-"))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    # Tests set their own shared folder only when the session has none.
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="specweave-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
     yield s
 
 
