@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm import langid, packing, pii, sharding, simhash
+from specweave.llm import langid, packing, pii, sharding, simhash, topk
 from specweave.llm.common import need, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +31,11 @@ def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op7_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.prepared(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows, rows.where("id % 50 = 0"), 5)
+
+
 def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_gray_index": op3_simhash_gray_index,
     "op5_ffd_packing": op5_ffd_packing,
     "op6_rendezvous_sharding": op6_rendezvous_sharding,
+    "op7_mtree_topk": op7_mtree_topk,
     "op9_pii_anchors": op9_pii_anchors,
     "op10_language_id": op10_language_id,
 }
