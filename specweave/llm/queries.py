@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from specweave.llm import langid, packing, pii, sharding, simhash, topk
+from specweave.llm import html_main, langid, packing, pii, sharding, simhash, topk
 from specweave.llm.common import need, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +37,12 @@ def op7_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("id % 50 = 0"), 5)
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_main.extract(pages, html_main.learn(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -52,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ffd_packing": op5_ffd_packing,
     "op6_rendezvous_sharding": op6_rendezvous_sharding,
     "op7_mtree_topk": op7_mtree_topk,
+    "op8_html_main_text": op8_html_main_text,
     "op9_pii_anchors": op9_pii_anchors,
     "op10_language_id": op10_language_id,
 }
