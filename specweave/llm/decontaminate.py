@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -56,6 +57,7 @@ SEED = 20_26
 MATCHES = "doc_id long, item_id long, edits int, item_words int, start long, end long"
 
 _WORD = re.compile(r"[^\W_]+")
+_WORD_OR_END = re.compile(r"[^\W_]+|\0")
 
 
 def words_of(text: str) -> list[str]:
@@ -113,66 +115,76 @@ class Items:
         for n, ws in enumerate(self.items):
             by_size.setdefault(grid_size(len(ws)), []).append(n)
         rng = np.random.default_rng(SEED)
-        self.sizes = []
-        for size in sorted(by_size):
-            own = by_size[size]
-            longest = max(len(self.items[n]) for n in own)
-            steps = 3 * size
-            bits = rng.integers(0, 2**63, (WALKS, steps), dtype=np.uint64)
-            picks = np.stack([np.sort(rng.choice(2 * size, SAMPLED, replace=False)) for _ in range(TABLES)])
-            flat = np.concatenate([np.array(self.items[n][:size], np.int64) for n in own])
-            keys = self._keys(flat, np.arange(len(own)) * size, size, bits, picks)
-            tables = []
-            for t in range(TABLES):
-                order = np.argsort(keys[:, t], kind="stable")
-                tables.append((keys[order, t], np.array(own)[order]))
-            self.sizes.append((size, size - 1 - 2 * edits_allowed(longest), bits, picks, tables))
+        self.sizes = sorted(by_size)
+        steps = 2 * max(self.sizes, default=0)
+        self.bits = rng.integers(0, 2**63, (steps, WALKS), dtype=np.uint64)
+        self.picks = {s: np.stack([np.sort(rng.choice(2 * s, SAMPLED, replace=False)) for _ in range(TABLES)]) for s in self.sizes}
+        self.least = {s: s - 1 - 2 * edits_allowed(max(len(self.items[n]) for n in by_size[s])) for s in self.sizes}
+        keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for s in self.sizes:
+            own = np.array(by_size[s])
+            flat = np.concatenate([np.array(self.items[n][:s], np.int64) for n in own])
+            found = self._keys(flat, np.arange(len(own)) * s, np.full(len(own), s))
+            keys.append(found.ravel())
+            owners.append(np.repeat(own, TABLES))
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        self.keys, self.owners = np.concatenate(keys)[order], np.concatenate(owners)[order]
 
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
-    @staticmethod
-    def _keys(words: np.ndarray, starts: np.ndarray, size: int, bits: np.ndarray, picks: np.ndarray) -> np.ndarray:
-        """(windows, TABLES) keys of the windows of ``words`` that begin at ``starts``."""
-        keys = np.full((len(starts), TABLES), 0x51, np.uint64)
-        padded = np.append(words, -1)
-        for walk in range(WALKS):
-            own = range(walk * TABLES_PER_WALK, (walk + 1) * TABLES_PER_WALK)
-            used = int(picks[list(own)].max()) + 1
-            pointer = np.zeros(len(starts), np.int64)
-            for step in range(used):
-                symbol = np.where(pointer < size, padded[np.minimum(starts + pointer, len(words))], -1)
-                for t in own:
-                    if (picks[t] == step).any():
-                        keys[:, t] = (keys[:, t] ^ (symbol + 2).astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
-                        keys[:, t] ^= keys[:, t] >> np.uint64(29)
-                h = (symbol + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ bits[walk, step]
-                h *= np.uint64(0xBF58476D1CE4E5B9)
-                pointer += (h >> np.uint64(63)).astype(np.int64)
+    def _keys(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(windows, TABLES) keys of the windows of ``words`` with these starts
+        and sizes: all walks of all windows advance together."""
+        n = len(starts)
+        padded = np.append(words + 2, 1).astype(np.uint64)  # 1: behind the window
+        limit = np.minimum(starts + sizes, len(words))[None, :]
+        pointer = np.repeat(starts[None, :], WALKS, axis=0)
+        outputs = np.empty((2 * int(sizes.max(initial=0)), WALKS, n), np.uint64)
+        for step in range(len(outputs)):
+            symbol = padded[np.where(pointer < limit, pointer, len(words))]
+            outputs[step] = symbol
+            h = (symbol * np.uint64(0x9E3779B97F4A7C15)) ^ self.bits[step][:, None]
+            pointer += ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(63)).astype(np.int64)
+        keys = np.empty((n, TABLES), np.uint64)
+        walk = np.arange(TABLES) // TABLES_PER_WALK
+        for s in np.unique(sizes):
+            own = np.flatnonzero(sizes == s)
+            h = np.broadcast_to((np.arange(TABLES) + TABLES * s).astype(np.uint64)[:, None], (TABLES, len(own)))
+            for i in range(SAMPLED):
+                h = (h ^ outputs[self.picks[s][:, i], walk][:, own]) * np.uint64(0xFF51AFD7ED558CCD)
+                h = h ^ (h >> np.uint64(29))
+            keys[own] = h.T
         return keys
 
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window start, item number) of windows that share a key with an item."""
-        if len(words) < MIN_WORDS or not self.sizes:
-            return
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window starts and item numbers, each pair once, of windows that
+        share a key with an item."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if len(words) < 2 or not self.sizes:
+            return found[0]
         known = np.concatenate([[0], np.cumsum(self.pairs[self._pair(words[:-1], words[1:])] & (words[:-1] > 0) & (words[1:] > 0))])
-        for size, least, bits, picks, tables in self.sizes:
-            n = len(words) - size + 1
-            if n < 1:  # a text shorter than the window: one window of all its words
-                starts = np.array([0]) if known[-1] >= least else np.zeros(0, np.int64)
+        starts, sizes = [], []
+        for s in self.sizes:
+            n = len(words) - s + 1
+            if n < 1:  # fewer words than the window: all of them are one window
+                own = np.zeros(int(known[-1] >= self.least[s]), np.int64)
             else:
-                starts = np.flatnonzero(known[size - 1:size - 1 + n] - known[:n] >= least)
-            for i in range(0, len(starts), 1 << 14):
-                part = starts[i:i + (1 << 14)]
-                keys = self._keys(words, part, size, bits, picks)
-                for t, (sorted_keys, owners) in enumerate(tables):
-                    low = np.searchsorted(sorted_keys, keys[:, t], "left")
-                    high = np.searchsorted(sorted_keys, keys[:, t], "right")
-                    for w in np.flatnonzero(high > low):
-                        for o in owners[low[w]:high[w]]:
-                            yield int(part[w]), int(o)
+                own = np.flatnonzero(known[s - 1:s - 1 + n] - known[:n] >= self.least[s])
+            starts.append(own)
+            sizes.append(np.full(len(own), s))
+        starts, sizes = np.concatenate(starts), np.concatenate(sizes)
+        for i in range(0, len(starts), 2048):
+            keys = self._keys(words, starts[i:i + 2048], sizes[i:i + 2048]).ravel()
+            low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+            hit = np.flatnonzero(high > low)
+            per = (high - low)[hit]
+            at = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(per)[:-1]]), per) + np.arange(per.sum())
+            pairs = np.unique(np.stack([np.repeat(starts[i + hit // TABLES], per), self.owners[at]]), axis=1)
+            found.append((pairs[0], pairs[1]))
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
         """(item id, edits, item words, first word, word behind) of the nearest
@@ -182,7 +194,7 @@ class Items:
     def matches_of_words(self, found: list[str]) -> list[tuple[int, int, int, int, int]]:
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
-        return self._verified(ids, ((s, o) for s, o in self.candidates(ids)))
+        return self._verified(ids, zip(*map(np.ndarray.tolist, self.candidates(ids)), strict=True))
 
     def _verified(self, ids: np.ndarray, candidates) -> list[tuple[int, int, int, int, int]]:
         best: dict[int, tuple[int, int, int]] = {}
@@ -222,29 +234,25 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> list[Items]:
 
 
 def _found(index: Items, texts: list[str | None]) -> list[list[tuple]]:
-    """Matches of each text; the texts' words go through the index in one run,
-    with gaps that no window can cross."""
+    """Matches of each text. A window may reach into the next text; what it
+    finds is verified on the words of its own text alone."""
     from specweave.llm.langid import chunks
 
     out: list[list[tuple]] = [[] for _ in texts]
     if not index.sizes:
         return out
-    get, gap = index.vocabulary.get, [0] * (2 * max(s for s, *_ in index.sizes))
     for cut in chunks(texts):
-        flat, starts = [], []
-        for text in texts[cut]:
-            starts.append(len(flat))
-            if text:
-                flat.extend([get(w, 0) for w in words_of(text)])
-            flat.extend(gap)
-        words, starts = np.array(flat, np.int64), np.array(starts)
+        # one run over all words; a NUL word, known to no item, ends each text
+        found = _WORD_OR_END.findall("".join([t.replace("\0", " ").lower() + "\0" if t else "\0" for t in texts[cut]]))
+        words = np.fromiter(map(index.vocabulary.get, found, repeat(0)), np.int64, len(found))
+        ends = np.flatnonzero(np.fromiter(map("\0".__eq__, found), bool, len(found)))
         by_text: dict[int, set] = {}
-        for at, number in index.candidates(words):
-            n = int(np.searchsorted(starts, at, "right")) - 1
-            by_text.setdefault(n, set()).add((at - int(starts[n]), number))
-        for n, found in by_text.items():
-            end = int(starts[n + 1]) if n + 1 < len(starts) else len(words)
-            out[cut.start + n] = index._verified(words[starts[n]:end - len(gap)], found)
+        starts, numbers = index.candidates(words)
+        for n, at, number in zip(np.searchsorted(ends, starts, "left").tolist(), starts.tolist(), numbers.tolist(), strict=True):
+            by_text.setdefault(n, set()).add((at, number))
+        for n, windows in by_text.items():
+            first = int(ends[n - 1]) + 1 if n else 0
+            out[cut.start + n] = index._verified(words[first:ends[n]], {(at - first, number) for at, number in windows})
     return out
 
 
