@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,3 +25,16 @@ def need(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def like(df: DataFrame, template: DataFrame) -> DataFrame:
     """``df`` with exactly the columns and types of ``template``."""
     return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in template.schema.fields])
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job started inside go when that job ends, instead of
+    when the driver happens to collect its garbage. Results do not depend on it."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

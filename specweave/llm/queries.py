@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm import decontaminate, html_main, langid, packing, pii, sharding, simhash, topk
+from specweave.llm import decontaminate, html_main, langid, packing, pii, quality, sharding, simhash, topk
 from specweave.llm.common import need, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op2_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kneser_ney_quality": op1_kneser_ney_quality,
     "op2_cgk_decontamination": op2_cgk_decontamination,
     "op3_simhash_gray_index": op3_simhash_gray_index,
     "op5_ffd_packing": op5_ffd_packing,
