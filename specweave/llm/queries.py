@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm import decontaminate, html_main, langid, packing, pii, quality, sharding, simhash, topk
+from specweave.llm import chat, decontaminate, html_main, langid, packing, pii, quality, sharding, simhash, topk
 from specweave.llm.common import need, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +33,11 @@ def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.from_conversations(table(spark, sf_dir, "conversations"))
+    return chat.link(calls, results, chat.TURN_SCHEMAS)
+
+
 def op5_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney_quality": op1_kneser_ney_quality,
     "op2_cgk_decontamination": op2_cgk_decontamination,
     "op3_simhash_gray_index": op3_simhash_gray_index,
+    "op4_tool_call_linking": op4_tool_call_linking,
     "op5_ffd_packing": op5_ffd_packing,
     "op6_rendezvous_sharding": op6_rendezvous_sharding,
     "op7_mtree_topk": op7_mtree_topk,
