@@ -1,8 +1,8 @@
 """Packing of tokenised documents into sequences.
 
 Tokenising reads each text once. White space separates tokens for the given
-tokenizer, so a text is cut at spaces and line ends, every distinct piece is
-tokenised once and its ids are kept (a bounded cache per worker); a text's ids
+tokenizer, so a text is cut at spaces and line ends, every distinct piece (in
+lower case, as this tokenizer does not tell case) is tokenised once and its ids are kept (a bounded cache per worker); a text's ids
 are the ids of its pieces in order. Each document's ids, with an end id, are cut
 into pieces of at most SEQUENCE ids: whole pieces fill a sequence alone, the
 rest is packed.
@@ -20,9 +20,12 @@ rows and null ids are packed like any other rows. Every id lies in one piece.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ from specweave.session import materialize
 SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000  # of each of two generations
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -43,23 +46,60 @@ class CachedTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("needs little-endian 32-bit integers")
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def _words(self, words: list[str]) -> None:
+        """Runs of letters, which are one word each to the tokenizer: many go
+        through it as one text, whose ids are cut behind each word's end."""
+        lines = [words[i:i + 256] for i in range(0, len(words), 256)]
+        for line, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) == len(line):
+                flat = ids.tobytes()
+                self.known.update(zip(line, [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+            else:
+                self._pieces(line)
+
+    def _pieces(self, pieces: list[str]) -> None:
+        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            self.known[piece] = array("I", found.ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        pieces = [_lower(t).replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > CACHE_PIECES:
+            self.known, self.older = {"": b""}, self.known
         new = set().union(*pieces) - self.known.keys()
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known = {"": b""}
-            new = set().union(*pieces) - {""}
-        fresh = list(new)
-        for piece, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
+        again = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        new -= again
+        # a letter run and one mark behind it are tokens by themselves
+        marked = [p for p in new if p[-1] in ".," and p[-2:-1].lower()[-1:].isalpha()]
+        new.difference_update(marked)
+        new.update({p[:-1] for p in marked} - self.known.keys(), {".", ","} - self.known.keys())
+        words = [p for p in new if p.isalpha() and p.lower().isalpha()]
+        self._words(words)
+        self._pieces(list(new.difference(words)))
         get = self.known.__getitem__
+        for p in marked:
+            self.known[p] = get(p[:-1]) + get(p[-1])
         return [b"".join(map(get, p)) for p in pieces]
 
 
+def _lower(text: str) -> str:
+    """``text`` in lower case, as the tokenizer's own first step makes it; left to
+    the tokenizer where the two could differ: letters whose lower case depends
+    on their neighbours or has two parts, and names of special tokens."""
+    return text if "\u03a3" in text or "\u0130" in text or "<|" in text else text.lower()
+
+
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
 
 
@@ -68,7 +108,6 @@ def _piece_batches(path: str, sequence: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         import pyarrow as pa
 
         from specweave.llm.langid import chunks
@@ -100,7 +139,6 @@ def tokenised_pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> Da
 def first_fit_decreasing(lengths, capacity: int):
     """Bin of each item (int array), first-fit by decreasing length, ties in
     the given order."""
-    import numpy as np
 
     n = len(lengths)
     bins = np.zeros(n, np.int64)
@@ -128,7 +166,6 @@ def first_fit_decreasing(lengths, capacity: int):
 
 def _pack_group(sequence: int):
     def run(key, rows):
-        import numpy as np
 
         rows = rows.sort_values("piece").reset_index(drop=True)
         bins = first_fit_decreasing(rows["length"].to_numpy(), sequence)
