@@ -1,16 +1,17 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
 A page is read as a sequence of tags and text runs. Words score positive and
-tags negative; words inside menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments score negative too. One linear scan
-finds the contiguous region with the highest sum; its text outside those
-elements is the result.
+tags negative; menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments are no part of the sequence, and words beside
+a marked content element score negative. One linear scan finds the contiguous
+region with the highest sum; its text is the result.
 
 Weights are log-odds learned from labelled pages, those whose markup marks the
 content itself (exactly one ``article`` or ``main``): how much more often a word
 in a context, or a tag, lies inside than outside of it. Each labelled page also
-counts as if it had no such mark, which gives the weights of unmarked pages. The
-model has one number per context and tag of a fixed list, whatever the corpus.
+counts as if it had no such mark, which gives the weights of unmarked pages; a
+tag not met there has its weight over all places. The model has one number per
+context and tag of a fixed list, whatever the corpus.
 
 Text: character references decoded, white space inside a block turned into one
 space, blocks joined by a line end; nothing else is dropped and no length is
@@ -156,16 +157,23 @@ def _cued(attributes: str) -> bool:
 KNOWN_TAGS = BLOCKS | DROPPED | VOID | frozenset("a abbr b bdi bdo cite code data del dfn em i ins kbd label legend mark q s samp small span strong sub sup time u var".split())
 
 
+def _tag(name: str) -> str:
+    return name if name in KNOWN_TAGS else "other"
+
+
 def features(page: Page) -> Iterator[tuple[str, bool, int]]:
     """(feature, inside, count) of a labelled page, with its mark and without."""
     for name, text, element in page.tokens:
-        inside = page.inside[element]
+        inside = page.inside[element] and not page.out[element]
         n = 1 if text is None else len(text.split())
         if not n:
             continue
+        if text is None:
+            yield f"any {_tag(name)}", inside, n
+        if page.out[element]:
+            continue
         for marked in (True, False):
-            context = page.context(element, marked)
-            yield (f"{context} {name if name in KNOWN_TAGS else 'other'}" if text is None else f"{context} #word"), inside, n
+            yield f"{page.context(element, marked)} {'#word' if text is not None else _tag(name)}", inside, n
 
 
 def labelled(page: Page) -> bool:
@@ -175,7 +183,7 @@ def labelled(page: Page) -> bool:
 def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     """Weight by feature, from (inside, outside) counts; defaults where unseen."""
     total_in, total_out = (sum(c[i] for c in counts.values()) for i in (0, 1))
-    found = {"out #word": -1.0, "plain #word": 1.0, "main #word": 1.0, "beside #word": -1.0}
+    found = {"plain #word": 1.0, "main #word": 1.0, "beside #word": -1.0}
     for feature, (n_in, n_out) in counts.items():
         odds = math.log((n_in + SMOOTHING) / (total_in + 2 * SMOOTHING)) - math.log((n_out + SMOOTHING) / (total_out + 2 * SMOOTHING))
         if feature.endswith("#word"):
@@ -207,10 +215,15 @@ def main_text(source: str | None, weight: dict[str, float]) -> str:
     scores = []
     for name, text, element in page.tokens:
         context = page.context(element, page.marked)
-        if text is None:
-            scores.append(weight.get(f"{context} {name if name in KNOWN_TAGS else 'other'}", -UNSEEN_TAG))
-        else:
+        if context == "out":
+            scores.append(0.0)
+        elif text is not None:
             scores.append(len(text.split()) * weight[f"{context} #word"])
+        else:
+            at = f"{context} {_tag(name)}"
+            if at not in weight and context == "plain":
+                at = f"any {_tag(name)}"
+            scores.append(weight.get(at, -UNSEEN_TAG))
     start, end = best_region(scores)
     blocks: list[list[str]] = [[]]
     for name, text, element in page.tokens[start:end]:
