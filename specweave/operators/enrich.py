@@ -1,15 +1,15 @@
 """Molecule enrichment (D2, U1) with its two rules.
 
-The reference computes canonical SMILES, a 128-bit fingerprint and a
-formula per molecule with a chemistry library.  Here they come from a
-supplied reference table ``(smiles, canonical_smiles, fingerprint,
-formula)``; users with a chemistry toolkit build that table once over
+The original computes canonical SMILES, a 128-bit fingerprint and a formula
+per molecule with a chemistry library.  Here they come from a supplied
+reference table ``(smiles, canonical_smiles, fingerprint, formula)``; users
+with a chemistry toolkit build that table once over
 ``df.select('smiles').distinct()`` with their own pandas UDF.
 
-Join strategy: the table is broadcast only when its row count, times a
-per-row size bound from its schema, is under the limit; otherwise the
-left join is a sort-merge join, where AQE's skew handling splits a hot
-SMILES (one molecule may be a third of all rows) across tasks.
+Join strategy: none is forced.  AQE measures the reference side and
+broadcasts it where it is small; otherwise the left join is a sort-merge join
+whose skew handling splits a hot SMILES (one molecule may be a third of all
+rows) across tasks.
 """
 
 from __future__ import annotations
@@ -17,54 +17,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rules import _err
+from .rules import MSG_UNKNOWN_MOLECULE, _err
 
-BROADCAST_LIMIT_BYTES = 64 << 20
-# Per-row size bound used for the check: 128 fingerprint bytes + three
-# strings of at most 256 bytes + row overhead.
-_ROW_BYTES = 128 + 3 * 256 + 64
+FINGERPRINT_BITS = 128
 
 
-_ROW_COUNTS: dict[int, int] = {}
+class ReferenceTableError(ValueError):
+    """The reference table breaks its contract."""
 
 
-def should_broadcast(ref: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> bool:
-    """Size check for the reference side: one count (Parquet answers it from
-    footers), remembered per reference plan for the session.  Only the join
-    strategy depends on it, never the result."""
-    key = ref._jdf.queryExecution().analyzed().semanticHash()
-    if key not in _ROW_COUNTS:
-        _ROW_COUNTS[key] = ref.count()
-    return _ROW_COUNTS[key] * _ROW_BYTES <= limit_bytes
+def check_reference(ref: DataFrame) -> None:
+    """One row per SMILES; no NULLs; fingerprints of 128 bits.
 
+    Raises :class:`ReferenceTableError`: a duplicate would multiply molecules, a
+    NULL would be written as data.
+    """
+    bad = ref.agg(
+        F.count_if(F.col("smiles").isNull()).alias("smiles"),
+        F.count_if(F.col("canonical_smiles").isNull()).alias("canonical_smiles"),
+        F.count_if(F.col("formula").isNull()).alias("formula"),
+        F.count_if(F.coalesce(F.size("fingerprint") != FINGERPRINT_BITS, F.lit(True))).alias("fingerprint"),
+    ).first().asDict()
+    for column, n in bad.items():
+        if n:
+            what = f"without {FINGERPRINT_BITS} bits" if column == "fingerprint" else "NULL"
+            raise ReferenceTableError(f"molecule reference: {n} rows with {column} {what}")
+    twice = ref.groupBy("smiles").count().where("count > 1").orderBy("smiles").limit(1).collect()
+    if twice:
+        raise ReferenceTableError(f"molecule reference: {twice[0]['count']} rows for SMILES {twice[0]['smiles']!r}")
 
-def enrich_molecules(df: DataFrame, ref: DataFrame, smiles_col: str = "smiles_raw",
-                     broadcast: bool | None = None) -> DataFrame:
-    """Left-join each molecule to the reference; unknown molecule -> C15.
 
-    Adds ``smiles`` (canonical), ``fingerprint``, ``ref_formula`` and
-    ``formula_mismatch``; folds C15 into ``error`` after every earlier rule.
-    Run before the energy fan-out, so the join sees one row per molecule.
-    Precondition: ``ref`` is unique on ``smiles`` (one row per molecule).
+def attach_reference(df: DataFrame, ref: DataFrame, smiles_col: str) -> DataFrame:
+    """Left-join the reference: ``_canonical, _fp, ref_formula, _known``.
+
+    Precondition: ``ref`` is unique on ``smiles`` (:func:`check_reference`).
     """
     r = ref.select(
         F.col("smiles").alias("_ref_smiles"),
         F.col("canonical_smiles").alias("_canonical"),
         F.col("fingerprint").alias("_fp"),
         F.col("formula").alias("ref_formula"),
+        F.lit(True).alias("_known"),
     )
-    if broadcast is None:
-        broadcast = should_broadcast(ref)
-    if broadcast:
-        r = F.broadcast(r)
-    joined = df.join(r, F.col(smiles_col) == F.col("_ref_smiles"), "left")
-    unknown = F.col("_ref_smiles").isNull()
-    c15 = _err("C15", F.concat(F.lit("invalid target SMILES: "), F.col(smiles_col)))
-    error = F.coalesce(F.col("error"), F.when(unknown, c15))
+    return df.join(r, F.col(smiles_col) == F.col("_ref_smiles"), "left").drop("_ref_smiles")
+
+
+def apply_reference(df: DataFrame, smiles_col: str = "smiles_raw") -> DataFrame:
+    """C15 and C18 on parsed molecules with the reference's columns attached.
+
+    Adds ``smiles`` (canonical), ``fingerprint`` and ``formula_mismatch``;
+    folds C15 into ``error`` after every earlier rule.
+    """
+    text, _, _ = MSG_UNKNOWN_MOLECULE.partition("{s}")
+    c15 = _err("C15", F.concat(F.lit(text), F.col(smiles_col)))
+    error = F.coalesce(F.col("error"), F.when(F.col("_known").isNull(), c15))
     return (
-        joined.withColumn("error", error)
+        df.withColumn("error", error)
         .withColumn("smiles", F.col("_canonical"))
         .withColumn("fingerprint", F.col("_fp"))
-        .withColumn("formula_mismatch", F.col("error").isNull() & (F.col("formula") != F.col("ref_formula")))
-        .drop("_ref_smiles", "_canonical", "_fp")
+        .withColumn("formula_mismatch", F.col("error").isNull() & ~F.col("formula").eqNullSafe(F.col("ref_formula")))
+        .drop("_canonical", "_fp", "_known")
     )
+
+
+def enrich_molecules(df: DataFrame, ref: DataFrame, smiles_col: str = "smiles_raw") -> DataFrame:
+    """D2 on parsed molecules: attach the reference and apply its rules.
+
+    Run before the energy fan-out, so the join sees one row per molecule.
+    """
+    return apply_reference(attach_reference(df, ref, smiles_col), smiles_col)

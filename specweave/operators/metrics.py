@@ -43,7 +43,11 @@ def verify_lengths(valid: DataFrame, expected_length: int) -> DataFrame:
 
     ``(split, molecules, at_expected, other_lengths, ok)``.
     """
-    hist = ir_length_histogram(valid)
+    return verify_length_histogram(ir_length_histogram(valid), expected_length)
+
+
+def verify_length_histogram(hist: DataFrame, expected_length: int) -> DataFrame:
+    """E10 on a histogram ``(split, ir_length string, molecules)``."""
     return hist.groupBy("split").agg(
         F.sum("molecules").alias("molecules"),
         F.sum(F.when(F.col("ir_length") == str(expected_length), F.col("molecules")).otherwise(0)).alias("at_expected"),

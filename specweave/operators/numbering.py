@@ -52,8 +52,14 @@ def number_rows(df: DataFrame, group_cols: list[str], order_col: str, out_col: s
     before = Window.partitionBy(*group_cols).orderBy("_nb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group_cols, "_nb", F.coalesce(F.sum("_nc").over(before), F.lit(0)).alias("_off"))
     local = Window.partitionBy(*group_cols, "_nb").orderBy(order_col)
+    # NULL groups and NULL keys are groups and a bucket like any other
+    on = None
+    for c in [*group_cols, "_nb"]:
+        offsets = offsets.withColumnRenamed(c, f"_o_{c}")
+        same = F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+        on = same if on is None else on & same
     return (
-        keyed.join(offsets, [*group_cols, "_nb"])
+        keyed.join(offsets, on)
         .withColumn(out_col, (F.row_number().over(local) + F.col("_off")).cast("long"))
-        .drop("_nb", "_off")
+        .drop("_nb", "_off", *[f"_o_{c}" for c in [*group_cols, "_nb"]])
     )

@@ -35,6 +35,7 @@ MSG_UNSORTED = "{m} m/z values are not sorted"
 MSG_NO_POSITIVE = "{m} has no positive-intensity peaks"
 MSG_UNKNOWN_MOLECULE = "invalid target SMILES: {s}"
 MSG_ROW = "{split} line {n}: {error}"
+MSG_DECODE = "not valid UTF-8"
 MSG_GAP_HCIR = "{split} source/target mismatch at line {n}"
 MSG_GAP_MSMS = "{split} source/target line count mismatch at line {n}"
 # ---------------------------------------------------------------------------
@@ -61,8 +62,8 @@ def _finish(raw: Column) -> Column:
     """
     rule = raw["rule"]
     message = (
-        F.when(rule == "C10", F.concat(F.lit("could not convert string to float: "), S.py_repr_str(raw["token"])))
-        .when(rule == "C12", F.concat(raw["message"], F.lit(" contains an invalid peak: "),
+        F.when(rule == "C10", F.concat(F.lit(MSG_NOT_FLOAT.format(tok="")), S.py_repr_str(raw["token"])))
+        .when(rule == "C12", F.concat(F.lit(MSG_INVALID_PEAK.partition("{m}")[0]), raw["message"], F.lit(MSG_INVALID_PEAK.partition("{m}")[2].partition("{mz}")[0]),
                                       S.py_repr_double(raw["mz"]), F.lit(", "), S.py_repr_double(raw["intensity"])))
         .otherwise(raw["message"])
     )
@@ -130,8 +131,7 @@ def _hcir_stages(expected_ir_length: int, source: str, target: str) -> list:
         F.when(ir_len == 0, _err("C6", MSG_IR_EMPTY)),
         F.when(
             F.lit(expected_ir_length != 0) & (ir_len != F.lit(expected_ir_length)),
-            _err("C7", F.concat(F.lit(f"IR length mismatch: expected {expected_ir_length}, got "),
-                                ir_len.cast("string"))),
+            _err("C7", F.concat(F.lit(MSG_IR_LENGTH.format(e=expected_ir_length, n="")), ir_len.cast("string"))),
         ),
         F.when(F.col("smiles") == "", _err("C8", MSG_TARGET_EMPTY)),
     )
@@ -197,7 +197,7 @@ def spectrum_error(toks: Column, peaks: Column, marker: str) -> Column:
         S.all_present(mz) & S.all_present(it)
         & (F.array_min(mz) > 0) & (F.array_min(it) >= 0)
         & (F.array_max(mz) < inf) & (F.array_max(it) < inf)
-        & (F.array_sort(mz) == mz)
+        & (F.sort_array(mz) == mz)
     )
     no_positive = _err("C14", MSG_NO_POSITIVE.format(m=marker))
     return (
@@ -266,16 +266,18 @@ def parse_msms(df: DataFrame, source: str = "source", target: str = "target") ->
 # --------------------------------------------------------------------------- line-level
 
 def with_alignment_error(df: DataFrame, kind: str = "hcir") -> DataFrame:
-    """C17 for rows of a full outer alignment where one side is missing.
+    """C17 for rows of a full outer alignment where one side is missing, and C0
+    for lines that are not valid UTF-8.
 
-    The alignment error replaces any parse error: such a line is never parsed.
+    Both replace any parse error: such a line is never parsed.
     """
-    template = "source/target mismatch at line " if kind == "hcir" else "source/target line count mismatch at line "
+    template = MSG_GAP_HCIR if kind == "hcir" else MSG_GAP_MSMS
+    middle = template.replace("{split}", "").replace("{n}", "")
     gap = F.col("source").isNull() | F.col("target").isNull()
-    msg = F.concat(F.col("split"), F.lit(" " + template), F.col("line_number").cast("string"))
-    return df.withColumn("error", F.when(gap, _err("C17", msg)).otherwise(F.col("error"))).withColumn(
-        "is_gap", gap
-    )
+    garbled = ~(F.is_valid_utf8("source") & F.is_valid_utf8("target"))
+    msg = F.concat(F.col("split"), F.lit(middle), F.col("line_number").cast("string"))
+    error = F.when(gap, _err("C17", msg)).when(garbled, _err("C0", MSG_DECODE)).otherwise(F.col("error"))
+    return df.withColumn("error", error).withColumn("is_gap", gap)
 
 
 def row_message(df: DataFrame) -> Column:
@@ -287,38 +289,16 @@ def row_message(df: DataFrame) -> Column:
 
 
 def first_error_per_split(df: DataFrame) -> DataFrame:
-    """Lowest failing line per split: ``(split, line_number, rule, message)``.
-
-    A partial+final aggregate (``min`` over a struct ordered by line), so
-    no group is ever collected; the result has at most one row per split.
-    """
-    first = (
-        df.where(F.col("error").isNotNull())
-        .groupBy("split")
-        .agg(F.min(F.struct(F.col("line_number"), F.col("error"))).alias("_f"))
-    )
-    return first.select(
-        "split",
-        F.col("_f.line_number").alias("line_number"),
-        F.col("_f.error.rule").alias("rule"),
-        F.col("_f.error.message").alias("message"),
-        F.col("_f.error.mz").alias("mz"),
-        F.col("_f.error.intensity").alias("intensity"),
-    )
+    """Lowest failing line per split: ``(split, line_number, rule, message, token, mz,
+    intensity)``.
 
-
-def first_error_expr() -> Column:
-    """Aggregate for the job-wide first error in processing order.
-
-    Suitable for ``DataFrame.observe``: one struct, no grouping.
+    A hash aggregate finds the line numbers (at most one row per split, which
+    is broadcast); the error itself is then read from that line.
     """
-    return F.min(
-        F.when(
-            F.col("error").isNotNull(),
-            F.struct(T.split_order("split").alias("o"), F.col("line_number").alias("n"),
-                     F.col("split").alias("split"), F.col("error").alias("error")),
-        )
-    )
+    failing = df.where(F.col("error").isNotNull()).select("split", "line_number", "error")
+    first = failing.groupBy("split").agg(F.min("line_number").alias("line_number"))
+    return failing.join(F.broadcast(first), ["split", "line_number"]).select(
+        "split", "line_number", *[F.col(f"error.{c}").alias(c) for c in ("rule", "message", "token", "mz", "intensity")])
 
 
 def format_fatal(split: str, line_number: int, error: dict) -> str:
@@ -326,6 +306,8 @@ def format_fatal(split: str, line_number: int, error: dict) -> str:
     if error["rule"] == "C17":
         return error["message"]
     msg = error["message"]
+    if error["rule"] == "C10":
+        msg = MSG_NOT_FLOAT.format(tok=repr(error["token"]))
     if error["rule"] == "C12":
         marker = msg.split(" ", 1)[0]
         msg = MSG_INVALID_PEAK.format(m=marker, mz=repr(float(error["mz"])),

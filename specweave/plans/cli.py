@@ -23,16 +23,11 @@ from pyspark.sql import SparkSession
 from . import jobs
 
 
-def _session() -> SparkSession:
-    spark = SparkSession.builder.appName("specweave").getOrCreate()
-    return spark
-
-
-def _positive(value: str) -> int:
-    n = int(value)
-    if n <= 0:
-        raise argparse.ArgumentTypeError("must be positive")
-    return n
+def _session(checkpoint_dir: str | None) -> SparkSession:
+    builder = SparkSession.builder.appName("specweave")
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def _pairs(items: list[str], conv) -> dict:
@@ -45,26 +40,29 @@ def _pairs(items: list[str], conv) -> dict:
 
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="specweave", description="Aligned-spectra preparation on Spark")
+    p.add_argument("--checkpoint-dir", default=None, help="folder shared by the driver and all executors (spark.checkpoint.dir)")
     sub = p.add_subparsers(dest="command", required=True)
 
     h = sub.add_parser("hcir", help="NMR/IR conversion (J1)")
     h.add_argument("--source-view", required=True)
     h.add_argument("--output-dir", required=True)
-    h.add_argument("--batch-rows", type=_positive, default=4096)
+    h.add_argument("--batch-rows", type=int, default=4096)
     h.add_argument("--max-molecules", type=int, default=0)
     h.add_argument("--expected-ir-length", type=int, default=0)
-    h.add_argument("--unordered", action="store_true", help="skip the line-order write (no range shuffle)")
+    h.add_argument("--rejects", default=None, help="quarantine failing lines in this folder instead of failing")
 
     m = sub.add_parser("msms", help="MS/MS conversion (J2)")
     m.add_argument("--source-view", required=True)
     m.add_argument("--output-dir", required=True)
     m.add_argument("--molecule-ref", required=True, help="Parquet table (smiles, canonical_smiles, fingerprint, formula)")
     m.add_argument("--manifest", default=None)
-    m.add_argument("--batch-molecules", type=_positive, default=4096)
+    m.add_argument("--batch-molecules", type=int, default=4096)
     m.add_argument("--max-molecules", type=int, default=0)
     for split in ("train", "validation", "test"):
         m.add_argument(f"--expected-{split}-molecules", type=int, default=0)
-    m.add_argument("--unordered", action="store_true")
+    m.add_argument("--fingerprint-type", default=None, help="what the reference table's bits are, for the summary")
+    m.add_argument("--fingerprint-radius", type=int, default=None)
+    m.add_argument("--rejects", default=None, help="quarantine failing lines in this folder instead of failing")
 
     sh = sub.add_parser("stage-hcir", help="convert if needed, verify, stage eval set, write READY (J3)")
     sh.add_argument("--source-view", required=True)
@@ -87,14 +85,19 @@ def build_parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = build_parser().parse_args(argv)
-    spark = _session()
+    if args.command in ("hcir", "msms"):
+        jobs.validate_args(args.max_molecules, args.batch_rows if args.command == "hcir" else args.batch_molecules, args.command)
+    spark = _session(args.checkpoint_dir)
     if args.command == "hcir":
-        result = jobs.convert_hcir(spark, args.source_view, args.output_dir, args.max_molecules,
-                                   args.expected_ir_length, ordered=not args.unordered)
+        result = jobs.convert_hcir(spark, args.source_view, args.output_dir, args.max_molecules, args.expected_ir_length,
+                                   on_error="quarantine" if args.rejects else "fail", rejects=args.rejects)
     elif args.command == "msms":
         expected = {s: getattr(args, f"expected_{s}_molecules") for s in ("train", "validation", "test")}
+        bits = {"type": args.fingerprint_type, "radius": args.fingerprint_radius}
         result = jobs.convert_msms(spark, args.source_view, args.output_dir, spark.read.parquet(args.molecule_ref),
-                                   args.max_molecules, expected, args.manifest, ordered=not args.unordered)
+                                   args.max_molecules, expected, args.manifest,
+                                   fingerprint={k: v for k, v in bits.items() if v is not None},
+                                   on_error="quarantine" if args.rejects else "fail", rejects=args.rejects)
     elif args.command == "stage-hcir":
         result = jobs.stage_hcir(spark, args.source_view, args.full_dir, args.eval_dir,
                                  _pairs(args.expected, int), args.eval_rows, args.expected_ir_length)

@@ -93,7 +93,9 @@ ms_ord AS (
     sum(n_zero) AS n_zero
   FROM ms_sec GROUP BY l_orderkey),
 msms_lines AS (
-  SELECT 'train' AS split, o.o_orderkey + 1 AS line_number, o.o_orderkey,
+  SELECT CASE WHEN o.o_orderkey % 10 < 8 THEN 'train' WHEN o.o_orderkey % 10 = 8 THEN 'validation' ELSE 'test' END AS split,
+    CASE WHEN o.o_orderkey % 10 < 8 THEN o.o_orderkey // 10 * 8 + o.o_orderkey % 10 + 1 ELSE o.o_orderkey // 10 + 1 END AS line_number,
+    o.o_orderkey,
     o.o_custkey % 50 + 1 AS kk, o.o_orderstatus AS st,
     CASE WHEN m.l_orderkey IS NOT NULL THEN concat_ws(' ', 'C',
         CAST(o.o_custkey % 50 + 1 + CASE WHEN o.o_orderkey % 97 = 0 THEN 1 ELSE 0 END AS VARCHAR),
@@ -113,7 +115,7 @@ msms_rules AS (
          WHEN NOT has_a OR NOT has_n OR NOT has_r THEN 'C1'
          WHEN zero_a OR zero_n OR zero_r THEN 'C14'
          WHEN kk = 50 THEN 'C15' END AS rule,
-    CASE WHEN source IS NULL THEN 'train source/target line count mismatch at line ' || CAST(line_number AS VARCHAR)
+    CASE WHEN source IS NULL THEN split || ' source/target line count mismatch at line ' || CAST(line_number AS VARCHAR)
          WHEN NOT has_a THEN 'missing marker E10Pos'
          WHEN NOT has_n THEN 'missing marker E20Pos'
          WHEN NOT has_r THEN 'missing marker E40Pos'
@@ -123,7 +125,7 @@ msms_rules AS (
          WHEN kk = 50 THEN 'invalid target SMILES: ' || smiles END AS message
   FROM msms_lines),
 msms_valid AS (
-  SELECT row_number() OVER (ORDER BY line_number) AS vline, *
+  SELECT row_number() OVER (PARTITION BY split ORDER BY line_number) AS vline, *
   FROM msms_rules WHERE rule IS NULL),
 msms_spectra AS (
   SELECT split, vline, 0 AS energy_ord, 'E10Pos' AS energy, p10 AS n_peaks, s10 AS spectrum_text, payload, smiles, fp_bits FROM msms_valid
@@ -150,7 +152,8 @@ ORACLE: dict[str, str] = {
     "msms_convert": MS + "SELECT split, payload AS formula, smiles, spectrum_text, fp_bits FROM msms_spectra",
     "msms_parquet_roundtrip": MS + "SELECT split, payload AS formula, smiles, spectrum_text, fp_bits FROM msms_spectra",
     "scan_aligned_pair": H + "SELECT split, line_number, source, target FROM hcir_lines",
-    "line_number": H + "SELECT line_number, source AS value FROM hcir_lines WHERE split = 'train'",
+    "line_number": H + """SELECT split, 'source' AS side, line_number, source AS value FROM hcir_lines
+        UNION ALL SELECT split, 'target', line_number, target FROM hcir_lines""",
     "split_map": H + f"""SELECT split, CASE split WHEN 'validation' THEN 'val' ELSE split END AS stem,
         CAST({_SPLIT_ORD} AS BIGINT) AS split_ord, count(*) AS lines FROM hcir_lines GROUP BY split""",
     "summary_json": H + """SELECT split, CAST(to_json(struct_pack(molecules_written := count(*),
@@ -184,25 +187,36 @@ ORACLE: dict[str, str] = {
         CAST(floor(CAST(v AS DOUBLE) * 10000) AS BIGINT) AS value
         FROM (SELECT split, line_number, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM hcir_lines)""",
     "smiles_join": H + "SELECT split, line_number, smiles FROM hcir_lines",
-    "peak_pairs": MS + """SELECT o.line_number, p.energy,
+    "peak_pairs": MS + """SELECT o.split, o.line_number, p.energy,
         CAST(row_number() OVER (PARTITION BY p.l_orderkey, p.flag ORDER BY p.mz, p.it) - 1 AS BIGINT) AS peak_idx,
         CAST(p.mz AS BIGINT) AS mz, p.it AS intensity
         FROM (SELECT *, CASE flag WHEN 'A' THEN 'E10Pos' WHEN 'N' THEN 'E20Pos' ELSE 'E40Pos' END AS energy FROM ms_peaks) p
         JOIN msms_lines o ON o.o_orderkey = p.l_orderkey WHERE o.has_a AND o.has_n AND o.has_r""",
-    "positive_peaks": MS + """SELECT o.line_number, p.energy,
+    "positive_peaks": MS + """SELECT o.split, o.line_number, p.energy,
         CAST(row_number() OVER (PARTITION BY p.l_orderkey, p.flag ORDER BY p.mz, p.it) - 1 AS BIGINT) AS peak_idx,
         CAST(p.mz AS BIGINT) AS mz, p.it AS intensity
         FROM (SELECT *, CASE flag WHEN 'A' THEN 'E10Pos' WHEN 'N' THEN 'E20Pos' ELSE 'E40Pos' END AS energy
               FROM ms_peaks WHERE it <> 0) p
         JOIN msms_lines o ON o.o_orderkey = p.l_orderkey WHERE o.has_a AND o.has_n AND o.has_r""",
-    "zero_peaks_removed": MS + "SELECT line_number, CAST(n_zero AS BIGINT) AS zero_peaks FROM msms_rules WHERE rule IS NULL",
+    "zero_peaks_removed": MS + "SELECT split, line_number, CAST(n_zero AS BIGINT) AS zero_peaks FROM msms_rules WHERE rule IS NULL",
     # ---------------------------------------------------------------- C
     "err_missing_marker": H + "SELECT split, line_number, message FROM hcir_bad WHERE rule = 'C1'",
     "err_marker_order": H + "SELECT split, line_number, message FROM hcir_bad WHERE rule = 'C2'",
     "err_empty_sections": H + "SELECT split, line_number, rule, message FROM hcir_bad WHERE rule IN ('C3', 'C4', 'C8')",
     "err_ir_vector": H + "SELECT split, line_number, rule, message FROM hcir_bad WHERE rule IN ('C5', 'C6', 'C7')",
-    "err_spectrum": MS + "SELECT line_number, rule, message FROM msms_rules WHERE rule = 'C14'",
-    "err_unknown_molecule": MS + "SELECT line_number, message FROM msms_rules WHERE rule = 'C15'",
+    "err_spectrum": MS + "SELECT split, line_number, rule, message FROM msms_rules WHERE rule = 'C14'",
+    "err_spectrum_values": """WITH o AS (SELECT *, o_orderkey % 20 AS fault, o_custkey % 50 + 10 AS low FROM orders WHERE o_orderkey % 20 < 15),
+        n AS (SELECT *, fault // 3 + 9 AS rule_no, CASE fault % 3 WHEN 0 THEN 'E10Pos' WHEN 1 THEN 'E20Pos' ELSE 'E40Pos' END AS marker FROM o)
+        SELECT CASE WHEN o_orderkey % 10 < 8 THEN 'train' WHEN o_orderkey % 10 = 8 THEN 'validation' ELSE 'test' END AS split,
+          CASE WHEN o_orderkey % 10 < 8 THEN o_orderkey // 10 * 8 + o_orderkey % 10 + 1 ELSE o_orderkey // 10 + 1 END AS line_number,
+          'C' || CAST(rule_no AS VARCHAR) AS rule,
+          CASE rule_no WHEN 9 THEN marker || ' does not contain m/z-intensity pairs'
+            WHEN 10 THEN 'could not convert string to float: ''x'''
+            WHEN 11 THEN marker || ' contains a non-finite peak'
+            WHEN 12 THEN marker || ' contains an invalid peak: ' || CAST(low AS VARCHAR) || '.0, -5.0'
+            ELSE marker || ' m/z values are not sorted' END AS message FROM n""",
+    "rejects": H + "SELECT split, line_number, message AS error FROM hcir_bad WHERE rule IS NOT NULL",
+    "err_unknown_molecule": MS + "SELECT split, line_number, message FROM msms_rules WHERE rule = 'C15'",
     "first_error_per_split": H + """SELECT split, line_number, split || ' line ' || CAST(line_number AS VARCHAR) || ': ' || message AS message
         FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY line_number) AS rn FROM hcir_bad WHERE rule IS NOT NULL)
         WHERE rn = 1""",
@@ -211,13 +225,14 @@ ORACLE: dict[str, str] = {
         FROM (SELECT coalesce(d.doc_id, l.doc_id) + 1 AS line_number FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id
               WHERE d.doc_id IS NULL OR l.doc_id IS NULL)
         HAVING count(*) > 0""",
-    "formula_mismatches": MS + "SELECT line_number, payload, ref_formula AS reference, smiles FROM msms_rules WHERE rule IS NULL AND payload <> ref_formula",
+    "formula_mismatches": MS + "SELECT split, line_number, payload, ref_formula AS reference, smiles FROM msms_rules WHERE rule IS NULL AND payload <> ref_formula",
     # ---------------------------------------------------------------- D
     "align_full_outer": """SELECT coalesce(d.doc_id, l.doc_id) + 1 AS line_number, d.doc_id IS NOT NULL AS has_source,
         l.doc_id IS NOT NULL AS has_target FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id""",
-    "enrich_join": MS + "SELECT line_number, smiles, ref_formula, fp_bits FROM msms_rules WHERE rule IS NULL",
-    "verify_counts": MS + """SELECT split, count(*) AS expected, count(*) FILTER (WHERE rule IS NULL) AS actual,
-        count(*) = count(*) FILTER (WHERE rule IS NULL) AS ok FROM msms_rules WHERE rule IS DISTINCT FROM 'C17' GROUP BY split""",
+    "enrich_join": MS + "SELECT split, line_number, smiles, ref_formula, fp_bits FROM msms_rules WHERE rule IS NULL",
+    "verify_counts": MS + """SELECT split, expected, actual, expected = actual AS ok FROM (
+        SELECT split, CASE WHEN split = 'test' THEN count(*) FILTER (WHERE rule IS NULL) ELSE count(*) END AS expected,
+          count(*) FILTER (WHERE rule IS NULL) AS actual FROM msms_rules WHERE rule IS DISTINCT FROM 'C17' GROUP BY split)""",
     # ---------------------------------------------------------------- E
     "hcir_split_summary": H + "SELECT split, count(*) AS molecules_written, CAST(sum(mult) AS BIGINT) AS multiplets_written FROM hcir_lines GROUP BY split",
     "ir_length_histogram": H + """SELECT split, CASE WHEN k = 46 THEN '3' ELSE CAST(ir_len AS VARCHAR) END AS ir_length, count(*) AS molecules
@@ -239,17 +254,23 @@ ORACLE: dict[str, str] = {
         SELECT split, row_number() OVER (PARTITION BY split ORDER BY line_number) AS rank, line_number, payload,
                ref_formula AS reference, smiles
         FROM msms_rules WHERE rule IS NULL AND payload <> ref_formula) WHERE rank <= 10""",
-    "verify_summary": MS + """SELECT split, count(*) FILTER (WHERE rule IS NULL) = count(*) AS molecules_ok,
-        count(*) FILTER (WHERE rule IS NULL) = count(*) AS spectra_ok,
+    "verify_summary": MS + """SELECT split, split = 'test' OR count(*) FILTER (WHERE rule IS NULL) = count(*) AS molecules_ok,
+        split = 'test' OR count(*) FILTER (WHERE rule IS NULL) = count(*) AS spectra_ok,
         count(*) FILTER (WHERE rule IS NULL AND payload <> ref_formula) = 0 AS mismatches_ok
         FROM msms_rules WHERE rule IS DISTINCT FROM 'C17' GROUP BY split""",
     # ---------------------------------------------------------------- F, G
     "first_n_per_split": H + "SELECT split, line_number, formula AS molecular_formula FROM hcir_lines WHERE line_number <= 100",
     "eval_subset_hcir": H + "SELECT line_number, formula AS molecular_formula, smiles FROM hcir_lines WHERE split = 'test' AND line_number <= 32",
-    "explode_energies": MS + """SELECT vline AS line_number, CAST(energy_ord AS BIGINT) AS energy_ord, energy,
+    "explode_energies": MS + """SELECT split, vline AS line_number, CAST(energy_ord AS BIGINT) AS energy_ord, energy,
         CAST(n_peaks AS BIGINT) AS n_peaks, payload AS formula, smiles, spectrum_text FROM msms_spectra""",
     "eval_subset_msms": MS + """SELECT vline AS line_number, energy, CAST(n_peaks AS BIGINT) AS n_peaks FROM msms_spectra
-        WHERE (vline - 1) * 3 + energy_ord < 2048""",
+        WHERE split = 'test' AND (vline - 1) * 3 + energy_ord < 2048""",
+    "stage_msms": MS + """, clean AS (
+        SELECT *, row_number() OVER (PARTITION BY split ORDER BY vline) AS cline FROM msms_valid WHERE payload = ref_formula),
+      spectra AS (SELECT split, cline, 0 AS e, payload, smiles, s10 AS t FROM clean
+        UNION ALL SELECT split, cline, 1, payload, smiles, s20 FROM clean
+        UNION ALL SELECT split, cline, 2, payload, smiles, s40 FROM clean)
+      SELECT split, payload AS formula, smiles, t AS spectrum_text FROM spectra WHERE split <> 'test' OR (cline - 1) * 3 + e < 100""",
     # ---------------------------------------------------------------- W, K
     "consecutive_runs": """WITH e AS (SELECT user_id, event_id, coalesce(value <= 20.0, false) AS p FROM events),
         i AS (SELECT *, sum(CASE WHEN p THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id
@@ -259,3 +280,4 @@ ORACLE: dict[str, str] = {
         SELECT user_id, event_id FROM r WHERE p AND run = 3""",
 }
 ORACLE["consecutive_runs_stream"] = ORACLE["consecutive_runs"]
+ORACLE["enrich_join_sorted"] = ORACLE["enrich_join"]

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import tokens as T
 from ..operators import metrics as M
 from ..operators import rules as R
+from ..operators.enrich import enrich_molecules
+from ..operators.numbering import number_rows
 from ..operators.runs import consecutive_runs
 from ..operators.subsets import eval_subset_hcir, eval_subset_msms, explode_energies, take_first
 from ..session import scratch_path
@@ -24,13 +26,14 @@ from ..sources import fixtures as FX
 from ..sources import fs
 from ..sources import parquet as PQ
 from ..sources import summary as SM
-from ..sources.text import align, read_aligned, read_lines
+from ..sources.text import align, read_aligned, read_line_groups, split_paths, write_text_view
 from . import jobs as J
 from . import views as V
 
 HCIR_EVAL_ROWS = 32          # the test split has 50 lines at sf0.001/sf0.01
 MSMS_EVAL_ROWS = 2048        # the reference's evaluation size
 FIRST_N = 100
+STAGED_EVAL_ROWS = 100      # of the test split of the clean lines
 RUN_LENGTH = 3
 IDLE_VALUE = 20.0
 
@@ -80,7 +83,6 @@ def _msms_converted(spark: SparkSession, sf: str) -> str:
         root = scratch_path(spark, "msms-payload")
         view = f"{root}/opennmt/VIEW"
         src = V.msms_valid_lines(spark, sf)
-        from ..sources.text import write_text_view
         write_text_view(src, view)
         fs.write_text(spark, f"{root}/manifest.json", '{"tables": ["lineitem", "orders"]}\n')
         out = scratch_path(spark, "msms-full")
@@ -89,6 +91,28 @@ def _msms_converted(spark: SparkSession, sf: str) -> str:
     return V.memo((sf, "msms_full"), make)
 
 
+def _msms_staged(spark: SparkSession, sf: str) -> str:
+    """J4 over the valid lines whose formula matches the reference's."""
+    def make():
+        root = scratch_path(spark, "msms-clean")
+        view = f"{root}/opennmt/VIEW"
+        valid = V.msms_valid(spark, sf).where(~F.col("formula_mismatch")).drop("line_number")
+        clean = number_rows(valid, ["split"], "source_line", materialize=True).select("split", "line_number", "source", "target")
+        write_text_view(clean, view)
+        fs.write_text(spark, f"{root}/manifest.json", '{"tables": ["lineitem", "orders"]}\n')
+        counts = {r["split"]: int(r["n"]) for r in clean.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+        eval_dir = scratch_path(spark, "msms-eval")
+        J.stage_msms(spark, view, scratch_path(spark, "msms-clean-full"), eval_dir, FX.molecule_ref(spark, sf),
+                     {s: (n, 3 * n) for s, n in counts.items()}, eval_rows=STAGED_EVAL_ROWS)
+        return eval_dir
+    return V.memo((sf, "msms_eval"), make)
+
+
+def q_stage_msms(spark, sf):
+    d = FL.read_staged(spark, _msms_staged(spark, sf), PQ.MSMS_SCHEMA)
+    return d.select("split", "formula", "smiles", _spectrum_text(F.col("spectrum")).alias("spectrum_text"))
+
+
 # --------------------------------------------------------------------------- A: sources and sinks
 
 def q_hcir_convert(spark, sf):
@@ -112,7 +136,7 @@ def q_msms_convert(spark, sf):
 
 def q_msms_parquet_roundtrip(spark, sf):
     out = scratch_path(spark, "msms-roundtrip")
-    PQ.write_dataset(explode_energies(V.msms_valid(spark, sf)), out, PQ.MSMS_SCHEMA)
+    PQ.write_dataset(explode_energies(V.msms(spark, sf).where(F.col("error").isNull())), out, PQ.MSMS_SCHEMA)
     d = PQ.read_dataset(spark, out, PQ.MSMS_SCHEMA)
     return d.select("split", "formula", "smiles", _spectrum_text(F.col("spectrum")).alias("spectrum_text"),
                     _bits(F.col("fingerprint")).alias("fp_bits"))
@@ -123,8 +147,12 @@ def q_scan_aligned_pair(spark, sf):
 
 
 def q_line_number(spark, sf):
+    """All six files of the view, numbered in one scan."""
     view = V.text_view(spark, sf, "hcir")
-    return read_lines(spark, f"{view}/data/src-train.txt").select("line_number", "value")
+    groups = {f"{split}/{side}": path for split in T.SPLITS for side, path in zip(("source", "target"), split_paths(view, split))}
+    lines = read_line_groups(spark, groups)
+    return lines.select(F.substring_index("group", "/", 1).alias("split"), F.substring_index("group", "/", -1).alias("side"),
+                        "line_number", "value")
 
 
 def q_split_map(spark, sf):
@@ -248,10 +276,10 @@ def _msms_ordered_lines(spark, sf):
 
 def q_peak_pairs(spark, sf):
     t = _msms_ordered_lines(spark, sf)
-    parts = [t.select("line_number", F.lit(m).alias("energy"), F.posexplode(f"_pk_{m}").alias("peak_idx", "p"))
+    parts = [t.select("split", "line_number", F.lit(m).alias("energy"), F.posexplode(f"_pk_{m}").alias("peak_idx", "p"))
              for m in T.ENERGY_MARKERS]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.select("line_number", "energy", _long("peak_idx").alias("peak_idx"),
+    return u.select("split", "line_number", "energy", _long("peak_idx").alias("peak_idx"),
                     _long(F.col("p.mz")).alias("mz"), _long(F.col("p.intensity")).alias("intensity"))
 
 
@@ -259,16 +287,16 @@ def q_positive_peaks(spark, sf):
     from ..functions.spectra import positive_peaks
 
     t = _msms_ordered_lines(spark, sf)
-    parts = [t.select("line_number", F.lit(m).alias("energy"),
+    parts = [t.select("split", "line_number", F.lit(m).alias("energy"),
                       F.posexplode(positive_peaks(F.col(f"_pk_{m}"))).alias("peak_idx", "p"))
              for m in T.ENERGY_MARKERS]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.select("line_number", "energy", _long("peak_idx").alias("peak_idx"),
+    return u.select("split", "line_number", "energy", _long("peak_idx").alias("peak_idx"),
                     _long(F.col("p.mz")).alias("mz"), _long(F.col("p.intensity")).alias("intensity"))
 
 
 def q_zero_peaks_removed(spark, sf):
-    return V.msms(spark, sf).where(F.col("error").isNull()).select("line_number", _long("zero_peaks").alias("zero_peaks"))
+    return V.msms(spark, sf).where(F.col("error").isNull()).select("split", "line_number", _long("zero_peaks").alias("zero_peaks"))
 
 
 # --------------------------------------------------------------------------- C: rules
@@ -297,12 +325,28 @@ def q_err_ir_vector(spark, sf):
 
 def q_err_spectrum(spark, sf):
     d = V.msms(spark, sf).where(F.col("error.rule").isin("C9", "C10", "C11", "C12", "C13", "C14"))
-    return d.select("line_number", F.col("error.rule").alias("rule"), F.col("error.message").alias("message"))
+    return d.select("split", "line_number", F.col("error.rule").alias("rule"), F.col("error.message").alias("message"))
+
+
+def q_err_spectrum_values(spark, sf):
+    """C9-C13 in each of the three energies."""
+    d = R.parse_msms(FX.msms_bad_lines(spark, sf)).where(F.col("error").isNotNull())
+    return d.select("split", "line_number", F.col("error.rule").alias("rule"), F.col("error.message").alias("message"))
+
+
+def q_rejects(spark, sf):
+    """J1 with quarantine: the failing lines of the faulty view."""
+    def make():
+        out, rejects = scratch_path(spark, "hcir-quarantine"), scratch_path(spark, "hcir-rejects")
+        J.convert_hcir(spark, V.text_view(spark, sf, "hcir_bad"), out, expected_ir_length=FX.HCIR_EXPECTED_IR_LENGTH,
+                       on_error="quarantine", rejects=rejects)
+        return rejects
+    return spark.read.parquet(V.memo((sf, "rejects"), make))
 
 
 def q_err_unknown_molecule(spark, sf):
     d = V.msms(spark, sf).where(F.col("error.rule") == "C15")
-    return d.select("line_number", F.col("error.message").alias("message"))
+    return d.select("split", "line_number", F.col("error.message").alias("message"))
 
 
 def q_first_error_per_split(spark, sf):
@@ -320,7 +364,7 @@ def q_alignment_gap(spark, sf):
 
 def q_formula_mismatches(spark, sf):
     d = V.msms(spark, sf).where(F.col("formula_mismatch"))
-    return d.select("line_number", F.col("formula").alias("payload"), F.col("ref_formula").alias("reference"), "smiles")
+    return d.select("split", "line_number", F.col("formula").alias("payload"), F.col("ref_formula").alias("reference"), "smiles")
 
 
 # --------------------------------------------------------------------------- D: joins
@@ -334,12 +378,22 @@ def q_align_full_outer(spark, sf):
 
 def q_enrich_join(spark, sf):
     d = V.msms(spark, sf).where(F.col("error").isNull())
-    return d.select("line_number", "smiles", "ref_formula", _bits(F.col("fingerprint")).alias("fp_bits"))
+    return d.select("split", "line_number", "smiles", "ref_formula", _bits(F.col("fingerprint")).alias("fp_bits"))
+
+
+def q_enrich_join_sorted(spark, sf):
+    """D2 as a sort-merge join, whatever the size of the reference."""
+    parsed = R.parse_msms(FX.msms_lines(spark, sf))
+    joined = enrich_molecules(parsed, FX.molecule_ref(spark, sf).hint("merge"))
+    d = R.with_alignment_error(joined, "msms").where(F.col("error").isNull())
+    return d.select("split", "line_number", "smiles", "ref_formula", _bits(F.col("fingerprint")).alias("fp_bits"))
 
 
 def _msms_expected(spark, sf):
-    lines = FX.msms_lines(spark, sf).where(F.col("source").isNotNull())
-    return lines.groupBy("split").agg(F.count(F.lit(1)).alias("expected_molecules")).withColumn(
+    """Every aligned line of train and validation, the valid ones of test."""
+    d = V.msms(spark, sf).where(F.col("source").isNotNull())
+    counted = F.when((F.col("split") != "test") | F.col("error").isNull(), 1)
+    return d.groupBy("split").agg(F.count(counted).alias("expected_molecules")).withColumn(
         "expected_spectra", F.col("expected_molecules") * 3)
 
 
@@ -378,7 +432,7 @@ def q_msms_split_summary(spark, sf):
 
 
 def q_energy_counts(spark, sf):
-    e = M.energy_counts(explode_energies(V.msms_valid(spark, sf)))
+    e = M.energy_counts(explode_energies(V.msms(spark, sf).where(F.col("error").isNull())))
     return e.select("split", *[_long(c).alias(c) for c in e.columns if c != "split"])
 
 
@@ -410,13 +464,13 @@ def q_eval_subset_hcir(spark, sf):
 
 def q_explode_energies(spark, sf):
     e = explode_energies(V.msms_valid(spark, sf))
-    return e.select("line_number", _long("energy_ord").alias("energy_ord"), "energy",
+    return e.select("split", "line_number", _long("energy_ord").alias("energy_ord"), "energy",
                     _long(F.size("spectrum")).alias("n_peaks"), "formula", "smiles",
                     _spectrum_text(F.col("spectrum")).alias("spectrum_text"))
 
 
 def q_eval_subset_msms(spark, sf):
-    e = eval_subset_msms(explode_energies(V.msms_valid(spark, sf)), MSMS_EVAL_ROWS)
+    e = eval_subset_msms(explode_energies(V.msms_valid(spark, sf).where(F.col("split") == "test")), MSMS_EVAL_ROWS)
     return e.select("line_number", "energy", _long(F.size("spectrum")).alias("n_peaks"))
 
 
@@ -452,6 +506,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ready_gate": q_ready_gate,
     "staged_union": q_staged_union,
     "ordered_output": q_ordered_output,
+    "stage_msms": q_stage_msms,
     "tokenize_counts": q_tokenize_counts,
     "marker_positions": q_marker_positions,
     "section_lengths": q_section_lengths,
@@ -468,12 +523,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "err_empty_sections": q_err_empty_sections,
     "err_ir_vector": q_err_ir_vector,
     "err_spectrum": q_err_spectrum,
+    "err_spectrum_values": q_err_spectrum_values,
+    "rejects": q_rejects,
     "err_unknown_molecule": q_err_unknown_molecule,
     "first_error_per_split": q_first_error_per_split,
     "alignment_gap": q_alignment_gap,
     "formula_mismatches": q_formula_mismatches,
     "align_full_outer": q_align_full_outer,
     "enrich_join": q_enrich_join,
+    "enrich_join_sorted": q_enrich_join_sorted,
     "verify_counts": q_verify_counts,
     "hcir_split_summary": q_hcir_split_summary,
     "ir_length_histogram": q_ir_length_histogram,

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,21 +61,3 @@ def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
-
-
-@contextmanager
-def shuffle_partitions_at_least(spark: SparkSession, n: int):
-    """Raise ``spark.sql.shuffle.partitions`` to ``n`` for one job's queries.
-
-    Exchanges Spark inserts itself (joins, aggregates) then get partitions
-    sized to the data while keeping their origin, so AQE still coalesces
-    small ones and splits skewed join partitions.
-    """
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    if int(old) < n:
-        spark.conf.set(key, str(n))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)

@@ -18,16 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Hash-spread a fixture view over the cluster's cores.
-
-    Small driver tables are single files (one scan task); the parse that
-    follows is CPU-bound, so the view is spread like a multi-split input.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, "split", "line_number")
-
-
 def _hcir_parts(e: DataFrame) -> DataFrame:
     vid = F.col("vec_id")
     ir = F.array_join(
@@ -76,7 +66,7 @@ def hcir_lines(spark: SparkSession, sf_dir: str, bad: bool = False) -> DataFrame
         )
         target = F.when(k == 47, F.lit("  ")).otherwise(F.col("_t"))
     lines = p.select("vec_id", "split", source.alias("source"), target.alias("target"))
-    return _spread(number_rows(lines, ["split"], "vec_id").select("split", "line_number", "source", "target", "vec_id"))
+    return number_rows(lines, ["split"], "vec_id").select("split", "line_number", "source", "target", "vec_id")
 
 
 def _intensity(discount: Column) -> Column:
@@ -100,6 +90,14 @@ def msms_peak_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_order.select(*cols)
 
 
+def _order_line(key: Column) -> tuple[Column, Column]:
+    """(split, line number) of an order: of ten keys in a row eight are train
+    lines, the ninth is a validation line, the tenth a test line."""
+    ten, rest = F.floor(key / 10).cast("long"), key % 10
+    split = F.when(rest < 8, F.lit("train")).when(rest == 8, F.lit("validation")).otherwise(F.lit("test"))
+    return split, F.when(rest < 8, ten * 8 + rest + 1).otherwise(ten + 1)
+
+
 def msms_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(split, line_number, source, target, o_orderkey)``; one line per order.
 
@@ -114,13 +112,44 @@ def msms_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("E10Pos"), F.col("E20Pos"), F.col("E40Pos"), F.lit("IR 1 2"),
     )
     joined = o.join(secs, o["o_orderkey"] == secs["l_orderkey"], "left")
-    return _spread(joined.select(
-        F.lit("train").alias("split"),
-        (F.col("o_orderkey") + 1).alias("line_number"),
+    split, line = _order_line(F.col("o_orderkey"))
+    return joined.select(
+        split.alias("split"),
+        line.alias("line_number"),
         F.when(F.col("l_orderkey").isNotNull(), source).alias("source"),
         F.concat(F.repeat(F.lit("C "), k), F.col("o_orderstatus")).alias("target"),
         F.col("o_orderkey"),
-    ))
+    )
+
+
+def msms_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(split, line_number, source, target)``; one line per order, two peaks
+    per energy, one fault per ``o_orderkey % 20`` in 0..14: C9..C13 (div 3) in
+    the first, second or third energy (mod 3)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    fault = F.col("o_orderkey") % 20
+    low = F.col("o_custkey") % 50 + 10
+    a, b = low.cast("string"), (low + 5).cast("string")
+    good = F.concat(a, F.lit(" 5 "), b, F.lit(" 7"))
+    faults = [
+        F.concat(a, F.lit(" 5 "), b),                # C9: no pairs
+        F.concat(a, F.lit(" x "), b, F.lit(" 7")),   # C10: not a number
+        F.concat(a, F.lit(" nan "), b, F.lit(" 7")),  # C11: not finite
+        F.concat(a, F.lit(" -5 "), b, F.lit(" 7")),  # C12: negative intensity
+        F.concat(b, F.lit(" 5 "), a, F.lit(" 7")),   # C13: not sorted
+    ]
+    sections = []
+    for e, marker in enumerate(("E10Pos", "E20Pos", "E40Pos")):
+        text = good
+        for rule, bad in enumerate(faults):
+            text = F.when(fault == 3 * rule + e, bad).otherwise(text)
+        sections += [F.lit(marker), text]
+    split, line = _order_line(F.col("o_orderkey"))
+    return o.select(
+        split.alias("split"), line.alias("line_number"),
+        F.concat_ws(" ", F.lit("C 1 1HNMR 1.2 t 3 13CNMR 12"), *sections, F.lit("IR 1 2")).alias("source"),
+        F.concat(F.repeat(F.lit("C "), F.col("o_custkey") % 50 + 1), F.col("o_orderstatus")).alias("target"),
+    )
 
 
 def molecule_ref(spark: SparkSession, sf_dir: str) -> DataFrame:

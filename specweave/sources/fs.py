@@ -81,3 +81,9 @@ def rename(spark: SparkSession, src: str, dst: str) -> None:
     _, q = _fs(spark, dst)
     if not fsys.rename(p, q):
         raise OSError(f"could not rename {src} to {dst}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder; one that is not there is fine."""
+    fsys, p = _fs(spark, path)
+    fsys.delete(p, True)

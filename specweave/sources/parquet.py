@@ -42,30 +42,17 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
-TARGET_PARTITION_BYTES = 128 << 20
-
-
-def partitions_for_bytes(spark: SparkSession, n_bytes: int, factor: float = 1.0) -> int:
-    """Shuffle partitions so each holds about 128 MB (never fewer than the default)."""
-    default = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(default, int(-(-(n_bytes * factor) // TARGET_PARTITION_BYTES)))
-
-
-def write_dataset(df: DataFrame, out: str, schema: T.StructType, ordered_by: list[str] | None = None,
-                  max_records_per_file: int = 0, n_partitions: int | None = None) -> None:
+def write_dataset(df: DataFrame, out: str, schema: T.StructType, sorted_by: list[str] | None = None,
+                  max_records_per_file: int = 0) -> None:
     """Zstd Parquet, one directory per split (``split=<name>``).
 
-    ``ordered_by`` (e.g. ``["line_number", "energy_ord"]``) range-partitions
-    and sorts so that part files, in name order, follow line order; those
-    columns are dropped only at the final select.  Without it the rows keep
-    the upstream partitioning (no extra shuffle).
+    Rows keep their partitions.  ``sorted_by`` (e.g. ``["line_number",
+    "energy_ord"]``) sorts inside each of them: for rows whose partitions are in
+    line order already, part files then follow line order.  Those columns are
+    dropped only at the final select.
     """
-    if ordered_by:
-        # Size the range exchange from the data (``n_partitions``), not from
-        # the session default: 200 partitions of 100 TB would not fit a task.
-        keys = ["split", *ordered_by]
-        df = (df.repartitionByRange(n_partitions, *keys) if n_partitions else df.repartitionByRange(*keys))
-        df = df.sortWithinPartitions(*keys)
+    if sorted_by:
+        df = df.sortWithinPartitions("split", *sorted_by)
     writer = conform(df, schema).write.mode("append").option("compression", "zstd")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
@@ -84,34 +71,40 @@ def row_counts(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _offsets(df: DataFrame) -> DataFrame:
+    """``(_file, _part, _n, _off)`` of each file, in numeric part order."""
+    from pyspark.sql import Window
+
+    from .text import part_number
+
+    counts = df.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_part", part_number(F.col("_file")))
+    before = Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("_file", "_part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+
+
 def rows_in_file_order(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with their on-disk position: ``position`` follows part-file name
-    order and the row index inside each file (no sort of the data)."""
-    from .text import number_chunks
+    """Rows with their on-disk 1-based position: ``position`` follows numeric
+    part-file order and the row index inside each file (no sort of the data).
 
+    One row per file is broadcast: less than the driver's file listing."""
     df = spark.read.parquet(path)
     cols = df.columns
-    raw = df.select(*cols, F.col("_metadata.file_path").alias("_file"),
-                    F.col("_metadata.row_index").alias("_row"))
-    bound = len(raw.inputFiles())
-    return number_chunks(raw, ["_file"], "_row", out_col="position", broadcast_ok=bound <= 200_000).drop("_file", "_row")
+    raw = df.select(*cols, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    placed = raw.join(F.broadcast(_offsets(df).select("_file", "_off")), "_file")
+    return placed.select(*cols, (F.col("_off") + F.col("_row") + 1).alias("position"))
 
 
 def first_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
     """F2 on a written dataset: its first ``n`` rows in on-disk order.
 
     Per-file row counts come from a zero-column scan (Parquet metadata);
-    the running offsets over files in name order select the few files that
-    hold rows 1..n, and only those files are read.  The selected file list
+    the running offsets over files in numeric part order select the few files
+    that hold rows 1..n, and only those files are read.  The selected file list
     has at most ``n`` entries.
     """
-    from pyspark.sql import Window
-
-    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("_file"))
-    counts = files.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_file", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    needed = offs.where((F.col("_off") < n) & (F.col("_n") > 0)).orderBy("_file").collect()
+    offs = _offsets(spark.read.parquet(path))
+    needed = offs.where((F.col("_off") < n) & (F.col("_n") > 0)).orderBy("_part", "_file").collect()
     if not needed:
         return spark.read.parquet(path).limit(0)
     df = spark.read.parquet(*[r["_file"] for r in needed])

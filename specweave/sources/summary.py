@@ -18,6 +18,7 @@ from . import fs
 
 SUMMARY_FILE = "summary.json"
 READY_FILE = "READY.json"
+SUCCESS_FILE = "_SUCCESS"
 
 
 def dumps(obj) -> str:
@@ -80,13 +81,14 @@ def is_ready(spark: SparkSession, out: str) -> bool:
 
 
 def is_complete(spark: SparkSession, out: str, require_nonempty: bool = True) -> bool:
-    """A dataset is complete when its summary exists (and is non-empty).
+    """A dataset is complete when its write succeeded (``_SUCCESS``) and
+    its summary exists (and is non-empty).
 
-    A non-empty directory without a summary is an interrupted run: the
-    caller must refuse it rather than append to it.
+    A non-empty directory without them is an interrupted run: the caller must
+    refuse it rather than append to it.
     """
     path = f"{out.rstrip('/')}/{SUMMARY_FILE}"
-    if not fs.exists(spark, path):
+    if not fs.exists(spark, path) or not fs.exists(spark, f"{out.rstrip('/')}/{SUCCESS_FILE}"):
         return False
     return fs.size(spark, path) > 0 if require_nonempty else True
 

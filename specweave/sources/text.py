@@ -4,56 +4,74 @@ Line numbers without a global sort
 ----------------------------------
 Spark splits text files into byte ranges.  Inside one split, rows arrive in
 file order, and ``monotonically_increasing_id`` (evaluated directly above
-the scan) counts them.  A small *chunk table* -- one row per
-(file, split start): line count and first id -- is summed in file order to
-give each chunk its first line number; every line then gets
-``offset + (id - first id) + 1``.  The chunk table has at most
-``files + scan partitions`` rows, a bound known before any data is read;
-it is broadcast when that bound is small and joined by sort-merge beyond it.
-Re-running a lost task re-reads the same byte range, so ids are stable.
+the scan) counts them.  A *chunk table* -- one row per (file, split start):
+line count and first id -- is summed in file order to give each chunk its
+first line number; every line then gets ``offset + (id - first id) + 1``.
+
+The chunk table is written once and always broadcast.  Its rows are a few
+longs, one per file and scan split, so it is smaller than the file listing
+that the driver holds before such a scan can start, whatever the input.  A
+line whose chunk is not in the table (the scan was split differently in
+between) fails the job instead of losing lines.
+
+File order is numeric: ``part-100000`` follows ``part-99999``.
+
+Alignment
+---------
+The chunk table also gives the number of lines, so lines are dealt to
+partitions by ``(line_number - 1) div lines_per_partition``: one exchange
+brings both sides of a line together *and* keeps line order, and partitions
+hold equally many lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import SPLITS
+from ..session import materialize
 from . import fs
 
-# Chunk tables up to this many rows are broadcast (a few MB).
-BROADCAST_MAX_CHUNKS = 200_000
-# Target files up to this size are broadcast for the alignment (no shuffle
-# of the source side); SMILES lines are short, so this covers tens of
-# millions of molecules.
-BROADCAST_TARGET_BYTES = 256 << 20
-# Target bytes per shuffle partition when sizing the alignment join.
+# Bytes of text per partition of the alignment, and of written text files.
 TARGET_PARTITION_BYTES = 128 << 20
 
 
-def number_chunks(df: DataFrame, chunk_cols: list[str], row_col: str, out_col: str = "line_number",
-                  broadcast_ok: bool = True, group_cols: list[str] | None = None) -> DataFrame:
-    """Turn a within-chunk position into a global 1-based position.
+def part_number(path: Column) -> Column:
+    """Numeric id of a part file written by Spark, -1 for any other name."""
+    return F.coalesce(F.regexp_extract(path, r"/part-(\d{1,18})[^/]*$", 1).try_cast("long"), F.lit(-1).cast("long"))
+
 
-    ``row_col`` increases by one per row inside a chunk, in order; chunks are
-    ordered by ``chunk_cols`` and numbered independently per ``group_cols``.
-    Used for text splits (file, block start, monotonically increasing id)
-    and Parquet files (file, row index).
+def chunk_offsets(df: DataFrame, row_col: str, group_cols: list[str]) -> DataFrame:
+    """``(group.., _file_key, _block, _part_id, _first, _n, _off)`` of each chunk.
+
+    ``df`` has ``_file``, ``_block`` and ``_part_id`` (scan partition); chunks
+    are ordered by part number, file name and block.
     """
-    group_cols = group_cols or []
-    keys = [*group_cols, *chunk_cols]
+    keys = [*group_cols, "_file", "_block", "_part_id"]
     chunks = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(row_col).alias("_first"))
-    # The chunk table is tiny (files + partitions); an ordered window over
-    # it is cheap and deterministic.
-    before = Window.partitionBy(*group_cols).orderBy(*chunk_cols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.select(*keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    if broadcast_ok:
-        offsets = F.broadcast(offsets)
-    return (
-        df.join(offsets, keys)
-        .withColumn(out_col, (F.col("_off") + F.col(row_col) - F.col("_first") + F.lit(1)).cast("long"))
-        .drop("_off", "_first")
-    )
+    # One row per file and scan split: an ordered window over it is cheap.
+    before = Window.partitionBy(*group_cols).orderBy(part_number(F.col("_file")), "_file", "_block", "_part_id").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return materialize(chunks.select(
+        *group_cols, F.xxhash64("_file").alias("_file_key"), "_block", "_part_id", "_first", "_n",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), "chunks")
+
+
+def number_chunks(df: DataFrame, offsets: DataFrame, row_col: str, out_col: str = "line_number") -> DataFrame:
+    """Turn a within-chunk position into a global 1-based position.
+
+    ``row_col`` increases by one per row inside a chunk; ``offsets`` comes from
+    :func:`chunk_offsets` over the same scan.
+    """
+    table = offsets.select("_file_key", "_block", "_part_id", "_first", "_off")
+    keyed = df.withColumn("_file_key", F.xxhash64("_file"))
+    joined = keyed.join(F.broadcast(table), ["_file_key", "_block", "_part_id"], "left")
+    lost = F.raise_error(F.concat(F.lit("the scan was split differently while numbering lines of "), F.col("_file")))
+    number = F.coalesce(F.col("_off"), lost) + F.col(row_col) - F.col("_first") + F.lit(1)
+    return joined.withColumn(out_col, number.cast("long")).drop("_off", "_first", "_file_key", "_file", "_block", "_part_id", row_col)
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
@@ -67,12 +85,13 @@ def _qualified(spark: SparkSession, path: str) -> str:
 _URI_PREFIX_RX = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
 
 
-def read_line_groups(spark: SparkSession, groups: dict[str, str], value_col: str = "value") -> DataFrame:
-    """``(group, line_number, value)`` for several text inputs in ONE scan.
+def line_groups(spark: SparkSession, groups: dict[str, str], value_col: str = "value") -> tuple[DataFrame, dict[str, int]]:
+    """``(group, line_number, value)`` of several text inputs, and the number
+    of lines of each.
 
-    ``groups`` maps a name to a text file or a directory of part files;
-    each group is numbered on its own, across its part files in name
-    order.  One scan and one chunk table serve all groups.
+    ``groups`` maps a name to a text file or a directory of part files; each
+    group is numbered on its own, across its part files in file order.  The
+    text is read twice: once for the chunk table, once for the lines.
     """
     names = list(groups)
     prefixes = {g: _qualified(spark, groups[g]) for g in names}
@@ -80,6 +99,7 @@ def read_line_groups(spark: SparkSession, groups: dict[str, str], value_col: str
         F.col("value").alias(value_col),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
+        F.spark_partition_id().alias("_part_id"),
         F.monotonically_increasing_id().alias("_row"),
     )
     group = None
@@ -89,18 +109,23 @@ def read_line_groups(spark: SparkSession, groups: dict[str, str], value_col: str
         group = F.when(hit, F.lit(g)) if group is None else group.when(hit, F.lit(g))
     # Every scanned file belongs to exactly one group; anything else is a bug
     # that would silently drop lines, so it fails the job instead.
-    raw = raw.withColumn("_group", F.coalesce(group, F.raise_error(F.concat(
+    raw = raw.withColumn("group", F.coalesce(group, F.raise_error(F.concat(
         F.lit("input file outside every group: "), F.col("_file")))))
-    bound = raw.rdd.getNumPartitions() + len(raw.inputFiles())
-    numbered = number_chunks(raw, ["_file", "_block"], "_row", broadcast_ok=bound <= BROADCAST_MAX_CHUNKS,
-                             group_cols=["_group"])
-    return numbered.select(F.col("_group").alias("group"), "line_number", value_col)
+    offsets = chunk_offsets(raw, "_row", ["group"])
+    lines = dict.fromkeys(names, 0)
+    lines.update({r["group"]: int(r["n"]) for r in offsets.groupBy("group").agg(F.sum("_n").alias("n")).collect()})
+    return number_chunks(raw, offsets, "_row").select("group", "line_number", value_col), lines
+
+
+def read_line_groups(spark: SparkSession, groups: dict[str, str], value_col: str = "value") -> DataFrame:
+    """The lines of :func:`line_groups`."""
+    return line_groups(spark, groups, value_col)[0]
 
 
 def read_lines(spark: SparkSession, path: str, value_col: str = "value") -> DataFrame:
     """A2: ``(line_number, value)`` for a text file or a directory of part files.
 
-    Lines are numbered across part files in file-name order, as if the
+    Lines are numbered across part files in numeric part order, as if the
     parts were concatenated.  Line breaks: ``\\n``, ``\\r\\n``, ``\\r``.
     """
     return read_line_groups(spark, {"_": path}, value_col).select("line_number", value_col)
@@ -125,77 +150,73 @@ def require_inputs(spark: SparkSession, view: str, kind: str = "hcir") -> dict[s
     return paths
 
 
-def shuffle_partitions_for(spark: SparkSession, paths: list[str]) -> int:
-    """Partitions for the alignment shuffle: input bytes / 128 MB, at least the default."""
+def partitions_for(spark: SparkSession, paths: list[str]) -> int:
+    """Partitions of about 128 MB of the given files, at least the default."""
     total = sum(fs.size(spark, p) for p in paths)
-    default = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(default, -(-total // TARGET_PARTITION_BYTES))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TARGET_PARTITION_BYTES))
 
 
-def align(src: DataFrame, tgt: DataFrame, n_partitions: int | None = None) -> DataFrame:
-    """Positional zip-longest = full outer join on ``(split, line_number)``.
+def align(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """D1 on tables of unknown line counts: zip-longest = full outer join on
+    ``(split, line_number)``.  Keys are unique, so there is no skew."""
+    return src.join(tgt, ["split", "line_number"], "full_outer")
 
-    Both sides are hash-partitioned on the key with the same partition
-    count, so the sort-merge join adds no further exchange.  Keys are
-    unique, so there is no skew.
+
+def align_lines(src: DataFrame, tgt: DataFrame, lines: dict[str, int], n_partitions: int) -> DataFrame:
+    """D1 in line order with one exchange.
+
+    ``lines`` bounds the line numbers of each split.  Both sides go to the
+    partition of their line; there a sorted aggregate pairs the at most two
+    rows of a line.  Partitions in order hold the splits in order, and each
+    is sorted by line.  Further columns of ``tgt`` come along.
     """
+    per = max(1, -(-sum(lines.values()) // n_partitions))
+    bucket, total = None, 0
+    for split in [s for s in SPLITS if s in lines]:
+        here = F.lit(total) + F.floor((F.col("line_number") - 1) / F.lit(per))
+        bucket = F.when(F.col("split") == split, here) if bucket is None else bucket.when(F.col("split") == split, here)
+        total += max(1, -(-lines[split] // per))
     keys = ["split", "line_number"]
-    if n_partitions:
-        src = src.repartition(n_partitions, *keys)
-        tgt = tgt.repartition(n_partitions, *keys)
-    return src.join(tgt, keys, "full_outer")
+    both = src.unionByName(tgt, allowMissingColumns=True).withColumn("_bucket", bucket.cast("int"))
+    values = [c for c in both.columns if c not in (*keys, "_bucket")]
+    dealt = both.repartitionById(total, F.col("_bucket"))
+    paired = dealt.groupBy(*keys, "_bucket").agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
+    return paired.drop("_bucket")
 
 
-def read_aligned(spark: SparkSession, view: str, splits=None, max_molecules: int = 0) -> DataFrame:
-    """A1: ``(split, line_number, source, target)`` for all splits of a view.
+def read_aligned(spark: SparkSession, view: str, splits=None, max_molecules: int = 0,
+                 with_target: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """A1: ``(split, line_number, source, target)`` for all splits of a view,
+    in line order.
 
     All source files are read by one scan, all target files by another.  With
     ``max_molecules`` N, lines beyond N+1 are dropped before the shuffle:
-    the reference checks alignment up to line N+1 and parses up to N.
+    alignment is checked up to line N+1 and lines up to N are parsed.
+    ``with_target`` may add columns to the target lines before the shuffle.
     """
     splits = list(splits or SPLITS)
     paths = {split: split_paths(view, split) for split in splits}
-    # One scan per side: each file is read once for its chunk table and
-    # once for its lines.
-    src = read_line_groups(spark, {s: p[0] for s, p in paths.items()}, "source")
-    tgt = read_line_groups(spark, {s: p[1] for s, p in paths.items()}, "target")
-    src = src.select(F.col("group").alias("split"), "line_number", "source")
-    tgt = tgt.select(F.col("group").alias("split"), "line_number", "target")
+    src, src_lines = line_groups(spark, {s: p[0] for s, p in paths.items()}, "source")
+    tgt, tgt_lines = line_groups(spark, {s: p[1] for s, p in paths.items()}, "target")
+    src = src.withColumnRenamed("group", "split")
+    tgt = tgt.withColumnRenamed("group", "split")
+    lines = {s: max(src_lines[s], tgt_lines[s]) for s in splits}
     if max_molecules:
         src = src.where(F.col("line_number") <= max_molecules + 1)
         tgt = tgt.where(F.col("line_number") <= max_molecules + 1)
-    tgt_bytes = sum(fs.size(spark, p[1]) for p in paths.values())
-    if tgt_bytes <= BROADCAST_TARGET_BYTES:
-        return align_broadcast_target(src, tgt)
-    n = shuffle_partitions_for(spark, [p for pair in paths.values() for p in pair])
-    return align(src, tgt, n)
-
-
-def align_broadcast_target(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """D1 without shuffling the source side, for a target side of checked size.
-
-    Positional files can only disagree at the tail, so zip-longest =
-    (every source line, left-joined to the broadcast target lines) plus the
-    target lines past the source's last line.  The source keeps its scan
-    partitioning; only the small target side moves.
-    """
-    keys = ["split", "line_number"]
-    paired = src.join(F.broadcast(tgt), keys, "left")
-    src_last = src.groupBy("split").agg(F.max("line_number").alias("_last"))
-    tail = (
-        tgt.join(F.broadcast(src_last), "split", "left")
-        .where(F.col("line_number") > F.coalesce(F.col("_last"), F.lit(0)))
-        .select("split", "line_number", F.lit(None).cast("string").alias("source"), "target")
-    )
-    return paired.select("split", "line_number", "source", "target").unionByName(tail)
+        lines = {s: min(n, max_molecules + 1) for s, n in lines.items()}
+    if with_target is not None:
+        tgt = with_target(tgt)
+    return align_lines(src, tgt, lines, partitions_for(spark, [p for pair in paths.values() for p in pair]))
 
 
-def write_text_view(df: DataFrame, view: str, parts: int = 4) -> None:
+def write_text_view(df: DataFrame, view: str, parts: int | None = None) -> None:
     """Write ``(split, line_number, source, target)`` as a text view.
 
     Each split becomes ``src-<stem>.txt`` / ``tgt-<stem>.txt`` directories
-    of part files, range-partitioned on line number so that part files, in
-    name order, hold consecutive lines.  One write per side (partitioned by
+    of part files, range-partitioned on line number (by the session's shuffle
+    partitions, or ``parts`` of them) so that part files, in order, hold
+    consecutive lines.  One write per side (partitioned by
     split, then renamed); rows with a NULL side are skipped on that side.
     """
     base = view.rstrip("/")
@@ -205,7 +226,7 @@ def write_text_view(df: DataFrame, view: str, parts: int = 4) -> None:
         (
             df.where(F.col(col).isNotNull())
             .select("split", "line_number", F.col(col).alias("value"))
-            .repartitionByRange(parts * len(SPLITS), "split", "line_number")
+            .repartitionByRange(*([parts * len(SPLITS)] if parts else []), "split", "line_number")
             .sortWithinPartitions("split", "line_number")
             .select("split", "value")
             .write.mode("errorifexists").partitionBy("split").text(tmp)

@@ -122,10 +122,8 @@ def test_first_error_and_counts_independent_of_partitioning(spark, tmpdir_path):
     assert results[0][1] == "train line 33: missing marker 13CNMR"
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_target_longer_than_source_both_paths(spark, tmpdir_path, broadcast, monkeypatch):
-    """Tail mismatch in either direction, through both alignment strategies."""
-    monkeypatch.setattr(TX, "BROADCAST_TARGET_BYTES", (1 << 30) if broadcast else 0)
+def test_target_longer_than_source(spark, tmpdir_path):
+    """Tail mismatch in either direction."""
     view = make_view(tmpdir_path, 2, 4)
     with pytest.raises(ValueError) as e:
         J.convert_hcir(spark, view, os.path.join(tmpdir_path, "o1"))
@@ -140,3 +138,31 @@ def test_target_longer_than_source_both_paths(spark, tmpdir_path, broadcast, mon
     got = sorted(map(tuple, TX.read_aligned(spark, view).collect()))
     assert [(r[1], r[2] is None, r[3] is None) for r in got if r[0] == "train"] == \
         [(1, False, False), (2, False, False), (3, True, False), (4, True, False)]
+
+
+def test_part_files_in_numeric_order(spark, tmpdir_path):
+    """``part-100000`` follows ``part-99999`` for text and for Parquet."""
+    import shutil
+
+    from specweave.sources import parquet as PQ
+
+    texts, tables = os.path.join(tmpdir_path, "texts"), os.path.join(tmpdir_path, "tables")
+    os.makedirs(texts)
+    os.makedirs(tables)
+    for number, rows in ((99999, [1, 2]), (100000, [3, 4])):
+        with open(os.path.join(texts, f"part-{number:05d}-x.txt"), "w") as f:
+            f.write("".join(f"l{i}\n" for i in rows))
+        one = os.path.join(tmpdir_path, str(number))
+        spark.createDataFrame([(i,) for i in rows], "x int").coalesce(1).write.parquet(one)
+        name = next(n for n in os.listdir(one) if n.startswith("part-"))
+        shutil.copy(os.path.join(one, name), os.path.join(tables, f"part-{number:05d}-y.parquet"))
+    assert sorted((r.line_number, r.value) for r in TX.read_lines(spark, texts).collect()) == [(i, f"l{i}") for i in (1, 2, 3, 4)]
+    assert [r.x for r in PQ.first_rows(spark, tables, 2).collect()] == [1, 2]
+    assert sorted((r.position, r.x) for r in PQ.rows_in_file_order(spark, tables).collect()) == [(i, i) for i in (1, 2, 3, 4)]
+
+
+def test_conversion_plan_has_one_exchange_of_lines(spark, tmpdir_path):
+    view = make_view(tmpdir_path, 30, 30)
+    plan = J.hcir_parsed(spark, view)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan text") == 2 and plan.count("Exchange shufflepartitionid") == 1
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") + 1 and "Join" not in plan.replace("BroadcastHashJoin", "")

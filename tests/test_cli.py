@@ -17,6 +17,10 @@ def test_msms_flags():
     assert a.expected_train_molecules == 4981273 and a.expected_test_molecules == 0
 
 
-def test_batch_size_must_be_positive():
-    with pytest.raises(SystemExit):
-        build_parser().parse_args(["hcir", "--source-view", "v", "--output-dir", "o", "--batch-rows", "0"])
+def test_limits_raise_each_converter_s_text():
+    from specweave.plans.cli import main
+
+    with pytest.raises(ValueError, match="^batch rows must be positive and max molecules non-negative$"):
+        main(["hcir", "--source-view", "v", "--output-dir", "o", "--batch-rows", "0"])
+    with pytest.raises(ValueError, match="^batch and molecule limits must be non-negative$"):
+        main(["msms", "--source-view", "v", "--output-dir", "o", "--molecule-ref", "r", "--max-molecules", "-1"])
