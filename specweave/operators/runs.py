@@ -9,12 +9,19 @@ the order column (at most ``bucket_width`` rows each, the order column
 being unique per key), runs are measured inside buckets, and the run
 length carried into each bucket is a segmented prefix sum over the small
 per-bucket summary table.  The result is exact.
+
+Keys may be of any type; NULL keys form a key of their own, and rows with a
+NULL order form a bucket of their own before all others.  The order is an
+integer, a date or a timestamp; rows of one key with equal order values are
+taken in the order of the predicate (false first), so the result is the same
+whatever the partitioning.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BUCKET_WIDTH = 1 << 20
 
@@ -24,42 +31,69 @@ def idle_predicate(memory: Column, util: Column, max_memory_mib: float = 1000, m
     return (memory <= F.lit(max_memory_mib)) & (util <= F.lit(max_util_percent))
 
 
+def _order_number(df: DataFrame, order: str) -> Column:
+    """The order as a long: microseconds of a timestamp, days of a date."""
+    kind = df.schema[order].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(order).cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(F.col(order)).cast("long")
+    return F.col(order).cast("long")
+
+
+def bucket_width_for(df: DataFrame, order: str, rows_per_bucket: int = DEFAULT_BUCKET_WIDTH) -> int:
+    """Order units per bucket for about ``rows_per_bucket`` rows of all keys
+    together, so sparse orders (microseconds) don't make a bucket per row."""
+    r = df.select(_order_number(df, order).alias("o")).agg(F.min("o").alias("lo"), F.max("o").alias("hi"), F.count("o").alias("n")).first()
+    if not r["n"]:
+        return rows_per_bucket
+    return max(1, (int(r["hi"]) - int(r["lo"]) + 1) * rows_per_bucket // int(r["n"]))
+
+
 def run_lengths(df: DataFrame, key: str, order: str, pred: Column,
-                bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
-    """Add ``run_length``: the counter value after each row."""
-    d = df.withColumn("_p", F.coalesce(pred, F.lit(False))).withColumn(
-        "_b", F.floor(F.col(order) / F.lit(bucket_width)).cast("long")
-    )
-    w = Window.partitionBy(key, "_b").orderBy(order)
+                bucket_width: int | None = None, carry: DataFrame | None = None) -> DataFrame:
+    """Add ``run_length``: the counter value after each row.
+
+    ``bucket_width`` counts order units; by default it follows the data.
+    ``carry`` (``key, run``) holds the runs open before the first row.
+    """
+    width = bucket_width or bucket_width_for(df, order)
+    d = df.withColumn("_p", F.coalesce(pred, F.lit(False))).withColumn("_o", _order_number(df, order))
+    d = d.withColumn("_b", F.coalesce(F.floor(F.col("_o") / F.lit(width)).cast("long"), F.lit(-(1 << 62))))
+    w = Window.partitionBy(key, "_b").orderBy("_o", "_p")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_rn", F.row_number().over(w)).withColumn(
         "_last_break", F.max(F.when(~F.col("_p"), F.col("_rn"))).over(upto)
     )
     # Per-bucket summary: rows, and the run still open at the bucket's end.
-    chunks = d.groupBy(key, "_b").agg(
+    narrow = d.select(F.col(key).alias("_k"), "_b", "_p", "_rn")
+    chunks = narrow.groupBy("_k", "_b").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max(F.when(~F.col("_p"), F.col("_rn"))).alias("_lb"),
     ).select(
-        key, "_b",
+        "_k", "_b",
         F.col("_lb").isNull().alias("_all"),
-        F.when(F.col("_lb").isNull(), F.col("_n")).otherwise(F.col("_n") - F.col("_lb")).alias("_contrib"),
+        F.when(F.col("_lb").isNull(), F.col("_n")).otherwise(F.col("_n") - F.col("_lb")).cast("long").alias("_contrib"),
     )
-    seq = Window.partitionBy(key).orderBy("_b")
+    if carry is not None:  # as a bucket before all others
+        chunks = chunks.unionByName(carry.select(
+            F.col(key).alias("_k"), F.lit(-(1 << 62) - 1).alias("_b"), F.lit(False).alias("_all"), F.col("run").cast("long").alias("_contrib")))
+    seq = Window.partitionBy("_k").orderBy("_b")
     chunks = chunks.withColumn(
         "_seg", F.sum(F.when(F.col("_all"), 0).otherwise(1)).over(seq.rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn(
-        "_end", F.sum("_contrib").over(Window.partitionBy(key, "_seg").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_carry", F.coalesce(F.lag("_end").over(seq), F.lit(0))).select(key, "_b", "_carry")
-    joined = d.join(chunks, [key, "_b"])
+        "_end", F.sum("_contrib").over(Window.partitionBy("_k", "_seg").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    ).withColumn("_carry", F.coalesce(F.lag("_end").over(seq), F.lit(0))).select("_k", F.col("_b").alias("_cb"), "_carry")
+    joined = d.join(chunks, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_cb")))
     run = F.when(
         F.col("_p"),
         F.when(F.col("_last_break").isNull(), F.col("_carry") + F.col("_rn")).otherwise(F.col("_rn") - F.col("_last_break")),
     ).otherwise(F.lit(0))
-    return joined.withColumn("run_length", run.cast("long")).drop("_p", "_b", "_rn", "_last_break", "_carry")
+    return joined.withColumn("run_length", run.cast("long")).drop("_p", "_o", "_b", "_rn", "_last_break", "_carry", "_k", "_cb")
 
 
 def consecutive_runs(df: DataFrame, key: str, order: str, pred: Column, n: int = 3,
-                     bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                     bucket_width: int | None = None) -> DataFrame:
     """The rows at which a key's run of predicate-true samples reaches ``n``."""
     if n <= 0:
         raise ValueError("n must be positive")

@@ -279,5 +279,13 @@ ORACLE: dict[str, str] = {
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM i)
         SELECT user_id, event_id FROM r WHERE p AND run = 3""",
 }
+ORACLE["consecutive_runs_hosts"] = """WITH o AS (SELECT 'host-' || CAST(user_id AS VARCHAR) AS host, ts, arg_min(value, event_id) AS value
+        FROM events GROUP BY ALL),
+    e AS (SELECT host, ts, coalesce(value <= 20.0, false) AS p FROM o),
+    i AS (SELECT *, sum(CASE WHEN p THEN 0 ELSE 1 END) OVER (PARTITION BY host ORDER BY ts
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM e),
+    r AS (SELECT *, sum(CASE WHEN p THEN 1 ELSE 0 END) OVER (PARTITION BY host, isl ORDER BY ts
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM i)
+    SELECT host, count(*) AS firings FROM r WHERE p AND run = 3 GROUP BY host"""
 ORACLE["consecutive_runs_stream"] = ORACLE["consecutive_runs"]
 ORACLE["enrich_join_sorted"] = ORACLE["enrich_join"]

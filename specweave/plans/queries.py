@@ -18,7 +18,7 @@ from ..operators import metrics as M
 from ..operators import rules as R
 from ..operators.enrich import enrich_molecules
 from ..operators.numbering import number_rows
-from ..operators.runs import consecutive_runs
+from ..operators.runs import consecutive_runs, idle_predicate
 from ..operators.subsets import eval_subset_hcir, eval_subset_msms, explode_energies, take_first
 from ..session import scratch_path
 from ..sources import files as FL
@@ -476,10 +476,22 @@ def q_eval_subset_msms(spark, sf):
 
 # --------------------------------------------------------------------------- W, K: runs
 
+def _idle() -> Column:
+    """W2 on the events: the sample's value as both memory and utilisation."""
+    return idle_predicate(F.col("value"), F.col("value"), IDLE_VALUE, IDLE_VALUE)
+
+
 def q_consecutive_runs(spark, sf):
-    ev = FX.metric_samples(spark, sf)
-    return consecutive_runs(ev, "user_id", "event_id", F.col("value") <= IDLE_VALUE, RUN_LENGTH).select(
-        "user_id", "event_id")
+    ev = FX.metric_samples(spark, sf).select("user_id", "event_id", "value")
+    return consecutive_runs(ev, "user_id", "event_id", _idle(), RUN_LENGTH).select("user_id", "event_id")
+
+
+def q_consecutive_runs_hosts(spark, sf):
+    """W1 keyed by host name and ordered by time, as launcher samples are."""
+    ev = FX.metric_samples(spark, sf).select(F.concat(F.lit("host-"), F.col("user_id").cast("string")).alias("host"), "ts", "event_id", "value")
+    # one sample per host and instant: the first event
+    once = ev.groupBy("host", "ts").agg(F.min_by("value", "event_id").alias("value"))
+    return consecutive_runs(once, "host", "ts", _idle(), RUN_LENGTH).groupBy("host").agg(_long(F.count(F.lit(1))).alias("firings"))
 
 
 def q_consecutive_runs_stream(spark, sf):
@@ -546,5 +558,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "explode_energies": q_explode_energies,
     "eval_subset_msms": q_eval_subset_msms,
     "consecutive_runs": q_consecutive_runs,
+    "consecutive_runs_hosts": q_consecutive_runs_hosts,
     "consecutive_runs_stream": q_consecutive_runs_stream,
 }

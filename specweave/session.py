@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -48,9 +49,29 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SCRATCH: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, name: str = "scratch") -> str:
-    """A fresh, never reused path under the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/specweave/{name}-{uuid.uuid4().hex}"
+    """A fresh, never reused path under the shared checkpoint folder; it is
+    removed when this process ends (or by :func:`clear_scratch`)."""
+    if not _SCRATCH:
+        atexit.register(clear_scratch)
+    path = f"{checkpoint_root(spark)}/specweave/{name}-{uuid.uuid4().hex}"
+    _SCRATCH[path] = spark
+    return path
+
+
+def clear_scratch() -> None:
+    """Remove what :func:`scratch_path` has named so far; results read from
+    there must have been consumed."""
+    while _SCRATCH:
+        path, spark = _SCRATCH.popitem()
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  the session may be gone at exit
+            return
 
 
 def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:

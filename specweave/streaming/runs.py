@@ -1,69 +1,68 @@
 """K2: consecutive-run detection over a stream of metric samples.
 
-Structured Streaming file source -> ``groupBy(key).applyInPandasWithState``
--> append-mode Parquet sink.  The state per key is two numbers (open run
-length, last order value), so it stays O(keys) however long the stream
-runs.  Each micro-batch is sorted per key inside the state function.
-Precondition (as for the batch W1): per key, samples arrive in order
-across micro-batches; a sample older than the key's last one is counted
-in arrival order (documented as out of contract).
+Structured Streaming with ``foreachBatch``: every micro-batch goes through the
+batch operator (W1), so a hot key is cut into buckets there as well and no
+Python touches the rows.  Between batches a *carry table* in the shared folder
+holds one row per key: the run open after its last sample, and that sample's
+order value.  Each batch reads the carry of the batch before it and writes its
+own; a batch that is run again overwrites only its own output and carry.
+
+Lateness: per key, samples must arrive in order across micro-batches.  A sample
+whose order value is not above its key's last one fails the query with
+:class:`LateSampleError`: counting it in arrival order would give other runs than
+the batch operator does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.runs import run_lengths
 from ..session import scratch_path
+from ..sources import fs
 
-STATE_SCHEMA = "run long, last long"
 
+class LateSampleError(ValueError):
+    """A sample came after a later one of its key had been counted."""
 
-def _advance(p: np.ndarray, carry: int) -> np.ndarray:
-    """Counter after each sample given the run open before the batch."""
-    breaks = np.cumsum(~p)
-    idx = np.arange(1, len(p) + 1)
-    last_break = np.maximum.accumulate(np.where(~p, idx, 0))
-    run = np.where(breaks == 0, carry + idx, idx - last_break)
-    return np.where(p, run, 0)
 
+def _carry_path(root: str, batch_id: int) -> str:
+    return f"{root}/carry/batch-{batch_id:012d}"
 
-def _state_fn(key_col: str, order_col: str, n: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames = [f for f in pdfs if len(f)]
-        carry = state.get[0] if state.exists else 0
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True).sort_values(order_col, kind="stable")
-        run = _advance(pdf["_p"].to_numpy(dtype=bool), int(carry))
-        state.update((int(run[-1]), int(pdf[order_col].iloc[-1])))
-        fired = pdf.loc[run == n, [key_col, order_col]]
-        if len(fired):
-            yield fired.assign(run_length=np.int64(n))
-    return fn
 
-
-def run_stream(stream: DataFrame, key: str, order: str, pred_sql: str, n: int) -> DataFrame:
-    """The streaming operator itself (any streaming DataFrame in, firings out)."""
-    keyed = stream.select(F.col(key), F.col(order), F.coalesce(F.expr(pred_sql), F.lit(False)).alias("_p"))
-    out_schema = f"{key} long, {order} long, run_length long"
-    return keyed.groupBy(key).applyInPandasWithState(
-        _state_fn(key, order, n), out_schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+def process_batch(batch: DataFrame, batch_id: int, root: str, key: str, order: str, pred: Column, n: int) -> None:
+    """One micro-batch: firings to ``root/out``, the new carry to ``root/carry``."""
+    spark = batch.sparkSession
+    samples = batch.select(key, order, F.coalesce(pred, F.lit(False)).alias("_idle"))
+    before = None
+    if batch_id:
+        before = spark.read.parquet(_carry_path(root, batch_id - 1))
+        last = before.select(F.col(key).alias("_k"), F.col("last").alias("_last"))
+        late = samples.join(last, F.col(key).eqNullSafe(F.col("_k"))).where(F.col(order) <= F.col("_last")).limit(1).collect()
+        if late:
+            raise LateSampleError(f"key {late[0][key]!r}: sample at {late[0][order]} after one at {late[0]['_last']}")
+    counted = run_lengths(samples, key, order, F.col("_idle"), carry=None if before is None else before.select(key, "run"))
+    fired = counted.where(F.col("run_length") == n).select(key, order, "run_length")
+    fired.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+    # of samples with equal order the idle ones count last
+    now = counted.groupBy(key).agg(F.max(order).alias("last"), F.max_by("run_length", F.struct(order, "_idle", "run_length")).alias("run"))
+    if before is not None:
+        gone = before.join(now.select(F.col(key).alias("_k")), F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+        now = now.unionByName(gone)
+    now.write.mode("overwrite").parquet(_carry_path(root, batch_id))
+    if batch_id > 1:  # the one before is needed if this batch is run again
+        fs.delete(spark, _carry_path(root, batch_id - 2))
 
 
 def consecutive_runs_stream(spark: SparkSession, path: str, key: str, order: str, pred_sql: str, n: int = 3,
                             max_files_per_trigger: int | None = None) -> DataFrame:
     """Run K2 over Parquet files at ``path`` to completion (``availableNow``)
-    and return the sink's contents as a batch DataFrame."""
-    schema = spark.read.parquet(path).schema
-    from ..sources import fs
+    and return the sink's contents as a batch DataFrame.
 
+    ``max_files_per_trigger`` bounds a micro-batch.
+    """
+    schema = spark.read.parquet(path).schema
     if fs.is_file(spark, path):
         # The file source wants a directory or a glob; a one-character
         # class makes a glob that matches exactly this file.
@@ -71,13 +70,23 @@ def consecutive_runs_stream(spark: SparkSession, path: str, key: str, order: str
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(path)
-    out = scratch_path(spark, "runs-stream-out")
-    ckpt = scratch_path(spark, "runs-stream-ckpt")
-    q = (
-        run_stream(stream, key, order, pred_sql, n)
-        .writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.read.schema(f"{key} long, {order} long, run_length long").parquet(out)
+    root = scratch_path(spark, "runs-stream")
+    failures: list[LateSampleError] = []
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        try:
+            process_batch(batch, batch_id, root, key, order, F.expr(pred_sql), n)
+        except LateSampleError as e:
+            failures.append(e)
+            raise
+
+    q = reader.parquet(path).writeStream.foreachBatch(one).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    except Exception:
+        if failures:
+            raise failures[0] from None
+        raise
+    kinds = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in (key, order))
+    fs.mkdirs(spark, f"{root}/out")
+    return spark.read.schema(f"{kinds}, run_length long").parquet(f"{root}/out").select(key, order, "run_length")

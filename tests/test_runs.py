@@ -61,3 +61,85 @@ def test_stream_matches_batch_across_microbatches(spark, tmpdir_path):
     exp = consecutive_runs(ev, "user_id", "event_id", F.col("value") <= 20, 3)
     assert sorted(map(tuple, got.select("user_id", "event_id").collect())) == \
         sorted(map(tuple, exp.select("user_id", "event_id").collect()))
+
+
+def test_null_keys_string_keys_and_timestamps(spark):
+    import datetime as dt
+
+    at = [dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=37 * i * i) for i in range(40)]
+    rows = [(k, t, i % 9 != 4) for k in ("a", None, "b") for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "host string, t timestamp, p boolean")
+    exp = sorted(brute([(k or "", t, p) for k, t, p in rows], 3))
+    for width in (None, 1000, 50):
+        got = consecutive_runs(df, "host", "t", F.col("p"), 3, bucket_width=width).select("host", "t").collect()
+        assert sorted((r.host or "", r.t) for r in got) == exp
+
+
+def test_every_row_is_kept_and_ties_are_stable(spark):
+    from specweave.operators.numbering import number_rows
+    from specweave.operators.runs import run_lengths
+
+    rows = [(1, 5, True), (1, 5, False), (1, None, True), (None, 5, True), (None, None, None), (1, 6, True)]
+    df = spark.createDataFrame(rows, "k long, o long, p boolean")
+    got = run_lengths(df, "k", "o", F.col("p"))
+    assert got.columns == ["k", "o", "p", "run_length"] and got.count() == 6
+    # the false sample of a tie comes first, so the run is 1, then 2
+    assert [(r.o, r.p, r.run_length) for r in got.where("k = 1 AND o IS NOT NULL").orderBy("o", "p").collect()] == [(5, False, 0), (5, True, 1), (6, True, 2)]
+    numbered = number_rows(spark.createDataFrame([(None, 1), (None, 2), (1, None)], "g long, x long"), ["g"], "x")
+    assert sorted((str(r.g), r.line_number) for r in numbered.collect()) == [("1", 1), ("None", 1), ("None", 2)]
+
+
+def stream_folder(spark, root, batches, schema):
+    """One file per batch, oldest first."""
+    import glob
+    import shutil
+
+    flat = os.path.join(root, "flat")
+    os.makedirs(flat)
+    for i, rows in enumerate(batches):
+        one = os.path.join(root, f"one{i}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(one)
+        dst = os.path.join(flat, f"part-{i}.parquet")
+        shutil.copy(glob.glob(os.path.join(one, "part-*"))[0], dst)
+        os.utime(dst, (1_700_000_000 + 100 * i, 1_700_000_000 + 100 * i))
+    return flat
+
+
+def test_stream_with_string_and_null_keys(spark, tmpdir_path):
+    batches = [[(k, 10 * b + i, (b + i) % 7 != 3) for i in range(10) for k in ("hot", None, f"k{b}")] for b in range(3)]
+    schema = "host string, o long, p boolean"
+    got = consecutive_runs_stream(spark, stream_folder(spark, tmpdir_path, batches, schema), "host", "o", "p", 4, max_files_per_trigger=1)
+    exp = brute([(k or "", o, p) for b in batches for k, o, p in b], 4)
+    assert sorted((r.host or "", r.o) for r in got.collect()) == exp and exp
+
+
+def test_late_file_fails_the_stream(spark, tmpdir_path):
+    import pytest
+
+    from specweave.streaming.runs import LateSampleError
+
+    batches = [[("a", 5, True)], [("a", 4, True)]]
+    with pytest.raises(LateSampleError, match="sample at 4 after one at 5"):
+        consecutive_runs_stream(spark, stream_folder(spark, tmpdir_path, batches, "k string, o long, p boolean"), "k", "o", "p", 2, max_files_per_trigger=1)
+
+
+def test_shared_folder_is_demanded_on_a_cluster():
+    import pytest
+
+    from specweave.session import checkpoint_root
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(Session())
