@@ -81,4 +81,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE: dict[str, str] = {}
+#: DuckDB SQL where it can express an operator; the others are tested against
+#: brute force in tests/llm.
+ORACLE: dict[str, str] = {
+    "op4_tool_call_linking": """
+        WITH t AS (SELECT *, conv_id || ':' || turn AS id FROM conversations),
+        calls AS (SELECT *, row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) - 1 AS level FROM (
+            SELECT *, turn % 2 || ':' || (turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn)) AS island
+            FROM t WHERE role <> 'assistant')),
+        linked AS (SELECT c.*, a.turn AS result_turn, a.text AS content
+            FROM calls c LEFT JOIN t a ON a.role = 'assistant' AND a.conv_id = c.conv_id AND a.turn = c.turn + 1)
+        SELECT conv_id, turn, id AS call_id, role AS name, CAST(level AS INTEGER) AS level, result_turn IS NOT NULL AS linked, result_turn,
+            role IN ('system', 'user', 'tool') AND text <> '' AS valid,
+            CASE WHEN role NOT IN ('system', 'user', 'tool') THEN 'unknown tool' WHEN text = '' THEN '$.text: length' END AS error,
+            CAST(to_json({'arguments': {'text': text, 'turn': turn}, 'id': id, 'name': role, 'result': content}) AS VARCHAR) AS message
+        FROM linked
+        UNION ALL
+        SELECT conv_id, turn, conv_id || ':' || (turn - 1), NULL, NULL, false, turn, false, 'no open call',
+            CAST(to_json({'id': conv_id || ':' || (turn - 1), 'result': text}) AS VARCHAR)
+        FROM t a WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = a.conv_id AND c.turn = a.turn - 1)""",
+    "op7_mtree_topk": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM e q JOIN e c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+}
