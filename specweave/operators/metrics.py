@@ -30,14 +30,6 @@ def ir_length_histogram(valid: DataFrame) -> DataFrame:
     )
 
 
-def ir_length_maps(valid: DataFrame) -> DataFrame:
-    """E3 as ``(split, ir_lengths map<string,bigint>)``; the map has one
-    entry per distinct length, built after the length aggregate."""
-    return ir_length_histogram(valid).groupBy("split").agg(
-        F.map_from_entries(F.collect_list(F.struct("ir_length", "molecules"))).alias("ir_lengths")
-    )
-
-
 def verify_lengths(valid: DataFrame, expected_length: int) -> DataFrame:
     """The histogram must be exactly ``{expected: molecules}``.
 

@@ -280,14 +280,6 @@ def with_alignment_error(df: DataFrame, kind: str = "hcir") -> DataFrame:
     return df.withColumn("error", error).withColumn("is_gap", gap)
 
 
-def row_message(df: DataFrame) -> Column:
-    """``{split} line {n}: {error}`` (alignment errors are unwrapped)."""
-    return F.when(F.col("error.rule") == "C17", F.col("error.message")).otherwise(
-        F.concat(F.col("split"), F.lit(" line "), F.col("line_number").cast("string"), F.lit(": "),
-                 F.col("error.message"))
-    )
-
-
 def first_error_per_split(df: DataFrame) -> DataFrame:
     """Lowest failing line per split: ``(split, line_number, rule, message, token, mz,
     intensity)``.

@@ -37,6 +37,9 @@ from . import fs
 
 # Bytes of text per partition of the alignment, and of written text files.
 TARGET_PARTITION_BYTES = 128 << 20
+# Beyond this many partitions they grow instead (a sort spills): a shuffle keeps
+# a size per map task and partition, which the driver must hold.
+MAX_PARTITIONS = 20_000
 
 
 def part_number(path: Column) -> Column:
@@ -151,9 +154,10 @@ def require_inputs(spark: SparkSession, view: str, kind: str = "hcir") -> dict[s
 
 
 def partitions_for(spark: SparkSession, paths: list[str]) -> int:
-    """Partitions of about 128 MB of the given files, at least the default."""
+    """Partitions of about 128 MB of the given files, at least the default and
+    at most MAX_PARTITIONS."""
     total = sum(fs.size(spark, p) for p in paths)
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TARGET_PARTITION_BYTES))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTITIONS, -(-total // TARGET_PARTITION_BYTES)))
 
 
 def align(src: DataFrame, tgt: DataFrame) -> DataFrame:

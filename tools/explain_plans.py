@@ -47,7 +47,7 @@ def main() -> None:
     out = _hcir_converted(spark, sf)
     plans = {
         "J1 input: aligned text -> parsed lines (line numbers, alignment join)": J.hcir_parsed(spark, view, 0, 64),
-        "J2 input: parse + enrichment join (size-checked broadcast of the reference)": J.msms_parsed(spark, view, ref),
+        "J2 input: enrichment join of the target lines, then the one exchange of lines": J.msms_parsed(spark, view, ref),
         "E1/E2 split summary over the fixture": M.hcir_split_summary(V.hcir(spark, sf).where(F.col("error").isNull())),
         "C16 first error per split": R.first_error_per_split(V.hcir(spark, sf, bad=True)),
         "E8 first 10 mismatches per split (rank filter)": M.mismatch_examples(V.msms(spark, sf).where(F.col("error").isNull())),
