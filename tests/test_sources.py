@@ -44,6 +44,8 @@ def test_summary_and_ready_roundtrip(spark, tmpdir_path):
     row = SM.split_summaries(spark, tmpdir_path).first()
     assert (row.split, row.counts["molecules_written"], row.ir_lengths["400"]) == ("train", 3, 3)
     assert SM.read_summary(spark, tmpdir_path).first().b == 1
+    assert not SM.is_complete(spark, tmpdir_path)   # a summary without a finished write
+    open(os.path.join(tmpdir_path, "_SUCCESS"), "w").close()
     assert SM.is_complete(spark, tmpdir_path)
     assert not SM.is_ready(spark, tmpdir_path)
     SM.write_ready(spark, tmpdir_path, {"train": 3, "test": 1})
