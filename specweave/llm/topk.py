@@ -43,7 +43,7 @@ PIVOTS = 64
 TREE_ROWS = 8192
 TREES_PER_GROUP = 8
 QUERY_BLOCK = 8192
-LEAF = 128
+LEAF = 512
 FANOUT = 16
 SCALE = 256.0
 
@@ -63,8 +63,9 @@ def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 class MTree:
     """M-tree over rows (id, vector) in the extended space.
 
-    A node is (routing row, radius, distance to the parent's routing row,
-    children or None, rows, distances of rows to the routing row).
+    A node is [routing row, radius, distance to the parent's routing row,
+    children or None, entries, entries' distances to the routing row, children's
+    radii or None]; entries are the rows of a leaf or the children's routing rows.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float):
@@ -88,9 +89,9 @@ class MTree:
             order = np.argsort(away, kind="stable")
             pages = [rows[order[i:i + LEAF]] for i in range(0, len(rows), LEAF)]
             if len(pages) == 1:
-                return [router, float(away.max(initial=0)), 0.0, None, pages[0], away[order]]
-            leaves = [[router, 0.0, 0.0, None, p, np.zeros(len(p))] for p in pages]
-            return [router, 0.0, 0.0, leaves, None, None]
+                return [router, float(away.max(initial=0)), 0.0, None, pages[0], away[order], None]
+            leaves = [[router, 0.0, 0.0, None, p, np.zeros(len(p)), None] for p in pages]
+            return self._inner(router, 0.0, leaves)
         chosen, nearest, owner = [router], away.copy(), np.zeros(len(rows), np.int64)
         while len(chosen) < min(FANOUT, -(-len(rows) // LEAF) + 1):
             far = int(nearest.argmax())
@@ -109,7 +110,16 @@ class MTree:
             child = self._build(own)
             child[2] = float(self._distances(router, np.array([c]))[0])
             children.append(child)
-        return [router, float(away.max()), 0.0, children, None, None]
+        return self._inner(router, float(away.max()), children)
+
+    @staticmethod
+    def _inner(router: int, radius: float, children: list):
+        of = [np.array([c[i] for c in children]) for i in (0, 2, 1)]
+        return [router, radius, 0.0, children, *of]
+
+    def distances(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        d = self.vectors[rows] - query
+        return np.sqrt((d * d).sum(axis=1) + self.extra[rows] ** 2)
 
     def distance(self, query: np.ndarray, row: int) -> float:
         d = self.vectors[row] - query
@@ -158,28 +168,21 @@ class Search:
             low, _, d, tree, node = heapq.heappop(heap)
             if low > self.limit:
                 break
-            router, _, _, children, rows, stored = node
+            _, _, _, children, rows, stored, radii = node
+            # distances to the routing row, stored, against this query's
+            near = np.flatnonzero(np.abs(d - stored) <= self.limit + (0.0 if radii is None else radii))
+            self.avoided += len(rows) - len(near)
+            self.computed += len(near)
+            if not len(near):
+                continue
             if children is None:
-                near = np.abs(d - stored) <= self.limit  # stored distances to the routing row
-                self.avoided += int(len(rows) - near.sum())
-                rows = rows[near]
-                if len(rows):
-                    self.computed += len(rows)
-                    self.offer(exact_scores(tree.vectors[rows], self.q), tree.ids[rows])
+                self.offer(exact_scores(tree.vectors[rows[near]], self.q), tree.ids[rows[near]])
                 continue
-            for child in children:
-                if abs(d - child[2]) - child[1] > self.limit:
-                    self.avoided += 1
-                    continue
-                if child[0] == router:
-                    away = d
-                else:
-                    away = tree.distance(self.q, child[0])
-                    self.computed += 1
-                bound = max(0.0, away - child[1])
-                if bound <= self.limit:
-                    heapq.heappush(heap, (bound, tick, away, tree, child))
-                    tick += 1
+            away = tree.distances(self.q, rows[near])
+            bounds = np.maximum(0.0, away - radii[near])
+            for i in np.flatnonzero(bounds <= self.limit):
+                heapq.heappush(heap, (float(bounds[i]), tick, float(away[i]), tree, children[near[i]]))
+                tick += 1
 
 
 def prepared(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
