@@ -192,9 +192,6 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _span_text(spans) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-
 
 def _find_batches(batches: Iterator) -> Iterator:
     import pyarrow as pa
