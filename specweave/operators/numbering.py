@@ -13,10 +13,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_WIDTH = 1 << 20
+MAX_BUCKET_ROWS = 1 << 20
+MIN_BUCKET_ROWS = 4096
 
 
-MIN_BUCKET_WIDTH = 4096
+def width_for(df: DataFrame, order_col: str) -> int:
+    """Key units per bucket for a few buckets per core, each of about
+    MIN_BUCKET_ROWS to MAX_BUCKET_ROWS rows: wide for sparse keys, so the count
+    table stays a small fraction of the rows.  One pass over one column."""
+    r = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"), F.count(order_col).alias("n")).first()
+    if not r["n"]:
+        return MAX_BUCKET_ROWS
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = min(MAX_BUCKET_ROWS, max(MIN_BUCKET_ROWS, -(-int(r["n"]) // (4 * cores))))
+    return max(1, (int(r["hi"]) - int(r["lo"]) + 1) * rows // int(r["n"]))
 
 
 def number_rows(df: DataFrame, group_cols: list[str], order_col: str, out_col: str = "line_number",
@@ -28,24 +38,16 @@ def number_rows(df: DataFrame, group_cols: list[str], order_col: str, out_col: s
     table when its measured size is under the broadcast threshold and
     falls back to a sort-merge join otherwise.
 
-    The input is consumed twice (counts, numbering).  For an expensive
-    input pass ``materialize=True``: it is written once to the shared
-    checkpoint folder and both branches read that table.
+    The input is consumed several times (key range, counts, numbering).  For an
+    expensive input pass ``materialize=True``: it is written once to the shared
+    checkpoint folder and all of them read that table.
     """
     if materialize:
         from ..session import materialize as _materialize
 
         df = _materialize(df, "numbering-input")
-        if bucket_width is None:
-            # The key range is a one-column read of the materialised table;
-            # aim for a few buckets per core, never above the default width.
-            r = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-            if r["lo"] is not None:
-                cores = df.sparkSession.sparkContext.defaultParallelism
-                span = int(r["hi"]) - int(r["lo"]) + 1
-                bucket_width = min(DEFAULT_BUCKET_WIDTH, max(MIN_BUCKET_WIDTH, -(-span // (4 * cores))))
     if bucket_width is None:
-        bucket_width = DEFAULT_BUCKET_WIDTH
+        bucket_width = width_for(df, order_col)
     bucket = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("long")
     keyed = df.withColumn("_nb", bucket)
     counts = keyed.groupBy(*group_cols, "_nb").agg(F.count(F.lit(1)).alias("_nc"))
