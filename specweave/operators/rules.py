@@ -284,12 +284,15 @@ def first_error_per_split(df: DataFrame) -> DataFrame:
     """Lowest failing line per split: ``(split, line_number, rule, message, token, mz,
     intensity)``.
 
-    A hash aggregate finds the line numbers (at most one row per split, which
-    is broadcast); the error itself is then read from that line.
+    A hash aggregate finds the line numbers (at most one row per split, collected);
+    the errors are then read by a predicate on split and line number, which
+    reaches the scan, so no other line is parsed again.
     """
     failing = df.where(F.col("error").isNotNull()).select("split", "line_number", "error")
-    first = failing.groupBy("split").agg(F.min("line_number").alias("line_number"))
-    return failing.join(F.broadcast(first), ["split", "line_number"]).select(
+    here = F.lit(False)
+    for r in failing.groupBy("split").agg(F.min("line_number").alias("n")).collect():
+        here = here | (F.col("split").eqNullSafe(F.lit(r["split"])) & (F.col("line_number") == r["n"]))
+    return failing.where(here).select(
         "split", "line_number", *[F.col(f"error.{c}").alias(c) for c in ("rule", "message", "token", "mz", "intensity")])
 
 
