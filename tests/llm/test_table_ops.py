@@ -279,6 +279,23 @@ def test_recall_of_edited_items(spark):
     assert found / n >= 0.95
 
 
+@pytest.mark.parametrize("kind", ["sub", "del", "ins", "mixed"])
+@pytest.mark.parametrize("size, trials", [(10, 200), (31, 200), (59, 200), (120, 100), (250, 60), (500, 40), (1000, 40)])
+def test_recall_by_item_length_and_kind_of_edit(size, trials, kind):
+    rng = random.Random(size)
+    items = [(i, [f"w{rng.randrange(5000)}" for _ in range(size)]) for i in range(trials)]
+    index = decontaminate.Items([(i, " ".join(w)) for i, w in items])
+    found = 0
+    for item, words in items:
+        out = list(words)
+        for p in sorted(rng.sample(range(size), decontaminate.edits_allowed(size)), reverse=True):
+            how = rng.choice(["sub", "del", "ins"]) if kind == "mixed" else kind
+            out[p:p + (how != "ins")] = [] if how == "del" else [f"zz{rng.randrange(999)}"]
+        inside = [f"a{rng.randrange(999)}" for _ in range(rng.randrange(30))] + out + [f"b{rng.randrange(999)}" for _ in range(30)]
+        found += any(m[0] == item for m in index.matches_of_words(inside))
+    assert found / trials >= 0.95
+
+
 def test_decontamination_equals_brute_force(spark):
     docs = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
     items = {r["item_id"]: decontaminate.words_of(r["text"]) for r in table(spark, SF, "benchmark").collect()}
