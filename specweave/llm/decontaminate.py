@@ -2,7 +2,8 @@
 
 A document is contaminated if a run of its words is within an edit distance of
 MAX_EDITS of the words of a benchmark item (word insertions, deletions and
-substitutions; words are letters and digits in lower case).
+substitutions; words are runs of letters and digits in lower case, and single
+characters of scripts written without spaces).
 
 Windows of item size slide over every word position of the whole text:
 
@@ -32,7 +33,9 @@ The benchmark is handled in blocks of at most BLOCK_WORDS words, so what goes to
 the workers is bounded; each further block is another pass over the documents.
 Documents are not shuffled.
 
-Items with null text or fewer than MIN_WORDS words take no part. Null text of a
+Items of fewer than MIN_WORDS words allow no edit: their word sequences are met
+exactly by a hash at every position of the text, and compared. Items with null
+text or without words take no part. Null text of a
 document counts as empty. Repeated items and documents are treated one by one,
 ties between equal matches go to the first position.
 """
@@ -63,12 +66,23 @@ SEED = 20_26
 
 MATCHES = "doc_id long, item_id long, edits int, item_words int, start long, end long"
 
-_WORD = re.compile(r"[^\W_]+")
-_WORD_OR_END = re.compile(r"[^\W_]+|\0")
+# Blocks of scripts written without spaces (Thai, Lao, Myanmar,
+# Khmer, Tai Le, New Tai Lue, Tai Tham, Balinese, kana, Bopomofo, Han, Yi, Javanese).
+_UNSPACED = (
+    "\u0e01-\u0e3a\u0e40-\u0e4e\u0e50-\u0e59\u0e81-\u0edf\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u17e0-\u17e9\u1950-\u1974"
+    "\u1980-\u19da\u1a20-\u1a99\u1b00-\u1b59\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3105-\u312f\u31a0-\u31bf\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48c\ua980-\ua9c0\ua9d0-\ua9d9\ua9e0-\ua9fe\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+)
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_SPACED_WORD = re.compile(r"[^\W_]+")
+_SPACED_WORD_OR_END = re.compile(r"[^\W_]+|\0")
+_WORD = re.compile(rf"[{_UNSPACED}]|(?:(?![{_UNSPACED}])[^\W_])+")
+_WORD_OR_END = re.compile(rf"{_WORD.pattern}|\0")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    low = text.lower()
+    return (_WORD if _ANY_UNSPACED.search(low) else _SPACED_WORD).findall(low)
 
 
 def grid_size(n: int) -> int:
@@ -110,8 +124,16 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]]):
         found = [(i, words_of(t)) for i, t in items if t]
+        short = [(i, w) for i, w in found if 0 < len(w) < MIN_WORDS]
         found = [(i, w) for i, w in found if len(w) >= MIN_WORDS]
-        self.vocabulary = {w: n + 1 for n, w in enumerate(dict.fromkeys(w for _, ws in found for w in ws))}  # 0: in no item
+        self.vocabulary = {w: n + 1 for n, w in enumerate(dict.fromkeys(w for _, ws in found + short for w in ws))}  # 0: in no item
+        self.short: dict[tuple[int, ...], list[int]] = {}  # ids by word sequence
+        for i, ws in short:
+            self.short.setdefault(tuple(self.vocabulary[w] for w in ws), []).append(i)
+        self.short_keys = {
+            n: np.unique(np.concatenate([self._sequences(np.array(ws, np.int64), n) for ws in self.short if len(ws) == n]))
+            for n in {len(ws) for ws in self.short}
+        }
         self.ids = [i for i, _ in found]
         self.items = [[self.vocabulary[w] for w in ws] for _, ws in found]
         self.pairs = np.zeros(1 << PAIR_BITS, bool)
@@ -150,6 +172,31 @@ class Items:
         h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
+    @staticmethod
+    def _sequences(words: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the ``n`` words from each position on."""
+        h = np.full(max(0, len(words) - n + 1), n, np.uint64)
+        for i in range(n):
+            h = (h ^ words[i:len(h) + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h = h ^ (h >> np.uint64(29))
+        return h
+
+    def short_matches(self, words: np.ndarray) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """(start, words) of every place where a short item stands."""
+        for n, keys in self.short_keys.items():
+            h = self._sequences(words, n)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            for start in np.flatnonzero(keys[at] == h).tolist():
+                own = tuple(words[start:start + n].tolist())
+                if own in self.short:
+                    yield start, own
+
+    def _first_short(self, places) -> list[tuple[int, int, int, int, int]]:
+        first: dict[tuple[int, ...], int] = {}
+        for start, own in places:
+            first[own] = min(start, first.get(own, start))
+        return [(i, 0, len(own), start, start + len(own)) for own, start in first.items() for i in self.short[own]]
+
     def _keys(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """(windows, TABLES) keys of the windows of ``words`` with these starts
         and sizes: all walks of all windows advance together."""
@@ -210,7 +257,8 @@ class Items:
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
         starts, numbers, firsts = self.candidates(ids)
-        return self._verified(ids, zip((starts - firsts).tolist(), numbers.tolist(), strict=True))
+        near = self._verified(ids, zip((starts - firsts).tolist(), numbers.tolist(), strict=True))
+        return near + self._first_short(self.short_matches(ids))
 
     def _verified(self, ids: np.ndarray, candidates) -> list[tuple[int, int, int, int, int]]:
         """Matches near the ``candidates`` (place of the item's first word if no
@@ -245,7 +293,7 @@ class Items:
 def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> list[Items]:
     """Indexes over the benchmark (item_id, text), each of about ``limit`` words at most."""
     items = need(benchmark, ("item_id", "text")).where("text IS NOT NULL")
-    size = F.size(F.split("text", r"\s+"))
+    size = F.size(F.split("text", r"\s+")) + F.length(F.regexp_replace("text", f"[^{_UNSPACED}]", ""))
     total = items.agg(F.sum(size)).first()[0] or 0
     n = max(1, -(-2 * total // limit)) if total > limit else 1
     out = []
@@ -261,11 +309,12 @@ def _found(index: Items, texts: list[str | None]) -> list[list[tuple]]:
     from specweave.llm.langid import chunks
 
     out: list[list[tuple]] = [[] for _ in texts]
-    if not index.sizes:
+    if not index.sizes and not index.short:
         return out
     for cut in chunks(texts):
         # one run over all words; a NUL word, known to no item, ends each text
-        found = _WORD_OR_END.findall("".join([t.replace("\0", " ").lower() + "\0" if t else "\0" for t in texts[cut]]))
+        run = "".join([t.replace("\0", " ").lower() + "\0" if t else "\0" for t in texts[cut]])
+        found = (_WORD_OR_END if _ANY_UNSPACED.search(run) else _SPACED_WORD_OR_END).findall(run)
         words = np.fromiter(map(index.vocabulary.get, found, repeat(0)), np.int64, len(found))
         ends = np.flatnonzero(np.fromiter(map("\0".__eq__, found), bool, len(found)))
         by_text: dict[int, set] = {}
@@ -275,6 +324,12 @@ def _found(index: Items, texts: list[str | None]) -> list[list[tuple]]:
         for n, windows in by_text.items():
             first = int(ends[n - 1]) + 1 if n else 0
             out[cut.start + n] = index._verified(words[first:ends[n]], {(at - first, number) for at, number in windows})
+        short: dict[int, list] = {}
+        places = list(index.short_matches(words))
+        for n, (at, own) in zip(np.searchsorted(ends, [at for at, _ in places], "left").tolist(), places, strict=True):
+            short.setdefault(n, []).append((at - (int(ends[n - 1]) + 1 if n else 0), own))
+        for n, own in short.items():
+            out[cut.start + n] += index._first_short(own)
     return out
 
 

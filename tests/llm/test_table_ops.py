@@ -325,6 +325,20 @@ def test_decontamination_odd_rows(spark):
     assert len(many) > 1 and sum(len(i.ids) for i in many) == 3
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Short one"), (2, "yes"), (3, "a b c d"), (4, "日本語のテキストを読む"), (5, "--"), (6, "short one"), (7, "漢字")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "a short, ONE"), (2, "short"), (3, "one yes"), (4, "a b c e d"), (5, "x a b c d"), (6, "これは日本語のテクストを読む人"), (7, "字漢漢字 short"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["item_id"], r["edits"], rows[r["doc_id"] - 1][1][r["start"]:r["end"]]) for r in decontaminate.find_matches(docs, bench).collect()}
+    assert got == {(1, 1, 0, "short, ONE"), (1, 6, 0, "short, ONE"), (3, 2, 0, "yes"), (5, 3, 0, "a b c d"), (6, 4, 1, "日本語のテクストを読む"), (7, 7, 0, "漢字")}
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == [2, 4, 8]
+    index = decontaminate.Items(items)
+    assert sorted(m[0] for m in index.matches("yes, short one")) == [1, 2, 6]
+    unspaced = spark.createDataFrame([(i, "日本語" * 10) for i in range(8)], "item_id long, text string")
+    assert len(decontaminate.blocks(unspaced, 60)) > 1
+
+
 # --- quality -----------------------------------------------------------
 
 
