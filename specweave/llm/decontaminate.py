@@ -23,7 +23,8 @@ Windows of item size slide over every word position of the whole text:
   smallest edit distance of the item to any run of words around the window.
 
 Windows are of the largest size of a geometric grid that the segment has (its
-first words). Before embedding, windows are skipped that cannot match by the
+first words), start at every word and end with their text at the latest, so what
+is found depends neither on the order of documents nor on batches. Before embedding, windows are skipped that cannot match by the
 q-gram lemma: a segment of L words with k edits keeps L - 1 - 2k of its word
 pairs, so a window with fewer pairs that occur in any item is out. A candidate
 is verified only if the words around it hold all but MAX_EDITS of the item's
@@ -197,12 +198,13 @@ class Items:
             first[own] = min(start, first.get(own, start))
         return [(i, 0, len(own), start, start + len(own)) for own, start in first.items() for i in self.short[own]]
 
-    def _keys(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def _keys(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, behind: np.ndarray | None = None) -> np.ndarray:
         """(windows, TABLES) keys of the windows of ``words`` with these starts
-        and sizes: all walks of all windows advance together."""
+        and sizes, cut off at ``behind``, the word behind their text: all walks of
+        all windows advance together."""
         n = len(starts)
         padded = np.append(words + 2, 1).astype(np.uint64)  # 1: behind the window
-        limit = np.minimum(starts + sizes, len(words))[None, :]
+        limit = np.minimum(starts + sizes, len(words) if behind is None else behind)[None, :]
         pointer = np.repeat(starts[None, :], WALKS, axis=0)
         outputs = np.empty((2 * int(sizes.max(initial=0)), WALKS, n), np.uint64)
         for step in range(len(outputs)):
@@ -221,25 +223,28 @@ class Items:
             keys[own] = h.T
         return keys
 
-    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(self, words: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Window starts, item numbers and first words of segments, each triple
-        once, of windows that share a key with a segment of an item."""
+        once, of windows that share a key with a segment of an item. ``ends`` are
+        the places behind the texts of ``words`` (one text: its length)."""
         found = [(np.zeros(0, np.int64),) * 3]
         if len(words) < 2 or not self.sizes:
             return found[0]
+        ends = np.array([len(words)]) if ends is None else ends
         known = np.concatenate([[0], np.cumsum(self.pairs[self._pair(words[:-1], words[1:])] & (words[:-1] > 0) & (words[1:] > 0))])
-        starts, sizes = [], []
+        known = np.append(known, np.full(self.sizes[-1], known[-1]))
+        starts, sizes, behind = [], [], []
         for s in self.sizes:
-            n = len(words) - s + 1
-            if n < 1:  # fewer words than the window: all of them are one window
-                own = np.zeros(int(known[-1] >= self.least[s]), np.int64)
-            else:
-                own = np.flatnonzero(known[s - 1:s - 1 + n] - known[:n] >= self.least[s])
-            starts.append(own)
-            sizes.append(np.full(len(own), s))
-        starts, sizes = np.concatenate(starts), np.concatenate(sizes)
+            own = np.flatnonzero(known[s - 1:s - 1 + len(words)] - known[:len(words)] >= self.least[s])
+            last = ends[np.searchsorted(ends, own, "left")]
+            # pairs of the next text do not count
+            fit = known[np.minimum(own + s, np.maximum(last, own + 1)) - 1] - known[own] >= self.least[s]
+            starts.append(own[fit])
+            sizes.append(np.full(len(own[fit]), s))
+            behind.append(last[fit])
+        starts, sizes, behind = np.concatenate(starts), np.concatenate(sizes), np.concatenate(behind)
         for i in range(0, len(starts), 2048):
-            keys = self._keys(words, starts[i:i + 2048], sizes[i:i + 2048]).ravel()
+            keys = self._keys(words, starts[i:i + 2048], sizes[i:i + 2048], behind[i:i + 2048]).ravel()
             low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
             hit = np.flatnonzero(high > low)
             per = (high - low)[hit]
@@ -304,8 +309,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> list[Items]:
 
 
 def _found(index: Items, texts: list[str | None]) -> list[list[tuple]]:
-    """Matches of each text. A window may reach into the next text; what it
-    finds is verified on the words of its own text alone."""
+    """Matches of each text, each found within its own words alone."""
     from specweave.llm.langid import chunks
 
     out: list[list[tuple]] = [[] for _ in texts]
@@ -318,7 +322,7 @@ def _found(index: Items, texts: list[str | None]) -> list[list[tuple]]:
         words = np.fromiter(map(index.vocabulary.get, found, repeat(0)), np.int64, len(found))
         ends = np.flatnonzero(np.fromiter(map("\0".__eq__, found), bool, len(found)))
         by_text: dict[int, set] = {}
-        starts, numbers, firsts = index.candidates(words)
+        starts, numbers, firsts = index.candidates(words, ends)
         for n, at, number in zip(np.searchsorted(ends, starts, "left").tolist(), (starts - firsts).tolist(), numbers.tolist(), strict=True):
             by_text.setdefault(n, set()).add((at, number))
         for n, windows in by_text.items():

@@ -339,6 +339,21 @@ def test_short_items_and_scripts_without_spaces(spark):
     assert len(decontaminate.blocks(unspaced, 60)) > 1
 
 
+def test_matches_do_not_depend_on_the_texts_beside():
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for i, n in enumerate([5, 7, 10, 12, 16, 19, 31, 40] * 5)]
+    index = decontaminate.Items(items)
+    cut = [" ".join(t.split()[:-decontaminate.edits_allowed(len(t.split()))]) for _, t in items]
+    alone = [decontaminate._found(index, [t])[0] for t in cut]
+    assert all(any(m[0] == i for m in found) for i, found in enumerate(alone))
+    assert [index.matches(t) for t in cut] == alone
+    for k in range(5):  # behind others and as the last text of a run
+        rng.shuffle(order := list(range(len(items))))
+        assert decontaminate._found(index, [cut[i] for i in order]) == [alone[i] for i in order]
+        assert decontaminate._found(index, ["one", None, "", cut[k], "w1 w2"])[3] == alone[k]
+        assert decontaminate._found(index, ["x " * 50, cut[k]])[1] == alone[k]
+
+
 # --- quality -----------------------------------------------------------
 
 
