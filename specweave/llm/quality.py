@@ -1,6 +1,7 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model.
 
-The model counts character n-grams (ORDER characters; text in lower case, white
+The model counts character n-grams (ORDER UTF-16 code units, so any alphabet is
+counted as it is; a character beyond 65,535 is two units; text in lower case, white
 space runs as one space, padded before the first character and closed by an end
 mark) of all trusted documents. Counts, contexts and discounts are Spark tables;
 no table of the corpus goes to the driver or is broadcast.
@@ -25,7 +26,6 @@ no table of the corpus goes to the driver or is broadcast.
 Documents without words (null, empty) have no perplexity and do not stay.
 Unlabelled and repeated rows are scored like others; repeated or contradictory
 labels count as trusted if one says so. Null language is a language of its own.
-Code points from 3,840 on share 255 classes of the alphabet.
 """
 
 from __future__ import annotations
@@ -38,8 +38,7 @@ from specweave.llm.common import need, tidy_shuffles
 from specweave.session import materialize
 
 ORDER = 4
-BITS = 12
-DIRECT = 3840
+BITS = 16
 PAD, END = 0, 1
 BLOCK_BYTES = 24_000_000
 BINS = 1000
@@ -50,16 +49,13 @@ LEAST_TRUSTED = 50
 
 def _codes(texts: list[str], order: int) -> np.ndarray:
     joined = "".join(["\0" * (order - 1) + " ".join(t.replace("\0", " ").replace("\1", " ").lower().split()) + "\1" for t in texts])
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if points.max(initial=0) < DIRECT:
-        return points.astype(np.int64)
-    return np.where(points < DIRECT, points, DIRECT + points % 255).astype(np.int64)
+    return np.frombuffer(joined.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.int64)
 
 
 def ngrams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram keys of all texts in order, number of keys of each text).
 
-    A key holds its characters' codes in BITS bits each, the last lowest."""
+    A key holds its code units in BITS bits each, the last lowest."""
     codes = _codes(texts, order)
     keys = np.zeros(max(0, len(codes) - order + 1), np.int64)
     for i in range(order):

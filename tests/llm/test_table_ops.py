@@ -410,6 +410,17 @@ def test_perplexity_equals_brute_force(spark):
     assert got == want
 
 
+def test_no_two_n_grams_share_a_key():
+    # 3,840 + r and 4,095 + r once had one code
+    texts = ["ကခ", "ჿᄀ", "日本語", "ệề", "“x”", "한국", "😀", "😁", *(chr(c) * 3 for c in range(0x4E00, 0x4E00 + 600))]
+    spelled, keys = set(), set()
+    for t in texts:
+        units = f"\0\0\0{t}\1".encode("utf-16-le")
+        spelled |= {units[i:i + 8] for i in range(0, len(units) - 6, 2)}
+        keys |= set(quality.ngrams([t])[0].tolist())
+    assert len(keys) == len(spelled)
+
+
 def test_quality_separates_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect()}
