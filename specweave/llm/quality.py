@@ -16,11 +16,11 @@ no table of the corpus goes to the driver or is broadcast.
 3. Sharded count join: (block, n-gram) meets the probabilities by n-gram and
    returns to its block, where the documents sum their logarithms. A block
    receives its own n-grams only, each once, however often they occur.
-4. Per language, quartiles of log-perplexity of trusted documents (a histogram
-   with bins of 1 / BINS, so the same at any partitioning) give fences FENCE
-   quartile ranges beyond the quartiles; for a document of n n-grams the range is
-   widened by sqrt(1 + SHORT / n), as the mean of a short text scatters more. A
-   document stays between its fences.
+4. Fences are the QUANTILES of log-perplexity of trusted documents (a histogram
+   with bins of 1 / BINS, so the same at any partitioning) of the same language
+   and length class (n-grams by powers of two, as the mean of a short text
+   scatters more). A class with under LEAST_TRUSTED trusted documents takes
+   neighbouring classes in, the nearest first. A document stays between its fences.
    Languages with under LEAST_TRUSTED trusted documents use the fences of all.
 
 Documents without words (null, empty) have no perplexity and do not stay.
@@ -42,8 +42,7 @@ BITS = 16
 PAD, END = 0, 1
 BLOCK_BYTES = 24_000_000
 BINS = 1000
-FENCE = 3.0
-SHORT = 2000
+QUANTILES = (0.005, 0.995)
 LEAST_TRUSTED = 50
 
 
@@ -190,24 +189,40 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         return materialize(scores, "quality-scores")
 
 
+def _length_class() -> Column:
+    """Number of doublings in n_grams."""
+    return (F.length(F.bin("n_grams")) - 1).alias("class")
+
+
 def fences(scores: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(lang, q1, q3, width) of log-perplexity of trusted documents; the row with
-    all_langs is that of all languages together."""
+    """(lang, all_langs, class, low, high, n_lang) by language and length class;
+    the rows with all_langs are those of all languages together."""
     from pyspark.sql import Window
 
     good = need(trusted, ("doc_id",)).select(F.col("doc_id").cast("long")).distinct()
     own = scores.where("log_perplexity IS NOT NULL").join(good, "doc_id", "left_semi")
-    bins = own.groupBy("lang", F.floor(F.col("log_perplexity") * BINS).cast("long").alias("bin")).count()
-    every = bins.groupBy("bin").agg(F.sum("count").alias("count"))
-    bins = bins.select("lang", F.lit(False).alias("all_langs"), "bin", "count").unionByName(every.select(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("all_langs"), "bin", "count"))
-    group = Window.partitionBy("lang", "all_langs")  # at most the number of bins
-    ranked = bins.withColumn("upto", F.sum("count").over(group.orderBy("bin"))).withColumn("total", F.sum("count").over(group))
-
-    def quartile(q: float) -> Column:
-        return F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin") + 0.5)) / BINS
-
-    table = ranked.groupBy("lang", "all_langs").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.max("total").alias("n_trusted"))
-    return table.withColumn("width", F.greatest(F.col("q3") - F.col("q1"), F.lit(1.0 / BINS)) * FENCE)
+    bins = own.groupBy("lang", _length_class(), F.floor(F.col("log_perplexity") * BINS).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = bins.groupBy("class", "bin").agg(F.sum("n").alias("n"))
+    bins = bins.select("lang", F.lit(False).alias("all_langs"), "class", "bin", "n").unionByName(every.select(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("all_langs"), "class", "bin", "n"))
+    bins = materialize(bins, "quality-bins")
+    # widest distance of classes taken in: the first that has enough documents, or all
+    classes = scores.select(_length_class().alias("of")).distinct()  # under 64
+    distance = F.abs(F.col("class") - F.col("of"))
+    sums = bins.groupBy("lang", "all_langs", "class").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(classes)).groupBy("lang", "all_langs", "of", distance.alias("distance")).agg(F.sum("n").alias("n"))
+    group = Window.partitionBy("lang", "all_langs", "of")
+    upto = sums.withColumn("upto", F.sum("n").over(group.orderBy("distance")))
+    near = upto.groupBy("lang", "all_langs", "of").agg(F.coalesce(F.min(F.when(F.col("upto") >= LEAST_TRUSTED, F.col("distance"))), F.max("distance")).alias("within"), F.sum("n").alias("n_lang"))
+    near = near.select(F.col("lang").alias("near_lang"), F.col("all_langs").alias("near_all"), "of", "within", "n_lang")
+    on = F.col("lang").eqNullSafe(F.col("near_lang")) & (F.col("all_langs") == F.col("near_all")) & (distance <= F.col("within"))
+    taken = bins.join(near, on).groupBy("lang", "all_langs", "of", "n_lang", "bin").agg(F.sum("n").alias("n"))
+    ranked = taken.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
+
+    def first_bin(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.col("bin")))
+
+    low, high = (F.col("total") - 1) * QUANTILES[0], (F.col("total") - 1) * QUANTILES[1]
+    return ranked.groupBy("lang", "all_langs", F.col("of").alias("class"), "n_lang").agg(
+        (first_bin(F.floor(low)) / BINS).alias("low"), ((first_bin(F.ceil(high)) + 1) / BINS).alias("high"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -215,11 +230,11 @@ def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     keep of every row; without any trusted text nothing stays."""
     scores = perplexities(docs, trusted)
     table = materialize(fences(scores, trusted), "quality-fences")
-    own = table.where(~F.col("all_langs") & (F.col("n_trusted") >= LEAST_TRUSTED)).select(F.col("lang").alias("own_lang"), "q1", "q3", "width")
-    every = table.where("all_langs").agg(*[F.max(c).alias(f"any_{c}") for c in ("q1", "q3", "width")])
-    out = scores.join(own, F.col("lang").eqNullSafe(F.col("own_lang")), "left").crossJoin(F.broadcast(every))
-    q1, q3, width = (F.coalesce(c, f"any_{c}") for c in ("q1", "q3", "width"))
-    width = width * F.sqrt(1 + F.lit(float(SHORT)) / F.col("n_grams"))
-    out = out.withColumn("low", q1 - width).withColumn("high", q3 + width)
+    own = table.where(~F.col("all_langs") & (F.col("n_lang") >= LEAST_TRUSTED)).select(F.col("lang").alias("own_lang"), F.col("class").alias("own_class"), F.col("low").alias("own_low"), F.col("high").alias("own_high"))
+    every = table.where("all_langs").select(F.col("class").alias("any_class"), F.col("low").alias("any_low"), F.col("high").alias("any_high"))
+    out = scores.withColumn("class", _length_class())
+    out = out.join(own, F.col("lang").eqNullSafe(F.col("own_lang")) & (F.col("class") == F.col("own_class")), "left")
+    out = out.join(F.broadcast(every), F.col("class") == F.col("any_class"), "left")  # under 64 rows
+    out = out.withColumn("low", F.coalesce("own_low", "any_low")).withColumn("high", F.coalesce("own_high", "any_high"))
     keep = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     return out.select("doc_id", "lang", "n_grams", *[F.exp(a).alias(b) for a, b in (("log_perplexity", "perplexity"), ("low", "low"), ("high", "high"))], keep.alias("keep"))

@@ -430,6 +430,32 @@ def test_quality_separates_labels(spark):
     assert kept[1] > 0.99 and kept[0] < 0.25
 
 
+def test_fences_are_quantiles_by_language_and_length(spark):
+    rng = random.Random(3)
+    rows = [(i, "ab"[i % 2], 2 ** (6 + i % 4 * (i % 2)) + i % 60, 2 + i % 2 + rng.gauss(0, 0.1)) for i in range(2000)]
+    rows += [(5000 + i, "c", 100, 2.5) for i in range(20)]
+    schema = "doc_id long, lang string, n_grams long, log_perplexity double"
+    scores = spark.createDataFrame(rows, schema)
+    got = {(r["lang"], r["class"]): r for r in quality.fences(scores, scores.select("doc_id")).collect() if not r["all_langs"]}
+    for lang, size in (("a", 6), ("b", 7), ("b", 9)):
+        own = sorted(p for _, l, n, p in rows if l == lang and n.bit_length() - 1 == size)
+        if len(own) >= quality.LEAST_TRUSTED:
+            r = got[lang, size]
+            assert r["low"] <= own[int(0.005 * (len(own) - 1))] < r["low"] + 0.0011
+            assert r["high"] - 0.0011 < own[math.ceil(0.995 * (len(own) - 1))] <= r["high"]
+    assert got["c", 9]["n_lang"] == 20
+
+
+def test_quality_drops_repeated_words_and_most_bad_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents").select("doc_id", "lang", "text"), table(spark, sf, "labels")
+    added = spark.createDataFrame([(-1, "de", "Der " * 1421), (-2, "en", "Of " * 2008), (-3, "en", "This " * 45)], docs.schema)
+    got = {r["doc_id"]: r["keep"] for r in quality.classify(docs.unionByName(added), labels.where("quality = 1").select("doc_id")).collect()}
+    assert not any(got[i] for i in (-1, -2, -3))
+    bad = [got[r["doc_id"]] for r in labels.where("quality = 0").collect() if r["doc_id"] in got]
+    assert np.mean(bad) < 0.125
+
+
 def test_quality_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "en", "some text")], "doc_id long, lang string, text string")
     none = spark.createDataFrame([], "doc_id long")
