@@ -7,8 +7,9 @@ mark) of all trusted documents. Counts, contexts and discounts are Spark tables;
 no table of the corpus goes to the driver or is broadcast.
 
 1. Documents are dealt into blocks of about BLOCK_BYTES of text by a hash of
-   their id, and meet the trusted ids there. Each block reports its distinct
-   n-grams with their count in trusted text.
+   their id and place in the input, so rows of one id or of none are spread like
+   others; a block gets the trusted ones of its own ids. Each block reports its
+   distinct n-grams with their count in trusted text.
 2. Per order, from the highest down: counts (continuation counts below the
    highest order), counts of counts for the three discounts, and context totals;
    then probabilities of the n-grams that occur anywhere, joined on n-gram,
@@ -24,6 +25,8 @@ no table of the corpus goes to the driver or is broadcast.
    Languages with under LEAST_TRUSTED trusted documents use the fences of all.
 
 Documents without words (null, empty) have no perplexity and do not stay.
+The input is read more than once and must give its rows in the same partitions
+and order each time, as files do; a row that comes back elsewhere is an error.
 Unlabelled and repeated rows are scored like others; repeated or contradictory
 labels count as trusted if one says so. Null language is a language of its own.
 """
@@ -75,7 +78,7 @@ def _count_block(key, docs, trusted):
     import pyarrow as pa
 
     texts = docs.column("text").to_pylist()
-    good = set(trusted.column("doc_id").to_pylist())
+    good = set(trusted.column("good_id").to_pylist())
     known = [d in good for d in docs.column("doc_id").to_pylist()]
     found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for cut in _chunks(texts):
@@ -106,7 +109,10 @@ def _score_block(key, docs, grams):
         if not full:
             continue
         keys, n = ngrams([texts[i] for i in full])
-        values = logs[np.searchsorted(known, keys)]
+        at = np.searchsorted(known, keys)
+        if not len(known) or (known[np.minimum(at, len(known) - 1)] != keys).any():
+            raise ValueError("quality: the documents changed between two reads; write them to files first")
+        values = logs[at]
         n_all[full] = n
         sums[full] = np.add.reduceat(values, np.concatenate([[0], np.cumsum(n)[:-1]]))
     blank = n_all == 0
@@ -177,11 +183,13 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     rows = need(docs, ("doc_id", "lang", "text")).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block")
     rows = rows.select("doc_id", "lang", "text", block)
-    good = need(trusted, ("doc_id",)).select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct().select("doc_id", block)
+    good = need(trusted, ("doc_id",)).select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct()
+    good = rows.select("doc_id", "block").distinct().join(good, "doc_id", "left_semi")  # an id at most once a block
+    good = good.select(F.col("doc_id").alias("good_id"), F.col("block").alias("good_block"))
     with tidy_shuffles(spark):
-        found = materialize(rows.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_count_block, "block int, gram long, n long"), "quality-grams")
+        found = materialize(rows.groupBy("block").cogroup(good.groupBy("good_block")).applyInArrow(_count_block, "block int, gram long, n long"), "quality-grams")
         grams = materialize(found.groupBy("gram").agg(F.sum("n").alias("n")), "quality-grams")
         logs = probabilities(grams).select("gram", F.log("p").alias("logp"))
         dealt = found.select("block", "gram").join(logs, "gram").select("block", "gram", "logp")

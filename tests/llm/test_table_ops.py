@@ -456,6 +456,23 @@ def test_quality_drops_repeated_words_and_most_bad_labels(spark):
     assert np.mean(bad) < 0.125
 
 
+def test_rows_of_one_id_are_dealt_over_blocks(spark, monkeypatch, tmp_path):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "en", f"the text {i % 3} of row {i % 50}") for i in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "docs"))
+    docs, trusted = spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame([(7,), (8,), (8,), (None,)], "doc_id long")
+    want = Counter((r["doc_id"], r["n_grams"], round(r["log_perplexity"], 8)) for r in quality.perplexities(docs, trusted).collect())
+    count = quality._count_block
+
+    def bounded(key, docs, good):
+        assert docs.num_rows < 300  # of 1,200 in over 10 blocks
+        return count(key, docs, good)
+
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(quality, "_count_block", bounded)
+    got = Counter((r["doc_id"], r["n_grams"], round(r["log_perplexity"], 8)) for r in quality.perplexities(docs, trusted).collect())
+    assert got == want and sum(got.values()) == 1200
+
+
 def test_quality_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "en", "some text")], "doc_id long, lang string, text string")
     none = spark.createDataFrame([], "doc_id long")
