@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm import chat, decontaminate, html_main, langid, packing, pii, quality, sharding, simhash, topk
+from specweave.llm import chat, decontaminate, html_main, infill, langid, packing, pii, quality, sharding, simhash, topk
 from specweave.llm.common import need, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,6 +68,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.samples(table(spark, sf_dir, "documents"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney_quality": op1_kneser_ney_quality,
     "op2_cgk_decontamination": op2_cgk_decontamination,
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_main_text": op8_html_main_text,
     "op9_pii_anchors": op9_pii_anchors,
     "op10_language_id": op10_language_id,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 #: DuckDB SQL where it can express an operator; the others are tested against
@@ -108,4 +116,20 @@ ORACLE: dict[str, str] = {
             FROM e q JOIN e c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op12_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS parts,
+            sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        e AS (SELECT *, len(parts) - CASE WHEN t = '' OR right(t, 1) = chr(10) THEN 1 ELSE 0 END AS n,
+            list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS r FROM d),
+        c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS lo, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS hi,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain'
+                WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM e),
+        u AS (SELECT *, CASE lo WHEN 0 THEN '' WHEN n THEN t ELSE array_to_string(parts[1:lo], chr(10)) || chr(10) END AS p,
+            CASE hi WHEN 0 THEN '' WHEN n THEN t ELSE array_to_string(parts[1:hi], chr(10)) || chr(10) END AS pm FROM c),
+        v AS (SELECT *, substr(pm, length(p) + 1) AS m, substr(t, length(pm) + 1) AS s FROM u)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(t) AS restored_sha256 FROM v""",
 }
