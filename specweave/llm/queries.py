@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm import chat, decontaminate, html_main, infill, langid, packing, pii, quality, sharding, simhash, topk
+from specweave.llm import chat, decontaminate, html_main, infill, langid, packing, pii, quality, sharding, simhash, topk, toxicity
 from specweave.llm.common import need, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -75,6 +75,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), toxicity.held_out()
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~out))
+    return toxicity.score(docs, model).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "neighbours", "terms")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney_quality": op1_kneser_ney_quality,
     "op2_cgk_decontamination": op2_cgk_decontamination,
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_anchors": op9_pii_anchors,
     "op10_language_id": op10_language_id,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_toxicity": op13_toxicity,
 }
 
 #: DuckDB SQL where it can express an operator; the others are tested against
