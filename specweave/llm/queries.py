@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm import chat, decontaminate, html_main, infill, langid, packing, pii, quality, sharding, simhash, topk, toxicity
+from specweave.llm import chat, collocations, decontaminate, html_main, infill, langid, packing, pii, quality, sharding, simhash, topk, toxicity
 from specweave.llm.common import need, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,6 +68,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = infill.samples(table(spark, sf_dir, "documents"))
     restored = infill.restore(F.col("output"), F.col("form"))
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_main_text": op8_html_main_text,
     "op9_pii_anchors": op9_pii_anchors,
     "op10_language_id": op10_language_id,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_toxicity": op13_toxicity,
 }
@@ -124,6 +129,27 @@ ORACLE: dict[str, str] = {
             FROM e q JOIN e c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op11_phrase_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE len(w) > 0),
+        grams AS (SELECT lang, array_to_string(w[i:i + s], ' ') AS phrase, s + 1 AS size
+            FROM places, (SELECT unnest([0, 1, 2, 3, 4]) AS s) WHERE i + s <= len(w)),
+        f AS (SELECT lang, phrase, size, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+        inner_ AS (SELECT DISTINCT a.lang, a.phrase FROM c a JOIN c b ON a.lang = b.lang AND b.size > a.size AND 100 * b.f >= 100 * a.f
+            AND contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ')),
+        kept AS (SELECT * FROM c ANTI JOIN inner_ USING (lang, phrase)),
+        cuts AS (SELECT kept.*, unnest(range(1, size)) AS k FROM kept),
+        scores AS (SELECT cuts.lang, cuts.phrase, cuts.f AS a, h.f AS l, t.f AS r, n, k,
+            CAST((1000::HUGEINT * cuts.f * n) // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+            FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = array_to_string(w[1:k], ' ')
+            JOIN f t ON t.lang = cuts.lang AND t.phrase = array_to_string(w[k + 1:], ' ') JOIN total ON total.lang = cuts.lang),
+        lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM lowest QUALIFY rank <= 2000""",
     "op12_fill_in_middle": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS parts,
             sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
