@@ -11,10 +11,10 @@
    occurrence in a text is not as near to an example full of such terms as an
    equally full text.
 3. Index: postings by term, in blocks of BLOCK examples, each with its largest
-   weight. A search adds the largest weights per block, visits blocks from the
-   highest bound down and stops where no further block can reach the K-th best
-   similarity, so the K nearest examples are exact; all that tie with the K-th
-   count as well.
+   weight. A search adds the largest weights per block, scores the blocks with the
+   highest bounds and then those whose bound reaches the K-th best similarity so
+   far, so the K nearest examples are exact; all that tie with the K-th count as
+   well.
 4. Votes are weighted by similarity to the power POWER. Leave-one-out votes of the
    examples, weighted by how many texts of their label an example stands for, give
    the map from votes to scores (isotonic, so a higher vote never scores lower).
@@ -79,7 +79,10 @@ class BlockMaxIndex:
     """Exact nearest examples by cosine over sparse vectors.
 
     ``vectors``: (term numbers ascending, weights) of each example, without the
-    common term, which has the number ``n_terms`` and the weight ``common``.
+    common term, which has the number ``n_terms`` and the weight ``common``. A search
+    scores the blocks with the highest bounds, then all whose bound reaches the
+    ``k``-th best similarity of these; sums are in order of the terms, so a
+    similarity does not depend on the blocks.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, common: float = COMMON, block: int = BLOCK):
@@ -108,34 +111,36 @@ class BlockMaxIndex:
         terms, weights = np.append(terms, self.n_terms), np.append(weights, self.common)
         weights = weights / np.sqrt((weights * weights).sum())
         bound = weights @ self.largest[terms] + 1e-9  # more than any rounding
-        ahead = np.argsort(-bound, kind="stable")
-        found, scores, least = [], [], -1.0
-        at, step = 0, 1
-        while at < self.blocks and (len(found) == 0 or bound[ahead[at]] >= least):
-            for b in ahead[at:at + step].tolist():
-                low, high = b * self.block, min(self.n, (b + 1) * self.block)
-                sums = np.zeros(high - low)
-                for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                    i, j = self.ends[t * self.blocks + b], self.ends[t * self.blocks + b + 1]
-                    if i < j:
-                        sums[self.place[i:j] - low] += w * self.weight[i:j]
-                keep = np.flatnonzero(sums >= least)
-                found.append(self.order[low + keep])
-                scores.append(sums[keep])
-                self.visited += 1
-            at += step
-            step *= 2
-            held = np.concatenate(scores)
-            if len(held) >= k:
-                least = np.partition(held, len(held) - k)[len(held) - k]
-                alive = held >= least
-                found, scores = [np.concatenate(found)[alive]], [held[alive]]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        found, scores = np.concatenate(found), np.concatenate(scores)
+        found, scores, least = np.zeros(0, np.int64), np.zeros(0), -1.0
+        seen = np.zeros(self.blocks, bool)
+        best = np.argsort(-bound, kind="stable")[:-(-2 * k // self.block)]  # enough for a first K-th best
+        for ahead in (best, None):
+            open_ = ~seen & (bound >= least) if ahead is None else np.isin(np.arange(self.blocks), ahead)
+            places, sums = self._exact(terms, weights, open_)
+            seen |= open_
+            self.visited += int(open_.sum())
+            found, scores = np.concatenate([found, self.order[places]]), np.concatenate([scores, sums])
+            if len(scores) >= k:
+                least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                found, scores = found[scores >= least], scores[scores >= least]
         ranked = np.lexsort((found, -scores))
         return found[ranked], scores[ranked]
 
+    def _exact(self, terms: np.ndarray, weights: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, similarities) of all examples of the ``open_`` blocks."""
+        sums = np.zeros(self.n)
+        few = np.flatnonzero(open_) if 4 * open_.sum() < self.blocks else None
+        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            if few is None:
+                cuts = [(self.ends[t * self.blocks], self.ends[(t + 1) * self.blocks])]
+            else:
+                cuts = zip(self.ends[t * self.blocks + few].tolist(), self.ends[t * self.blocks + few + 1].tolist(), strict=True)
+            for i, j in cuts:
+                if i < j:
+                    sums[self.place[i:j]] += w * self.weight[i:j]
+        places = np.flatnonzero(np.repeat(open_, self.block)[:self.n])
+        return places, sums[places]
+
 
 def vote(similarity: np.ndarray, labels: np.ndarray) -> float:
     weight = np.maximum(similarity, 0.0) ** POWER
@@ -170,6 +175,15 @@ class Model:
     votes: np.ndarray
     scores: np.ndarray
 
+    def __post_init__(self):
+        self.heads = {t[:PREFIXES[0]] for t in self.terms}
+
+    def terms_of(self, word: str) -> tuple[int, ...]:
+        """Numbers of the word's marking terms."""
+        if word[:PREFIXES[0]] not in self.heads:
+            return ()
+        return tuple([self.terms[t] for t in terms_of(word) if t in self.terms])
+
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(counts), np.int64)
         return at, np.array([counts[t] for t in at.tolist()], float) * self.idf[at]
@@ -267,18 +281,12 @@ class Scorer:
         self.words: dict[str, tuple[int, ...]] = {}
         self.results: dict[tuple, tuple] = {}
 
-    def _terms(self, word: str) -> tuple[int, ...]:
-        number = self.model.terms
-        return tuple([number[t] for t in terms_of(word) if t in number])
-
     def __call__(self, text: str | None) -> tuple[float, list, list]:
         if len(self.words) > CACHE:
             self.words.clear()
-        known, counts = self.words, {}
-        for w in words(text):
-            t = known.get(w)
-            if t is None:
-                t = known[w] = self._terms(w)
+        known, counts, found = self.words, {}, words(text)
+        known.update([(w, self.model.terms_of(w)) for w in set(found) if w not in known])
+        for t in [t for w in found if (t := known[w])]:
             for i in t:
                 counts[i] = counts.get(i, 0) + 1
         key = tuple(sorted(counts.items()))

@@ -39,8 +39,8 @@ def test_block_max_search_equals_brute_force(block):
         near, similar = index.search(t, w, 7)
         assert set(near.tolist()) == set(np.flatnonzero(scores >= last - 1e-12).tolist())
         assert np.allclose(similar, scores[near]) and (np.diff(similar) <= 0).all()
-    if block < 64:
-        assert index.visited < 61 * index.blocks  # bounds spare blocks
+    if block == 2:
+        assert index.visited < 0.8 * 61 * index.blocks  # bounds spare blocks
 
 
 def test_isotonic_equals_brute_force():
