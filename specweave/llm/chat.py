@@ -1,23 +1,26 @@
 """Tool-call linking of conversations.
 
 Calls (call_id, conv_id, turn, name, arguments, after) and results (call_id,
-conv_id, turn, content) are hash-joined by identifier. ``after`` names the call
-whose result a call builds on; the topological level of a call is the number of
+conv_id, turn, content) are hash-joined by conversation and identifier: an
+identifier means nothing outside its conversation (rows without a conversation
+are one of their own). ``after`` names the call of the conversation whose result a
+call builds on; the topological level of a call is the number of
 calls before it on that way, found by pointer doubling: every round joins each
 open call with the call it points to and doubles the step, so a chain of n
 calls takes log2(n) rounds. Arguments are parsed, checked against the JSON
 schema of the tool's name, and each call with its result becomes one message in
 canonical JSON (keys sorted, no white space, UTF-8).
 
-No conversation is gathered in one task: joins are on call identifiers, and a
-result's first-ness is a partial aggregate.
+No conversation is gathered in one task: joins are on conversation and call
+identifier, and a result's first-ness is a partial aggregate.
 
 Defined cases: a call without identifier (null) is linked to nothing, level 0.
 A call whose ``after`` names no call, is null or names itself has level 0; a
 call on a cycle, or behind one, has level null and the error ``cycle``. Of
 several results of one identifier the first by turn, then content, is linked,
 the others (and results of no call) come out as rows of their own with the
-error ``no open call``. Calls that repeat an identifier share its result, and
+error ``no open call``. A result of a turn before the first call of its identifier
+answers no call (where a turn is null, order is unknown and it does). Calls that repeat an identifier share its result, and
 its first ``after`` in text order counts. Unparsable, duplicate-key, non-finite
 and too deeply nested arguments, unknown tools and schema violations are named
 in ``error``; such messages carry the arguments as a string. Empty tables give
@@ -29,7 +32,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specweave.llm.common import need
@@ -119,7 +122,7 @@ def check_arguments(name: str | None, arguments: str | None, schemas: dict) -> t
     except RecursionError:
         return arguments, "arguments: nested too deeply"
     except ValueError as e:
-        return arguments, f"arguments: {str(e)[:80]}"
+        return arguments, f"arguments: {e}"
 
 
 def _messages(schemas: dict):
@@ -153,31 +156,40 @@ def _messages(schemas: dict):
     return run
 
 
+def _key(call_id: str = "call_id") -> Column:
+    """Conversation and identifier as one key; null without an identifier."""
+    return F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit(":"), F.col(call_id))
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level) of every distinct identifier; level null on and behind cycles."""
-    own = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min("after").alias("after"))
+    """(conv_id, call_id, level) of every distinct identifier of a conversation;
+    level null on and behind cycles."""
+    keyed = calls.where("call_id IS NOT NULL").select(_key().alias("key"), "conv_id", "call_id", _key("after").alias("after"))
+    own = keyed.groupBy("key").agg(F.first("conv_id").alias("conv_id"), F.first("call_id").alias("call_id"), F.min("after").alias("after"))
     own = materialize(own, "chat-calls")
-    known = own.select(F.col("call_id").alias("up"))
-    step = own.join(known, (F.col("after") == F.col("up")) & (F.col("after") != F.col("call_id")), "left")
-    step = materialize(step.select("call_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("level")), "chat-levels")
+    known = own.select(F.col("key").alias("up"))
+    step = own.join(known, (F.col("after") == F.col("up")) & (F.col("after") != F.col("key")), "left")
+    step = materialize(step.select("key", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("level")), "chat-levels")
     rounds = max(1, own.count()).bit_length()
     for _ in range(rounds):
         if step.where("up IS NOT NULL").isEmpty():
             break
-        there = step.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        step = step.join(there, "up", "left").select("call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
+        there = step.select(F.col("key").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        step = step.join(there, "up", "left").select("key", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
         step = materialize(step, "chat-levels")
-    return step.select("call_id", F.when(F.col("up").isNull(), F.col("level")).cast("int").alias("level"))
+    found = step.select("key", F.when(F.col("up").isNull(), F.col("level")).cast("int").alias("level"))
+    return own.select("key", "conv_id", "call_id").join(found, "key").drop("key")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     """MESSAGES: a row per call and per result that no call is open for."""
-    calls = need(calls, CALLS)
-    results = materialize(need(results, RESULTS).withColumn("number", F.monotonically_increasing_id()), "chat-results")
-    first = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct(F.col("turn").isNull().alias("n"), "turn", "content", "number")).alias("r"))
-    first = first.join(calls.where("call_id IS NOT NULL").select("call_id").distinct(), "call_id", "left_semi")
-    first = materialize(first.select("call_id", F.col("r.number").alias("number"), F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content")), "chat-first")
-    linked = calls.join(first, "call_id", "left").join(levels(calls), "call_id", "left")
+    calls = need(calls, CALLS).withColumn("key", _key())
+    results = materialize(need(results, RESULTS).withColumn("number", F.monotonically_increasing_id()).withColumn("key", _key()), "chat-results")
+    opened = calls.where("key IS NOT NULL").groupBy("key").agg(F.min("turn").alias("opened"))
+    answers = results.where("key IS NOT NULL").join(opened, "key").where("turn IS NULL OR opened IS NULL OR turn >= opened")
+    first = answers.groupBy("key").agg(F.min(F.struct(F.col("turn").isNull().alias("n"), "turn", "content", "number")).alias("r"))
+    first = materialize(first.select("key", F.col("r.number").alias("number"), F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content")), "chat-first")
+    linked = calls.join(first, "key", "left").join(levels(calls).select(_key().alias("key"), "level"), "key", "left")
     rows = linked.select(
         F.lit(True).alias("is_call"), "conv_id", "turn", "call_id", "name", "arguments",
         F.when(F.col("call_id").isNull(), F.lit(0)).otherwise(F.col("level")).alias("level"),
@@ -204,7 +216,7 @@ def from_conversations(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of a table of plain turns (conv_id, turn, role, text).
 
     Each turn that is not the assistant's is a call of the tool of its role,
-    identified by conversation and turn, with its text and turn as arguments,
+    identified by its turn (so conversations share identifiers), with its text and turn as arguments,
     and builds on the call two turns before it; an assistant's turn is the
     result of the turn before it.
     """
@@ -212,7 +224,7 @@ def from_conversations(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
 
     def name(back: int):
-        return F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.format_string("%d:%d", F.col("conv_id"), F.col("turn") - back))
+        return F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.format_string("call_%d", F.col("turn") - back))
 
     answer = F.coalesce(F.col("role") == "assistant", F.lit(False))
     calls = rows.where(~answer).select(name(0).alias("call_id"), "conv_id", "turn", F.col("role").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"), F.when(F.col("turn") >= 2, name(2)).alias("after"))

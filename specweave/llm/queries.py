@@ -106,7 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: brute force in tests/llm.
 ORACLE: dict[str, str] = {
     "op4_tool_call_linking": """
-        WITH t AS (SELECT *, conv_id || ':' || turn AS id FROM conversations),
+        WITH t AS (SELECT *, 'call_' || turn AS id FROM conversations),
         calls AS (SELECT *, row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) - 1 AS level FROM (
             SELECT *, turn % 2 || ':' || (turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn)) AS island
             FROM t WHERE role <> 'assistant')),
@@ -118,8 +118,8 @@ ORACLE: dict[str, str] = {
             CAST(to_json({'arguments': {'text': text, 'turn': turn}, 'id': id, 'name': role, 'result': content}) AS VARCHAR) AS message
         FROM linked
         UNION ALL
-        SELECT conv_id, turn, conv_id || ':' || (turn - 1), NULL, NULL, false, turn, false, 'no open call',
-            CAST(to_json({'id': conv_id || ':' || (turn - 1), 'result': text}) AS VARCHAR)
+        SELECT conv_id, turn, 'call_' || (turn - 1), NULL, NULL, false, turn, false, 'no open call',
+            CAST(to_json({'id': 'call_' || (turn - 1), 'result': text}) AS VARCHAR)
         FROM t a WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = a.conv_id AND c.turn = a.turn - 1)""",
     "op7_mtree_topk": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings

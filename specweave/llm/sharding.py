@@ -5,12 +5,12 @@ score -weight / ln(u) takes the key. Adding a shard adds one score and leaves
 the others as they are, so a key either stays or moves to the new shard.
 DataFrame functions only.
 
-Slots: a shard's rows are ordered by 16 bits of the key's hash, then by key,
-size and checksum. Numbering first counts rows per (shard, bucket), at
+Slots: a shard's rows are ordered by 16 bits of a hash of key, size, checksum and
+scan partition, then by these. Numbering first counts rows per (shard, bucket), at
 most shards x 65,536 counts at any input size, and then numbers each bucket
-by itself, so no task sees a whole shard. Repeated rows are counted before the
-shuffle (per scan partition) and expanded after numbering: a key that holds a
-third of all rows crosses the network as one row per scan partition.
+by itself, so no task sees a whole shard, nor all rows of a hot key (all in one
+shard, by the law, but in all its buckets). Rows with the same text as well are
+counted before the shuffle (per scan partition) and expanded after numbering.
 
 Null keys are one key ("null"). Null text has no bytes. Ties of equal rows
 take neighbouring slots. An empty table gives no rows.
@@ -63,15 +63,15 @@ def shard_rows(docs: DataFrame, weights: Sequence[float], new_weight: float = 1.
         (F.length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
         F.struct(*[_score(key, i, w).alias(f"s{i}") for i, w in enumerate([*weights, new_weight])]).alias("s"),
-        F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.spark_partition_id().alias("part"),
     )
     pairs = [F.struct(F.col(f"s.s{i}").alias("score"), F.lit(-i).alias("shard")) for i in range(n)]
     best = F.greatest(*pairs) if n > 1 else pairs[0]
     placed = scored.withColumn("best", best).select(
-        "doc_id", "size", "text_crc32", "bucket",
+        "doc_id", "size", "text_crc32",
         (-F.col("best.shard")).cast("int").alias("shard"),
         F.when(F.col(f"s.s{n}") > F.col("best.score"), F.lit(n)).otherwise(-F.col("best.shard")).cast("int").alias("grown_shard"),
-        F.spark_partition_id().alias("part"),
+        "part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "part"), F.lit(BUCKETS)).cast("int").alias("bucket"),
     )
     counted = materialize(placed.groupBy("shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard", "part").agg(F.count(F.lit(1)).alias("n")), "sharding")
     before = counted.groupBy("shard", "bucket").agg(F.sum("n").alias("rows"))

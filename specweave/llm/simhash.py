@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specweave.llm.common import need
@@ -447,20 +447,30 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
     Rows without an id that are linked to none with one stay as a group of
     their own (one row).
     """
+    row_col, kept_id, kept_row = _free(docs, "row", "kept_id", "kept_row")
     row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields])
-    keyed = docs.withColumn("__row", row)
-    found = materialize(fingerprints(keyed, shingle, ("__row",)), "simhash")
+    keyed = docs.withColumn(row_col, row)
+    found = materialize(fingerprints(keyed, shingle, (row_col,)), "simhash")
     grouped = found.join(_labelled(found, distance), "fp")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("b")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row_col).alias("row"))).alias("b")
     with_id = grouped.where("component_id IS NOT NULL").groupBy("component_id").agg(best)
     without = grouped.where("component_id IS NULL").groupBy("fp").agg(best)
-    kept = with_id.select("b").unionByName(without.select("b")).select(F.col("b.doc_id").alias("__kept_id"), F.col("b.__row").alias("__kept_row"))
-    same = (F.col("__row") == F.col("__kept_row")) & F.col("doc_id").eqNullSafe(F.col("__kept_id"))
+    kept = with_id.select("b").unionByName(without.select("b")).select(F.col("b.doc_id").alias(kept_id), F.col("b.row").alias(kept_row))
+    same = (F.col(row_col) == F.col(kept_row)) & F.col("doc_id").eqNullSafe(F.col(kept_id))
     hit = keyed.join(kept, same, "left_semi")
-    # equal rows of one id have equal hashes: only one of them stays
-    again = found.groupBy("doc_id", "__row").count().where("count > 1").select(F.col("doc_id").alias("__kept_id"), F.col("__row").alias("__kept_row"))
+    # equal rows of one id have equal hashes: only one of them stays. They are
+    # merged where they lie before the shuffle, so none moves more than once a task.
+    again = found.groupBy("doc_id", row_col).count().where("count > 1").select(F.col("doc_id").alias(kept_id), F.col(row_col).alias(kept_row))
     if not again.isEmpty():
-        order = Window.partitionBy("doc_id", "__row").orderBy(F.lit(1))
-        double = hit.join(again, same, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+        others = [F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns if c != "doc_id"]
+        double = hit.join(again, same, "left_semi").groupBy("doc_id", row_col).agg(*others)
         hit = hit.join(again, same, "left_anti").unionByName(double)
     return hit.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _free(df: DataFrame, *names: str) -> list[str]:
+    """The names behind underscores that no column of ``df`` begins with."""
+    lead = "__"
+    while any(c.startswith(lead) for c in df.columns):
+        lead += "_"
+    return [lead + n for n in names]

@@ -4,11 +4,13 @@ brute-force versions, and odd rows."""
 import json
 import math
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from specweave.llm import chat, decontaminate, quality, queries, sharding, simhash, topk
 from specweave.llm.common import table
@@ -57,6 +59,38 @@ def test_shards_of_odd_rows(spark):
     assert sharding.shard_rows(spark.createDataFrame([], "doc_id long, text string"), [1.0]).count() == 0
 
 
+def brute_shard(key, weights):
+    """The law by the xxhash library: best shard of a key, lower of equals."""
+    best = None
+    for i, w in enumerate(weights):
+        draw = xxhash.xxh64_intdigest(struct.pack("<i", i), xxhash.xxh64_intdigest(key.encode(), 42)) >> 12
+        score = -w / math.log((draw + 0.5) / 2**52)
+        if best is None or score > best[0] + 1e-15 * abs(score):
+            best = (score, i)
+    return best[1]
+
+
+def test_shards_equal_the_law(spark):
+    got = queries.op6_rendezvous_sharding(spark, SF).collect()
+    for r in got:
+        key = "null" if r["doc_id"] is None else str(r["doc_id"])
+        assert r["shard"] == brute_shard(key, [1.0] * 24) and r["grown_shard"] == brute_shard(key, [1.0] * 25)
+    weighted = sharding.shard_rows(spark.range(300).selectExpr("id AS doc_id", "'x' AS text"), [1.0, 2.5, 0.5]).collect()
+    assert all(r["shard"] == brute_shard(str(r["doc_id"]), [1.0, 2.5, 0.5]) for r in weighted)
+
+
+def test_rows_of_a_hot_key_are_numbered_in_many_buckets(spark, monkeypatch):
+    tables = []
+    keep = sharding.materialize
+    monkeypatch.setattr(sharding, "materialize", lambda df, name: tables.append(keep(df, name)) or tables[-1])
+    df = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS doc_id", "CAST(id AS string) AS text")
+    got = sharding.shard_rows(df, [1.0] * 4)
+    assert got.count() == 30_000
+    assert tables[0].groupBy("shard", "bucket").agg({"n": "sum"}).agg({"sum(n)": "max"}).first()[0] < 20
+    slots = got.groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert all(r["max(slot)"] + 1 == r["count(1)"] for r in slots) and got.select("shard", "slot").distinct().count() == 30_000
+
+
 # --- top-k -------------------------------------------------------------
 
 
@@ -480,6 +514,15 @@ def test_quality_of_empty_tables(spark):
     assert quality.classify(docs.limit(0), none).count() == 0
 
 
+def test_keep_one_with_clashing_names_and_many_equal_rows(spark):
+    words = "one two three four five six seven eight"
+    rows = [(1, words, 77, "a")] * 3000 + [(2, words, 88, "b"), (3, "other text " * 9, 88, "c"), (None, None, 5, None), (None, None, 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, __row long, __kept_id string").repartition(6)
+    got = simhash.keep_one(docs)
+    assert got.dtypes == docs.dtypes
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, words, 77, "a"), (3, "other text " * 9, 88, "c"), (None, None, 5, None)], key=repr)
+
+
 # --- chat --------------------------------------------------------------
 
 SCHEMAS = {"sum": {"type": "object", "properties": {"x": {"type": "array", "items": {"type": "number", "maximum": 9}}, "mode": {"enum": ["a", "b"]}}, "required": ["x"], "additionalProperties": False}}
@@ -517,6 +560,20 @@ def test_links_levels_and_cycles(spark):
     assert chat.link(cs.limit(0), rs.limit(0), SCHEMAS).count() == 0
 
 
+def test_identifiers_belong_to_their_conversation(spark):
+    calls = [("call_1", conv, 0, "sum", '{"x":[]}', None) for conv in (1, 2, 3, None)] + [("call_2", conv, 2, "sum", '{"x":[]}', "call_1") for conv in (1, 2)]
+    calls += [("call_3", 2, 4, "sum", '{"x":[]}', "call_9"), ("call_9", 1, 4, "sum", '{"x":[]}', None), ("late", 5, 7, "sum", '{"x":[]}', None)]
+    results = [("call_1", 1, 1, "of 1"), ("call_1", 2, 1, "of 2"), ("call_1", None, 5, "of none"), ("call_2", 2, 3, "2 of 2"), ("call_2", 1, 1, "too early"), ("late", 5, 6, "before"), ("late", 5, None, "some time")]
+    cs = spark.createDataFrame(calls, "call_id string, conv_id long, turn long, name string, arguments string, after string")
+    rs = spark.createDataFrame(results, "call_id string, conv_id long, turn long, content string")
+    got = chat.link(cs, rs, SCHEMAS).collect()
+    answers = {(r["conv_id"], r["call_id"]): json.loads(r["message"])["result"] for r in got if r["error"] != "no open call"}
+    assert answers == {(1, "call_1"): "of 1", (2, "call_1"): "of 2", (3, "call_1"): None, (None, "call_1"): "of none", (1, "call_2"): None,
+                       (2, "call_2"): "2 of 2", (2, "call_3"): None, (1, "call_9"): None, (5, "late"): "some time"}
+    assert sorted((r["conv_id"], r["result_turn"]) for r in got if r["error"] == "no open call") == [(1, 1), (5, 6)]
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in got if r["level"]} == {(1, "call_2"): 1, (2, "call_2"): 1}  # call_9 is of another conversation
+
+
 def test_conversations_query(spark):
     rows = {(r["conv_id"], r["turn"]): r for r in table(spark, SF, "conversations").collect()}
     got = queries.op4_tool_call_linking(spark, SF).collect()
