@@ -5,10 +5,12 @@ and back to 0 otherwise; a row *fires* when the counter reaches ``n``.
 
 A plain ``Window.partitionBy(key)`` would put a hot key (a third of all
 rows) into one task.  Instead each key's sequence is cut into buckets of
-the order column (at most ``bucket_width`` rows each, the order column
-being unique per key), runs are measured inside buckets, and the run
+the order column, runs are measured inside buckets, and the run
 length carried into each bucket is a segmented prefix sum over the small
-per-bucket summary table.  The result is exact.
+per-bucket summary table.  The result is exact.  Where a bucket's counted
+size is over the bound (an outlier in the order, ties, NULL orders), the rows
+of each key are first numbered by a range-partitioned sort, and the buckets
+are cut from these numbers, so they are equally full.
 
 Keys may be of any type; NULL keys form a key of their own, and rows with a
 NULL order form a bucket of their own before all others.  The order is an
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .numbering import fresh_names, number_sorted
+
 DEFAULT_BUCKET_WIDTH = 1 << 20
 
 
@@ -41,55 +45,74 @@ def _order_number(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("long")
 
 
-def bucket_width_for(df: DataFrame, order: str, rows_per_bucket: int = DEFAULT_BUCKET_WIDTH) -> int:
-    """Order units per bucket for about ``rows_per_bucket`` rows of all keys
+def bucket_width_for(df: DataFrame, order: str, rows_per_bucket: int = DEFAULT_BUCKET_WIDTH) -> tuple[int, int]:
+    """(order units per bucket, rows) for about ``rows_per_bucket`` rows of all keys
     together, so sparse orders (microseconds) don't make a bucket per row."""
-    r = df.select(_order_number(df, order).alias("o")).agg(F.min("o").alias("lo"), F.max("o").alias("hi"), F.count("o").alias("n")).first()
+    r = df.select(_order_number(df, order).alias("o")).agg(
+        F.min("o").alias("lo"), F.max("o").alias("hi"), F.count("o").alias("n"), F.count(F.lit(1)).alias("all")).first()
     if not r["n"]:
-        return rows_per_bucket
-    return max(1, (int(r["hi"]) - int(r["lo"]) + 1) * rows_per_bucket // int(r["n"]))
+        return rows_per_bucket, int(r["all"])
+    return max(1, (int(r["hi"]) - int(r["lo"]) + 1) * rows_per_bucket // int(r["n"])), int(r["all"])
+
+
+def _overfull(d: DataFrame, key: str, bucket: str, bound: int) -> bool:
+    """Is a bucket of one key over the bound? Counted for all keys together first:
+    that is one number per bucket, and mostly says no."""
+    def largest(*by: str) -> int:
+        return d.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
 
+    return largest(bucket) > bound and largest(key, bucket) > bound
 
-def run_lengths(df: DataFrame, key: str, order: str, pred: Column,
-                bucket_width: int | None = None, carry: DataFrame | None = None) -> DataFrame:
+
+def run_lengths(df: DataFrame, key: str, order: str, pred: Column, bucket_width: int | None = None, carry: DataFrame | None = None,
+                rows_per_bucket: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
     """Add ``run_length``: the counter value after each row.
 
-    ``bucket_width`` counts order units; by default it follows the data.
-    ``carry`` (``key, run``) holds the runs open before the first row.
+    ``bucket_width`` counts order units; by default it follows the data, for
+    about ``rows_per_bucket`` rows, and no bucket of a key holds over four times
+    as many.  ``carry`` (``key, run``) holds the runs open before the first row.
     """
-    width = bucket_width or bucket_width_for(df, order)
-    d = df.withColumn("_p", F.coalesce(pred, F.lit(False))).withColumn("_o", _order_number(df, order))
-    d = d.withColumn("_b", F.coalesce(F.floor(F.col("_o") / F.lit(width)).cast("long"), F.lit(-(1 << 62))))
-    w = Window.partitionBy(key, "_b").orderBy("_o", "_p")
+    p, o, b, rn, last, k, cb, brought = fresh_names(df, "p", "o", "b", "rn", "last_break", "k", "cb", "carry")
+    d = df.withColumns({p: F.coalesce(pred, F.lit(False)), o: _order_number(df, order)})
+    width, rows = (bucket_width, 0) if bucket_width else bucket_width_for(df, order, rows_per_bucket)
+
+    def bucketed(d: DataFrame, width: int) -> DataFrame:
+        return d.withColumn(b, F.coalesce(F.floor(F.col(o) / F.lit(width)).cast("long"), F.lit(-(1 << 62))))
+
+    cut = bucketed(d, width)
+    if rows > 4 * rows_per_bucket and _overfull(cut, key, b, 4 * rows_per_bucket):
+        (number,) = fresh_names(d, "number")
+        numbered = number_sorted(d, [key], [F.col(o), F.col(p)], number, rows, rows_per_bucket)
+        cut = bucketed(numbered.withColumn(o, F.col(number)).drop(number), rows_per_bucket)
+    d = cut
+    w = Window.partitionBy(key, b).orderBy(o, p)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_rn", F.row_number().over(w)).withColumn(
-        "_last_break", F.max(F.when(~F.col("_p"), F.col("_rn"))).over(upto)
-    )
+    d = d.withColumn(rn, F.row_number().over(w)).withColumn(last, F.max(F.when(~F.col(p), F.col(rn))).over(upto))
     # Per-bucket summary: rows, and the run still open at the bucket's end.
-    narrow = d.select(F.col(key).alias("_k"), "_b", "_p", "_rn")
-    chunks = narrow.groupBy("_k", "_b").agg(
+    narrow = d.select(F.col(key).alias(k), F.col(b).alias(cb), F.col(p).alias("_p"), F.col(rn).alias("_rn"))
+    chunks = narrow.groupBy(k, cb).agg(
         F.count(F.lit(1)).alias("_n"),
         F.max(F.when(~F.col("_p"), F.col("_rn"))).alias("_lb"),
     ).select(
-        "_k", "_b",
+        k, cb,
         F.col("_lb").isNull().alias("_all"),
         F.when(F.col("_lb").isNull(), F.col("_n")).otherwise(F.col("_n") - F.col("_lb")).cast("long").alias("_contrib"),
     )
     if carry is not None:  # as a bucket before all others
         chunks = chunks.unionByName(carry.select(
-            F.col(key).alias("_k"), F.lit(-(1 << 62) - 1).alias("_b"), F.lit(False).alias("_all"), F.col("run").cast("long").alias("_contrib")))
-    seq = Window.partitionBy("_k").orderBy("_b")
+            F.col(key).alias(k), F.lit(-(1 << 62) - 1).alias(cb), F.lit(False).alias("_all"), F.col("run").cast("long").alias("_contrib")))
+    seq = Window.partitionBy(k).orderBy(cb)
     chunks = chunks.withColumn(
         "_seg", F.sum(F.when(F.col("_all"), 0).otherwise(1)).over(seq.rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn(
-        "_end", F.sum("_contrib").over(Window.partitionBy("_k", "_seg").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_carry", F.coalesce(F.lag("_end").over(seq), F.lit(0))).select("_k", F.col("_b").alias("_cb"), "_carry")
-    joined = d.join(chunks, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_cb")))
+        "_end", F.sum("_contrib").over(Window.partitionBy(k, "_seg").orderBy(cb).rowsBetween(Window.unboundedPreceding, 0))
+    ).withColumn(brought, F.coalesce(F.lag("_end").over(seq), F.lit(0))).select(k, cb, brought)
+    joined = d.join(chunks, F.col(key).eqNullSafe(F.col(k)) & (F.col(b) == F.col(cb)))
     run = F.when(
-        F.col("_p"),
-        F.when(F.col("_last_break").isNull(), F.col("_carry") + F.col("_rn")).otherwise(F.col("_rn") - F.col("_last_break")),
+        F.col(p),
+        F.when(F.col(last).isNull(), F.col(brought) + F.col(rn)).otherwise(F.col(rn) - F.col(last)),
     ).otherwise(F.lit(0))
-    return joined.withColumn("run_length", run.cast("long")).drop("_p", "_o", "_b", "_rn", "_last_break", "_carry", "_k", "_cb")
+    return joined.withColumn("run_length", run.cast("long")).drop(p, o, b, rn, last, brought, k, cb)
 
 
 def consecutive_runs(df: DataFrame, key: str, order: str, pred: Column, n: int = 3,

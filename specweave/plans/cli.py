@@ -49,6 +49,7 @@ def build_parser() -> argparse.ArgumentParser:
     h.add_argument("--batch-rows", type=int, default=4096)
     h.add_argument("--max-molecules", type=int, default=0)
     h.add_argument("--expected-ir-length", type=int, default=0)
+    h.add_argument("--line-index", default=None, help="folder that keeps line counts of the text files for later runs")
     h.add_argument("--rejects", default=None, help="quarantine failing lines in this folder instead of failing")
 
     m = sub.add_parser("msms", help="MS/MS conversion (J2)")
@@ -62,6 +63,7 @@ def build_parser() -> argparse.ArgumentParser:
         m.add_argument(f"--expected-{split}-molecules", type=int, default=0)
     m.add_argument("--fingerprint-type", default=None, help="what the reference table's bits are, for the summary")
     m.add_argument("--fingerprint-radius", type=int, default=None)
+    m.add_argument("--line-index", default=None, help="folder that keeps line counts of the text files for later runs")
     m.add_argument("--rejects", default=None, help="quarantine failing lines in this folder instead of failing")
 
     sh = sub.add_parser("stage-hcir", help="convert if needed, verify, stage eval set, write READY (J3)")
@@ -90,14 +92,14 @@ def main(argv: list[str] | None = None) -> int:
     spark = _session(args.checkpoint_dir)
     if args.command == "hcir":
         result = jobs.convert_hcir(spark, args.source_view, args.output_dir, args.max_molecules, args.expected_ir_length,
-                                   on_error="quarantine" if args.rejects else "fail", rejects=args.rejects)
+                                   on_error="quarantine" if args.rejects else "fail", rejects=args.rejects, line_index=args.line_index)
     elif args.command == "msms":
         expected = {s: getattr(args, f"expected_{s}_molecules") for s in ("train", "validation", "test")}
         bits = {"type": args.fingerprint_type, "radius": args.fingerprint_radius}
         result = jobs.convert_msms(spark, args.source_view, args.output_dir, spark.read.parquet(args.molecule_ref),
                                    args.max_molecules, expected, args.manifest,
                                    fingerprint={k: v for k, v in bits.items() if v is not None},
-                                   on_error="quarantine" if args.rejects else "fail", rejects=args.rejects)
+                                   on_error="quarantine" if args.rejects else "fail", rejects=args.rejects, line_index=args.line_index)
     elif args.command == "stage-hcir":
         result = jobs.stage_hcir(spark, args.source_view, args.full_dir, args.eval_dir,
                                  _pairs(args.expected, int), args.eval_rows, args.expected_ir_length)

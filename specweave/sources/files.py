@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fs
+from .parquet import read_path
 
 STAGE_MANIFEST = "_staged.json"
 
@@ -43,7 +44,6 @@ def read_staged(spark: SparkSession, eval_dir: str, schema=None) -> DataFrame:
     members = staged_members(spark, eval_dir)
     out = None
     for split in sorted(members):
-        reader = spark.read.schema(schema) if schema is not None else spark.read
-        part = reader.parquet(members[split]).withColumn("split", F.lit(split))
+        part = read_path(spark, members[split], schema).withColumn("split", F.lit(split))
         out = part if out is None else out.unionByName(part)
     return out

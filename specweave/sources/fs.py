@@ -7,6 +7,9 @@ is configured for (hdfs://, s3a://, abfs://, file://).
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import SparkSession
 
 
@@ -45,6 +48,34 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(str(s.getPath().getName()) for s in fs.listStatus(p))
 
 
+@dataclass(frozen=True)
+class FileStatus:
+    uri: str
+    raw_path: str  # encoded path of the URI, without scheme and authority
+    size: int
+    modified: int  # milliseconds
+
+
+def list_files(spark: SparkSession, path: str) -> list[FileStatus]:
+    """The file, or the data files of the folder, as Spark's readers see them
+    (no hidden ones, no subfolders)."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    out = []
+    for s in fs.listStatus(p):
+        q = s.getPath()
+        if s.isFile() and str(q.getName())[:1] not in "._":
+            out.append(FileStatus(str(q.toString()), str(q.toUri().getRawPath()), int(s.getLen()), int(s.getModificationTime())))
+    return out
+
+
+def part_number(path: str) -> int:
+    """Numeric id of a part file written by Spark, -1 for any other name."""
+    found = re.search(r"/part-(\d{1,18})[^/]*$", path)
+    return int(found.group(1)) if found else -1
+
+
 def mkdirs(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.mkdirs(p)

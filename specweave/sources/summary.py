@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fs
+from .parquet import manifest
 
 SUMMARY_FILE = "summary.json"
 READY_FILE = "READY.json"
@@ -85,11 +86,15 @@ def is_complete(spark: SparkSession, out: str, require_nonempty: bool = True) ->
     its summary exists (and is non-empty).
 
     A non-empty directory without them is an interrupted run: the caller must
-    refuse it rather than append to it.
+    refuse it rather than append to it. A manifest in ``_SUCCESS`` must be of the
+    summary's run.
     """
     path = f"{out.rstrip('/')}/{SUMMARY_FILE}"
     if not fs.exists(spark, path) or not fs.exists(spark, f"{out.rstrip('/')}/{SUCCESS_FILE}"):
         return False
+    named = manifest(spark, out)
+    if named is not None and fs.size(spark, path) and json.loads(fs.read_text(spark, path)).get("run") != named["run"]:
+        return False
     return fs.size(spark, path) > 0 if require_nonempty else True
 
 

@@ -8,7 +8,8 @@ the scan) counts them.  A *chunk table* -- one row per (file, split start):
 line count and first id -- is summed in file order to give each chunk its
 first line number; every line then gets ``offset + (id - first id) + 1``.
 
-The chunk table is written once and always broadcast.  Its rows are a few
+The chunk table is written once, kept in the line index
+(:mod:`specweave.sources.line_index`) and always broadcast.  Its rows are a few
 longs, one per file and scan split, so it is smaller than the file listing
 that the driver holds before such a scan can start, whatever the input.  A
 line whose chunk is not in the table (the scan was split differently in
@@ -26,14 +27,14 @@ hold equally many lines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import SPLITS
-from ..session import materialize
 from . import fs
+from .line_index import LineIndex, text_files
 
 # Bytes of text per partition of the alignment, and of written text files.
 TARGET_PARTITION_BYTES = 128 << 20
@@ -48,7 +49,7 @@ def part_number(path: Column) -> Column:
 
 
 def chunk_offsets(df: DataFrame, row_col: str, group_cols: list[str]) -> DataFrame:
-    """``(group.., _file_key, _block, _part_id, _first, _n, _off)`` of each chunk.
+    """``(group.., _file, _file_key, _block, _part_id, _first, _n, _off)`` of each chunk.
 
     ``df`` has ``_file``, ``_block`` and ``_part_id`` (scan partition); chunks
     are ordered by part number, file name and block.
@@ -58,9 +59,9 @@ def chunk_offsets(df: DataFrame, row_col: str, group_cols: list[str]) -> DataFra
     # One row per file and scan split: an ordered window over it is cheap.
     before = Window.partitionBy(*group_cols).orderBy(part_number(F.col("_file")), "_file", "_block", "_part_id").rowsBetween(
         Window.unboundedPreceding, -1)
-    return materialize(chunks.select(
-        *group_cols, F.xxhash64("_file").alias("_file_key"), "_block", "_part_id", "_first", "_n",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), "chunks")
+    return chunks.select(
+        *group_cols, "_file", F.xxhash64("_file").alias("_file_key"), "_block", "_part_id", "_first", "_n",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
 
 
 def number_chunks(df: DataFrame, offsets: DataFrame, row_col: str, out_col: str = "line_number") -> DataFrame:
@@ -85,20 +86,39 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return str(fsys.makeQualified(p).toUri().getRawPath()).rstrip("/")
 
 
-_URI_PREFIX_RX = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
+URI_PREFIX_RX = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
 
 
-def line_groups(spark: SparkSession, groups: dict[str, str], value_col: str = "value") -> tuple[DataFrame, dict[str, int]]:
-    """``(group, line_number, value)`` of several text inputs, and the number
-    of lines of each.
+#: Lines ``low`` to ``high`` (both included; None: to the end).
+Range = tuple[int, int | None]
+
+
+def line_groups(spark: SparkSession, groups: dict[str, str], value_col: str = "value", ranges: dict[str, Range] | None = None,
+                index: LineIndex | None = None) -> tuple[DataFrame, dict[str, int], int]:
+    """``(group, line_number, value)`` of several text inputs, the number of the
+    last line of each (that is read), and the bytes of the files read.
 
     ``groups`` maps a name to a text file or a directory of part files; each
     group is numbered on its own, across its part files in file order.  The
-    text is read twice: once for the chunk table, once for the lines.
+    text is read twice: once for the chunk table (unless the line index has it),
+    once for the lines.  ``ranges`` limits groups to some of their lines; then
+    only files that hold these are read.
     """
+    index = index or LineIndex.open(spark)
     names = list(groups)
     prefixes = {g: _qualified(spark, groups[g]) for g in names}
-    raw = spark.read.text([groups[g] for g in names]).select(
+    files = {g: text_files(spark, groups[g]) for g in names}
+    before = dict.fromkeys(names, 0)
+    paths = [groups[g] for g in names]
+    if ranges:
+        for g, (low, high) in ranges.items():
+            files[g], before[g] = index.holding(files[g], low, high)
+        paths = [f.path for g in names for f in files[g]]
+    lines = dict(before)
+    if not any(files.values()):
+        empty = spark.createDataFrame([], f"group string, line_number long, {value_col} string")
+        return empty, lines, 0
+    raw = spark.read.text(paths).select(
         F.col("value").alias(value_col),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -106,7 +126,7 @@ def line_groups(spark: SparkSession, groups: dict[str, str], value_col: str = "v
         F.monotonically_increasing_id().alias("_row"),
     )
     group = None
-    file_path = F.regexp_replace(F.col("_file"), _URI_PREFIX_RX, "")
+    file_path = F.regexp_replace(F.col("_file"), URI_PREFIX_RX, "")
     for g in names:
         hit = (file_path == prefixes[g]) | file_path.startswith(prefixes[g] + "/")
         group = F.when(hit, F.lit(g)) if group is None else group.when(hit, F.lit(g))
@@ -114,10 +134,23 @@ def line_groups(spark: SparkSession, groups: dict[str, str], value_col: str = "v
     # that would silently drop lines, so it fails the job instead.
     raw = raw.withColumn("group", F.coalesce(group, F.raise_error(F.concat(
         F.lit("input file outside every group: "), F.col("_file")))))
-    offsets = chunk_offsets(raw, "_row", ["group"])
-    lines = dict.fromkeys(names, 0)
-    lines.update({r["group"]: int(r["n"]) for r in offsets.groupBy("group").agg(F.sum("_n").alias("n")).collect()})
-    return number_chunks(raw, offsets, "_row").select("group", "line_number", value_col), lines
+    kept = index.scan_path(groups, files)
+    if not fs.exists(spark, f"{kept}/_SUCCESS"):
+        chunk_offsets(raw, "_row", ["group"]).write.mode("overwrite").option("compression", "zstd").parquet(kept)
+    offsets = spark.read.parquet(kept)
+    index.learn([f for g in names for f in files[g]], offsets.groupBy("_file").agg(F.sum("_n").alias("lines")))
+    for r in offsets.groupBy("group").agg(F.sum("_n").alias("n")).collect():
+        lines[r["group"]] += int(r["n"])
+    numbered = number_chunks(raw, offsets, "_row").select("group", "line_number", value_col)
+    if ranges:
+        skipped, wanted = F.lit(0), F.lit(True)
+        for g, (low, high) in ranges.items():
+            skipped = F.when(F.col("group") == g, F.lit(before[g])).otherwise(skipped)
+            inside = (F.col("line_number") >= low) if high is None else F.col("line_number").between(low, high)
+            wanted = F.when(F.col("group") == g, inside).otherwise(wanted)
+            lines[g] = lines[g] if high is None else min(lines[g], high)
+        numbered = numbered.withColumn("line_number", (F.col("line_number") + skipped).cast("long")).where(wanted)
+    return numbered, lines, sum(f.size for g in names for f in files[g])
 
 
 def read_line_groups(spark: SparkSession, groups: dict[str, str], value_col: str = "value") -> DataFrame:
@@ -153,10 +186,9 @@ def require_inputs(spark: SparkSession, view: str, kind: str = "hcir") -> dict[s
     return paths
 
 
-def partitions_for(spark: SparkSession, paths: list[str]) -> int:
-    """Partitions of about 128 MB of the given files, at least the default and
+def partitions_for(spark: SparkSession, total: int) -> int:
+    """Partitions of about 128 MB for so many bytes, at least the default and
     at most MAX_PARTITIONS."""
-    total = sum(fs.size(spark, p) for p in paths)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTITIONS, -(-total // TARGET_PARTITION_BYTES)))
 
 
@@ -166,52 +198,89 @@ def align(src: DataFrame, tgt: DataFrame) -> DataFrame:
     return src.join(tgt, ["split", "line_number"], "full_outer")
 
 
-def align_lines(src: DataFrame, tgt: DataFrame, lines: dict[str, int], n_partitions: int) -> DataFrame:
+def align_lines(src: DataFrame, tgt: DataFrame, ranges: dict[str, tuple[int, int]], n_partitions: int) -> DataFrame:
     """D1 in line order with one exchange.
 
-    ``lines`` bounds the line numbers of each split.  Both sides go to the
+    ``ranges`` bounds the line numbers of each split.  Both sides go to the
     partition of their line; there a sorted aggregate pairs the at most two
     rows of a line.  Partitions in order hold the splits in order, and each
     is sorted by line.  Further columns of ``tgt`` come along.
     """
-    per = max(1, -(-sum(lines.values()) // n_partitions))
-    bucket, total = None, 0
-    for split in [s for s in SPLITS if s in lines]:
-        here = F.lit(total) + F.floor((F.col("line_number") - 1) / F.lit(per))
-        bucket = F.when(F.col("split") == split, here) if bucket is None else bucket.when(F.col("split") == split, here)
-        total += max(1, -(-lines[split] // per))
+    size = {s: max(0, high - low + 1) for s, (low, high) in ranges.items()}
+    per = max(1, -(-sum(size.values()) // n_partitions))
+    bucket, total = F.lit(0), 0
+    for split in [s for s in SPLITS if s in ranges]:
+        here = F.lit(total) + F.floor((F.col("line_number") - F.lit(ranges[split][0])) / F.lit(per))
+        bucket = F.when(F.col("split") == split, here).otherwise(bucket)
+        total += max(1, -(-size[split] // per))
     keys = ["split", "line_number"]
     both = src.unionByName(tgt, allowMissingColumns=True).withColumn("_bucket", bucket.cast("int"))
     values = [c for c in both.columns if c not in (*keys, "_bucket")]
-    dealt = both.repartitionById(total, F.col("_bucket"))
+    dealt = both.repartitionById(max(1, total), F.col("_bucket"))
     paired = dealt.groupBy(*keys, "_bucket").agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
     return paired.drop("_bucket")
 
 
-def read_aligned(spark: SparkSession, view: str, splits=None, max_molecules: int = 0,
-                 with_target: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def read_aligned(spark: SparkSession, view: str, *args, **kwargs) -> DataFrame:
+    """A1: the lines of :func:`read_aligned_spans`."""
+    return read_aligned_spans(spark, view, *args, **kwargs)[0]
+
+
+def read_aligned_spans(spark: SparkSession, view: str, splits=None, max_molecules: int = 0,
+                       with_target: Callable[[DataFrame], DataFrame] | None = None, ranges: dict[str, Range] | None = None,
+                       index: LineIndex | None = None, only: Column | None = None) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
     """A1: ``(split, line_number, source, target)`` for all splits of a view,
-    in line order.
+    in line order, and the first and last line of each split that is read.
 
     All source files are read by one scan, all target files by another.  With
-    ``max_molecules`` N, lines beyond N+1 are dropped before the shuffle:
-    alignment is checked up to line N+1 and lines up to N are parsed.
-    ``with_target`` may add columns to the target lines before the shuffle.
+    ``max_molecules`` N, lines up to N+1 are read: alignment is checked up to
+    line N+1 and lines up to N are parsed.  ``ranges`` names the lines of each
+    split to read instead (splits it leaves out are not read).  Either way, files
+    without such lines are skipped.  ``only`` is a predicate on split and line
+    number, ``with_target`` may add columns to the target lines; both come before
+    the shuffle.
     """
-    splits = list(splits or SPLITS)
+    if ranges is None and max_molecules:
+        ranges = {s: (1, max_molecules + 1) for s in splits or SPLITS}
+    splits = list(splits or (SPLITS if ranges is None else ranges))
     paths = {split: split_paths(view, split) for split in splits}
-    src, src_lines = line_groups(spark, {s: p[0] for s, p in paths.items()}, "source")
-    tgt, tgt_lines = line_groups(spark, {s: p[1] for s, p in paths.items()}, "target")
+    src, src_last, src_bytes = line_groups(spark, {s: p[0] for s, p in paths.items()}, "source", ranges, index)
+    tgt, tgt_last, tgt_bytes = line_groups(spark, {s: p[1] for s, p in paths.items()}, "target", ranges, index)
     src = src.withColumnRenamed("group", "split")
     tgt = tgt.withColumnRenamed("group", "split")
-    lines = {s: max(src_lines[s], tgt_lines[s]) for s in splits}
-    if max_molecules:
-        src = src.where(F.col("line_number") <= max_molecules + 1)
-        tgt = tgt.where(F.col("line_number") <= max_molecules + 1)
-        lines = {s: min(n, max_molecules + 1) for s, n in lines.items()}
+    spans = {s: (ranges[s][0] if ranges else 1, max(src_last[s], tgt_last[s])) for s in splits}
+    if only is not None:
+        src, tgt = src.where(only), tgt.where(only)
     if with_target is not None:
         tgt = with_target(tgt)
-    return align_lines(src, tgt, lines, partitions_for(spark, [p for pair in paths.values() for p in pair]))
+    return align_lines(src, tgt, spans, partitions_for(spark, src_bytes + tgt_bytes)), spans
+
+
+def line_waves(spark: SparkSession, view: str, index: LineIndex, first_bytes: int, growth: int = 4) -> Iterator[dict[str, Range] | None]:
+    """Consecutive ranges of lines of a view, in order of splits and lines: the
+    first ones of about ``first_bytes`` of source text (at least a 64th), each
+    further one ``growth`` times as much, cut at source files. Files are counted
+    when their wave comes. One wave without ranges (None) for a smaller view."""
+    files = {s: text_files(spark, split_paths(view, s)[0]) for s in SPLITS}
+    total = sum(f.size for fs_ in files.values() for f in fs_)
+    if total <= first_bytes:
+        yield None
+        return
+    size, held, wave = max(first_bytes, total // 64), 0, {}
+    for split in SPLITS:
+        low, pending = 1, []
+        for f in files[split][:-1]:
+            pending.append(f)
+            held += f.size
+            if held >= size:
+                n = sum(index.count(pending))
+                if n:
+                    yield wave | {split: (low, low + n - 1)}
+                    low, size, held, wave = low + n, size * growth, 0, {}
+                pending = []
+        wave[split] = (low, None)
+        held += files[split][-1].size if files[split] else 0
+    yield wave
 
 
 def write_text_view(df: DataFrame, view: str, parts: int | None = None) -> None:

@@ -143,3 +143,59 @@ def test_shared_folder_is_demanded_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_root(Session())
+
+
+def uneven_rows(n):
+    """A hot key with most of its rows close together, one far outlier, ties and NULL
+    orders; all columns of many rows are equal."""
+    rows = [(1, i, i % 7 != 0) for i in range(n)] + [(1, 10**15, True)]
+    rows += [(1, n + 5, i % 2 == 0) for i in range(n // 2)]
+    rows += [(2, None, True)] * (n // 2) + [(2, i, True) for i in range(50)] + [(None, 3, True)] * 20
+    return rows
+
+
+def test_uneven_orders_keep_buckets_small(spark):
+    from specweave.operators import numbering
+    from specweave.operators.runs import run_lengths
+
+    n, bound = 20_000, 2000
+    rows = uneven_rows(n)
+    df = spark.createDataFrame(rows, "k long, o long, p boolean").repartition(4)
+    parts, part, _ = numbering.sorted_parts(df, ["k"], [F.col("o")], -(-len(rows) // bound))
+    assert parts.groupBy(part).count().agg(F.max("count")).first()[0] <= 3 * bound
+    # numbers: dense per group, in order, NULL orders first
+    got = numbering.number_rows(df, ["k"], "o", max_rows=bound).collect()
+    assert "sorted" not in got[0].asDict() and len(got) == len(rows)
+    for k in (1, 2, None):
+        mine = sorted((r.line_number, -1 if r.o is None else r.o) for r in got if r.k == k)
+        assert [i for i, _ in mine] == list(range(1, len(mine) + 1))
+        assert [o for _, o in mine] == sorted(o for _, o in mine)
+    # run lengths: as with one bucket per key
+    def lengths(**kw):
+        found = run_lengths(df, "k", "o", F.col("p"), **kw)
+        return sorted((str(r.k), str(r.o), r.p, r.run_length) for r in found.collect())
+
+    assert lengths(rows_per_bucket=bound // 4) == lengths(bucket_width=1 << 60)
+
+
+def test_even_orders_need_no_sort(spark):
+    from specweave.operators.runs import run_lengths
+
+    df = spark.range(20_000).selectExpr("id % 3 AS k", "id AS o", "id % 5 > 0 AS p")
+    plan = run_lengths(df, "k", "o", F.col("p"), rows_per_bucket=1000)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "numbering-parts" not in plan
+
+
+def test_columns_with_the_operators_own_names(spark):
+    from specweave.operators.numbering import number_rows
+    from specweave.operators.runs import run_lengths
+
+    names = ["_nb", "_off", "_p", "_o", "_b", "_bucket", "_count", "_k", "_rn", "_part", "_place", "_salt", "_k0"]
+    df = spark.range(3000).selectExpr("id % 2 AS k", "CASE WHEN id = 7 THEN 1000000000000 ELSE id END AS o", "id % 3 > 0 AS p", *[f"id AS `{n}`" for n in names])
+    for kw in ({}, {"max_rows": 500}):
+        got = number_rows(df, ["k"], "o", **kw)
+        assert got.columns == [*df.columns, "line_number"]
+        assert got.where(" OR ".join(f"`{n}` <> _nb" for n in names)).count() == 0 and got.where("_nb <> 7 AND _nb <> o").count() == 0
+    for kw in ({}, {"rows_per_bucket": 100}):
+        got = run_lengths(df, "k", "o", F.col("p"), **kw)
+        assert got.columns == [*df.columns, "run_length"] and got.where(" OR ".join(f"`{n}` <> _nb" for n in names)).count() == 0
