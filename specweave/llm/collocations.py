@@ -10,16 +10,17 @@ phrases of 2 to LONGEST words that occur LEAST times or more inside pieces.
 2. Fingerprints: the words of a chunk get 64-bit hashes; prefix sums of hash *
    BASE^place, modulo 2^64, give the fingerprint of every n-gram by a difference
    and a multiplication with a power of BASE's inverse (numpy, no loop over words).
-3. Levels 2 to LONGEST: an n-gram whose two (n-1)-grams may both be frequent goes,
-   once per chunk with its count and a pointer to an occurrence (chunk and place),
+3. Levels 1 to LONGEST: an n-gram whose two (n-1)-grams may both be frequent goes,
+   once per chunk with its count and the chunk as a pointer to its occurrences,
    through a shuffle that adds the counts. Frequent fingerprints of a level enter
    a bit filter of at most FILTER_BITS bits for the next: one that holds more than
-   it was made for lets more n-grams through, and never loses one.
-4. Verification against the text: n-grams that pass their level's filter are read
-   at their pointers; occurrences in a chunk that share a fingerprint but not the
-   words are told apart, each phrase is spelled out once per chunk, and a second
-   shuffle adds the counts by language and *words*. So collisions of fingerprints
-   and of filters cost work and change no result; no other phrases are spelled out.
+   it was made for lets more n-grams through, and never loses one. Languages have
+   hashes of their own, so a row is three numbers.
+4. Verification against the text: each chunk looks up the n-grams that pass their
+   level's filter at their places in the text; those that share a fingerprint but not the words are told apart,
+   each phrase is spelled out once per chunk, and a second shuffle adds the counts
+   by language and *words*. So collisions of fingerprints and of filters cost work
+   and change no result; no other phrases are spelled out.
 5. Cuts join the parts' counts; scores are exact (38-digit integers). A candidate
    that is as frequent as a longer one around it goes: such a longer one also
    implies an equally frequent one of a single word more, so two parts of each
@@ -234,13 +235,13 @@ class _Chunk:
         inside[at] = filters[size].test(fp[at])
         return fp, inside
 
-    def candidates(self, size: int, filters: dict[int, BitFilter]) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and fingerprints of ``size``-grams whose parts pass."""
-        _, parts = self.may_be_frequent(size - 1, filters)
-        starts = np.flatnonzero(parts[:-1] & parts[1:])
-        starts = starts[starts < self.own]
-        fp, _ = self.grams.of(size)
-        return starts, fp[starts]
+    def candidates(self, size: int, filters: dict[int, BitFilter]) -> np.ndarray:
+        """Fingerprints of the ``size``-grams whose parts pass."""
+        fp, inside = self.grams.of(size)
+        if size > 1:
+            _, parts = self.may_be_frequent(size - 1, filters)
+            inside = parts[:-1] & parts[1:]
+        return fp[:self.own][inside[:self.own]]
 
     def spelled(self, size: int, filters: dict[int, BitFilter]) -> Iterator[tuple[bytes, int]]:
         """(phrase, count) of the ``size``-grams that pass, told apart by their words."""
@@ -270,44 +271,14 @@ def _each_chunk(batches: Iterator, bits: int) -> Iterator:
             yield lang, chunk.as_py(), _Chunk(lang, own.as_py(), words.as_py(), codes.as_py(), bits)
 
 
-def _count_words(batches: Iterator) -> Iterator:
-    """(lang, phrase, f) per chunk for single words."""
-    import pyarrow as pa
-
-    for b in batches:
-        for lang, own, words, codes in zip(*[b.column(n) for n in ("lang", "own", "words", "codes")], strict=True):
-            names, lang = words.as_py().split(b" "), lang.as_py()
-            low = len(SEPARATORS)
-            counts = np.bincount(np.frombuffer(codes.as_py(), np.int32)[:own.as_py()], minlength=low + len(names))[low:]
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(some), pa.string()), pa.array([names[i] for i in some.tolist()], pa.binary()).cast(pa.string()),
-                pa.array(counts[some], pa.int64())], names=["lang", "phrase", "f"])
-
-
-def _word_keys(bits: int):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            fps = [int(Fingerprints(_word_hashes(lang, [w.encode("utf-8", "surrogatepass")])[-1:], bits).of(1)[0][0])
-                   for lang, w in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64))], names=["fp"])
-
-    return run
-
-
 def _level_batches(size: int, filters, bits: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for lang, chunk, c in _each_chunk(batches, bits):
-            starts, fps = c.candidates(size, filters.value)
-            keys, first, counts = np.unique(fps, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64()),
-                pa.array(np.full(len(keys), chunk, np.int64)), pa.array(starts[first], pa.int64()),
-            ], names=["lang", "fp", "f", "chunk", "place"])
+        for _, chunk, c in _each_chunk(batches, bits):
+            keys, counts = np.unique(c.candidates(size, filters.value), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64()), pa.array(np.full(len(keys), chunk, np.int64))],
+                                             names=["fp", "f", "chunk"])
 
     return run
 
@@ -336,24 +307,18 @@ def frequent_phrases(chunks: DataFrame, least: int = LEAST, longest: int = LONGE
     spark: SparkSession = chunks.sparkSession
     if not 2 <= longest <= LONGEST:
         raise ValueError(f"longest must be 2 to {LONGEST}")
-    counted = chunks.mapInArrow(_count_words, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    words = materialize(counted.where(F.col("f") >= least).select("lang", "phrase", F.lit(1).alias("size"), "f"), "phrases-words")
-    filters = {1: bit_filter(words.mapInArrow(_word_keys(bits), "fp long"), words.count())}
-    for size in range(2, longest + 1):
-        rows = chunks.mapInArrow(_level_batches(size, spark.sparkContext.broadcast(dict(filters)), bits),
-                                 "lang string, fp long, f long, chunk long, place long")
-        pointer = F.min(F.struct("chunk", "place")).alias("first")
-        level = materialize(rows.groupBy("lang", "fp").agg(F.sum("f").alias("f"), pointer).where(F.col("f") >= least), f"phrases-{size}")
+    filters: dict[int, BitFilter] = {}
+    for size in range(1, longest + 1):
+        rows = chunks.mapInArrow(_level_batches(size, spark.sparkContext.broadcast(dict(filters)), bits), "fp long, f long, chunk long")
+        level = rows.groupBy("fp").agg(F.sum("f").alias("f"), F.min("chunk").alias("chunk")).where(F.col("f") >= least)
+        level = materialize(level, f"phrases-{size}")
         n = level.count()
         if not n:
             break
         filters[size] = bit_filter(level, n)
-    sizes = [s for s in filters if s > 1]
-    if not sizes:
-        return words
-    spelled = chunks.mapInArrow(_spell_batches(sizes, spark.sparkContext.broadcast(filters), bits), "lang string, phrase string, size int, f long")
+    spelled = chunks.mapInArrow(_spell_batches(list(filters), spark.sparkContext.broadcast(filters), bits), "lang string, phrase string, size int, f long")
     exact = spelled.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return words.unionByName(materialize(exact, "phrases-exact"))
+    return materialize(exact, "phrases-exact")
 
 
 def _part(first, length):
