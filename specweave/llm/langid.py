@@ -274,11 +274,11 @@ CHUNK_CHARS = 2_000_000
 _LABELLERS: dict[str, Labeller] = {}  # of this worker: the scores of words outlast a task
 
 
-def chunks(texts: list[str | None]) -> Iterator[slice]:
-    """Slices of about CHUNK_CHARS characters, one text at least."""
+def chunks(texts: list[str | None], most: int = 0) -> Iterator[slice]:
+    """Slices of about ``most`` (else CHUNK_CHARS) characters, one text at least."""
     first = size = 0
     for i, t in enumerate(texts):
-        if i > first and size + len(t or "") > CHUNK_CHARS:
+        if i > first and size + len(t or "") > (most or CHUNK_CHARS):
             yield slice(first, i)
             first, size = i, 0
         size += len(t or "")

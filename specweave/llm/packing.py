@@ -1,9 +1,12 @@
 """Packing of tokenised documents into sequences.
 
 Tokenising reads each text once. White space separates tokens for the given
-tokenizer, so a text is cut at spaces and line ends, every distinct piece (in
-lower case, as this tokenizer does not tell case) is tokenised once and its ids are kept (a bounded cache per worker); a text's ids
-are the ids of its pieces in order. Each document's ids, with an end id, are cut
+tokenizer, so a text is cut at spaces and line ends (Arrow splits and numbers the
+pieces of many texts at once), every distinct piece (in lower case, as this
+tokenizer does not tell case) is tokenised once and its ids are kept (a bounded
+cache per worker); a text's ids are the ids of its pieces in order, gathered by
+number. Runs of letters go to the tokenizer's BPE model without its pattern steps,
+which leave them as they are. Each document's ids, with an end id, are cut
 into pieces of at most SEQUENCE ids: whole pieces fill a sequence alone, the
 rest is packed.
 
@@ -21,6 +24,7 @@ rows and null ids are packed like any other rows. Every id lies in one piece.
 from __future__ import annotations
 
 import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,6 +40,7 @@ SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
 CACHE_PIECES = 500_000  # of each of two generations
+RUN_CHARS = 16_000_000  # texts tokenised at once, one at least
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -44,11 +49,15 @@ class CachedTokenizer:
     """Ids as little-endian unsigned 32-bit bytes, by white-space piece."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("needs little-endian 32-bit integers")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # letter runs in lower case and normal form: only the model is left to do
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters.model._resize_cache(0)  # each word comes once
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -57,9 +66,9 @@ class CachedTokenizer:
 
     def _words(self, words: list[str]) -> None:
         """Runs of letters, which are one word each to the tokenizer: many go
-        through it as one text, whose ids are cut behind each word's end."""
+        through its model as one text, whose ids are cut behind each word's end."""
         lines = [words[i:i + 256] for i in range(0, len(words), 256)]
-        for line, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        for line, found in zip(lines, self.letters.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
             if len(ends) == len(line):
@@ -72,25 +81,50 @@ class CachedTokenizer:
         for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
             self.known[piece] = array("I", found.ids).tobytes()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        pieces = [_lower(t).replace("\n", " ").split(" ") for t in texts]
+    def _learn(self, pieces: list[str]) -> None:
+        """Bring the ids of distinct pieces into the cache."""
         if len(self.known) > CACHE_PIECES:
             self.known, self.older = {"": b""}, self.known
-        new = set().union(*pieces) - self.known.keys()
-        again = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        new -= again
+        known, older = self.known, self.older
+        new = [p for p in pieces if p not in known]
+        known.update([(p, older[p]) for p in new if p in older])
+        if older:
+            new = [p for p in new if p not in older]
         # a letter run and one mark behind it are tokens by themselves
-        marked = [p for p in new if p[-1] in ".," and p[-2:-1].lower()[-1:].isalpha()]
-        new.difference_update(marked)
-        new.update({p[:-1] for p in marked} - self.known.keys(), {".", ","} - self.known.keys())
-        words = [p for p in new if p.isalpha() and p.lower().isalpha()]
+        marked = [p for p in new if p[-1] in ".," and p[-2:-1].isalpha() and p[-2:-1].lower()[-1:].isalpha()]
+        words, rest, kept = [], [], set(marked)
+        for p in [*(p for p in new if p not in kept), *{p[:-1] for p in marked}.difference(known, new), *{".", ","}.difference(known, new)]:
+            (words if _plain_word(p) else rest).append(p)
         self._words(words)
-        self._pieces(list(new.difference(words)))
-        get = self.known.__getitem__
+        self._pieces(rest)
         for p in marked:
-            self.known[p] = get(p[:-1]) + get(p[-1])
-        return [b"".join(map(get, p)) for p in pieces]
+            known[p] = known[p[:-1]] + known[p[-1]]
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each closed by END_ID; border of each text's ids)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cut = pc.split_pattern(pa.array([_lower(t).replace("\n", " ") for t in texts], pa.string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(pieces)
+        found = [self.known[p] for p in pieces]
+        found.append(np.array([END_ID], "<u4").tobytes())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        firsts = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(found), "<u4")
+        ends = cut.offsets.to_numpy()[1:]
+        codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(pieces))
+        n = sizes[codes]
+        upto = np.cumsum(n)
+        ids = pool[np.arange(upto[-1] if len(upto) else 0) + np.repeat(firsts[codes] - (upto - n), n)]
+        return ids, np.concatenate([[0], upto[ends + np.arange(len(texts))]]).astype(np.int64)
+
+
+def _plain_word(piece: str) -> bool:
+    """Letters only, already in lower case and normal form: one word, as it is."""
+    return piece.isalpha() and (piece.isascii() and piece.islower() or piece == piece.lower() and unicodedata.is_normalized("NFC", piece))
 
 
 def _lower(text: str) -> str:
@@ -114,16 +148,15 @@ def _piece_batches(path: str, sequence: int):
 
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = CachedTokenizer(path)
-        end = np.array([END_ID], "<u4").tobytes()
-        width = 4 * sequence
         for b in batches:
             docs, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for cut in chunks(texts):
-                out: list[tuple] = []
-                for doc, ids in zip(docs[cut], _TOKENIZERS[path].ids([t or "" for t in texts[cut]]), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    out += [(doc, at // 4, min(width, len(ids) - at) // 4, zlib.crc32(ids[at:at + width]), total) for at in range(0, len(ids), width)]
+            for cut in chunks(texts, RUN_CHARS):
+                ids, borders = _TOKENIZERS[path].flat([t or "" for t in texts[cut]])
+                raw, out = memoryview(ids.tobytes()), []
+                for doc, low, high in zip(docs[cut], borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+                    for at in range(low, high, sequence):
+                        to = min(at + sequence, high)
+                        out.append((doc, at - low, to - at, zlib.crc32(raw[4 * at:4 * to]), high - low))
                 columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
