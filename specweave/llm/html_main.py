@@ -6,6 +6,13 @@ scripts, styles and reader comments are no part of the sequence, and words besid
 a marked content element score negative. One linear scan finds the contiguous
 region with the highest sum; its text is the result.
 
+Cue words of class, id and role attributes count only where the whole name is made
+of cues and words of layout (``cookie-notice``, not ``notice-period``), and never on
+a heading. A strong cue or a role drops its element; a weak one (``search``,
+``related``), inside a marked article, only where at least half of the element's
+words are links or it holds more controls than words, so a section named after its
+subject stays.
+
 Weights are log-odds learned from labelled pages, those whose markup marks the
 content itself (exactly one ``article`` or ``main``): how much more often a word
 in a context, or a tag, lies inside than outside of it. Each labelled page also
@@ -44,14 +51,26 @@ BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td "
     "tfoot th thead tr ul".split()
 )
-# Words of class, id and role attributes that mark other content.
-CUES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies notice "
-    "consent gdpr popup modal overlay sidebar nav navbar navigation breadcrumb breadcrumbs menu footer header "
-    "masthead comment comments reply replies disqus respond share sharing social related recommended newsletter "
-    "subscribe subscription signup login search searchbox toolbar widget pagination pager complementary contentinfo "
-    "alert alertdialog".split()
+# Words of class, id and role attributes that mark other content,
+# first those that hardly name a section of an article, then those that may.
+STRONG_CUES = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo cookie cookies gdpr popup modal sidebar nav navbar "
+    "breadcrumb breadcrumbs comment comments replies disqus newsletter subscribe toolbar widget pagination pager "
+    "searchbox alertdialog".split()
+)
+WEAK_CUES = frozenset(
+    "advertising promotion banner notice consent overlay navigation menu footer header masthead reply respond share "
+    "sharing social related recommended subscription signup login search complementary contentinfo alert".split()
 )
+CUES = STRONG_CUES | WEAK_CUES
+# Words that say nothing of the content when they stand beside a cue.
+LAYOUT = frozenset(
+    "area article articles aside bar block bottom box btn button card col column container content entry form global "
+    "group holder icons inner item items left link links list main outer page panel post posts right row section site "
+    "slot stories sticky thread top unit wrap wrapper".split()
+)
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+CONTROLS = ("form", "input", "button", "select", "textarea")
 MAIN = ("article", "main")
 
 SMOOTHING = 1.0
@@ -63,10 +82,10 @@ _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?|[^<]+|<",
     re.DOTALL,
 )
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_MARK = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)", re.IGNORECASE)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
-_CUE_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CUE_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Page:
@@ -74,16 +93,18 @@ class Page:
 
     def __init__(self, source: str):
         self.tokens: list[tuple[str | None, str | None, int]] = []
-        self.name, self.parent, self.own, self.cued = [""], [0], [False], [False]
+        self.name, self.parent, self.own, self.cued = [""], [0], [False], [0]
         self._read(source)
         n = len(self.name)
-        words, headed, holds = [0] * n, [False] * n, [False] * n
+        words, linked, controls, headed, holds = [0] * n, [0] * n, [0] * n, [False] * n, [False] * n
         for _, text, element in self.tokens:
             if text is not None:
                 words[element] += len(text.split())
         for e in range(n - 1, 0, -1):
             up = self.parent[e]
             words[up] += words[e]
+            linked[up] += words[e] if self.name[e] == "a" else linked[e]
+            controls[up] += controls[e] + (self.name[e] in CONTROLS)
             headed[up] |= headed[e] or self.name[e] == "h1"
             holds[up] |= holds[e] or self.name[e] in MAIN
         self.marks = [e for e in range(1, n) if self.name[e] in MAIN]
@@ -94,7 +115,8 @@ class Page:
             main = self.inside[up] or name in MAIN
             dropped = self.own[e] or (name == "header" and not self.inside[up] and not holds[e])
             if self.cued[e] and not holds[e] and not (headed[e] and 2 * words[e] > visible):
-                dropped = True
+                other = 2 * linked[e] >= words[e] or controls[e] > words[e]
+                dropped = dropped or other or self.cued[e] > 1 or not self.inside[up]
             self.out[e] = self.out[up] or dropped
             self.inside[e] = main and not self.out[e] if name in MAIN else self.inside[up]
         self.marked = any(self.inside)
@@ -127,7 +149,7 @@ class Page:
             self.name.append(name)
             self.parent.append(stack[-1])
             self.own.append(name in DROPPED or bool(attributes and _HIDDEN.search(attributes)))
-            self.cued.append(bool(attributes) and name not in ("html", "body") and _cued(attributes))
+            self.cued.append(_cued(attributes) if attributes and name not in ("html", "body", *HEADINGS) else 0)
             self.tokens.append((name, None, e))
             if name in VOID or attributes.endswith("/"):
                 continue
@@ -146,12 +168,15 @@ class Page:
         return "main" if self.inside[element] else "beside"
 
 
-def _cued(attributes: str) -> bool:
+def _cued(attributes: str) -> int:
+    """0: no cue, 1: a weak one, 2: a strong one or a role."""
+    found = 0
     for m in _MARK.finditer(attributes):
-        for word in _CUE_WORD.findall(m[1] or m[2] or m[3] or ""):
-            if word.lower() in CUES:
-                return True
-    return False
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = [w.lower() for w in _CUE_WORD.findall(name)]
+            if any(w in CUES for w in parts) and all(w in CUES or w in LAYOUT or w.isdigit() for w in parts):
+                found = max(found, 2 if m[1].lower() == "role" or any(w in STRONG_CUES for w in parts) else 1)
+    return found
 
 
 KNOWN_TAGS = BLOCKS | DROPPED | VOID | frozenset("a abbr b bdi bdo cite code data del dfn em i ins kbd label legend mark q s samp small span strong sub sup time u var".split())

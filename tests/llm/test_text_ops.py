@@ -5,6 +5,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -230,6 +231,35 @@ def test_html_cases(source, text):
     assert html_main.main_text(source, WEIGHTS) == text
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    ("<article><h1>T</h1><h2 id='search'>Search</h2><p>alpha beta</p><section id='related-work'><h2>Related work</h2><p>gamma</p></section><p class='notice-period'>one month</p></article>",
+     "T\nSearch\nalpha beta\nRelated work\ngamma\none month"),
+    ("<article><h1>T</h1><section id='login'><h2>Login</h2><p>how people log in</p></section><div class='social-history'>long ago</div><div data-id='ad'>kept</div></article>",
+     "T\nLogin\nhow people log in\nlong ago\nkept"),
+    ("<body><h1 class='entry-header'>Head line</h1><p>w w w w</p></body>", "Head line\nw w w w"),
+    ("<article><p>body text here</p><div class='related-posts'><a href=a>one two</a> <a href=b>three</a></div><div class='ad-slot'>buy</div><div id='comments'><h2>Comments</h2><p>nice article this is</p></div>"
+     "<div id='search'><form><input></form></div><div role='search'>find it</div><p>last</p></article>", "body text here\nlast"),
+    ("<article><p>body</p><div class='commentThread2'><p>me too</p></div><ul class='share-links'><li><a>tell</a></li></ul></article>", "body"),
+])
+def test_cues_drop_other_content_but_no_article_text(source, text):
+    assert html_main.main_text(source, WEIGHTS) == text
+
+
+def test_pages_with_hidden_marks(spark):
+    """Without the article's own mark the learned weights must find it."""
+    pages = table(spark, SF, "pages")
+    weight = html_main.learn(pages)
+    want = {r["page_id"]: r["text"] for r in html_main.extract(pages, weight).collect()}
+    hidden = pages.selectExpr("page_id", "url", "regexp_replace(html, '</?article>', '') AS html")
+    got = {r["page_id"]: r["text"] for r in html_main.extract(hidden, weight).collect()}
+    shares = []
+    for i, text in want.items():
+        a, b = Counter(text.split()), Counter(got[i].split())
+        both = sum((a & b).values())
+        shares.append(2 * both / max(1, sum(a.values()) + sum(b.values())))
+    assert min(shares) > 0.6 and sum(shares) / len(shares) > 0.95, (min(shares), sum(shares) / len(shares))
+
+
 def test_html_odd_rows(spark):
     deep = "<div>" * 5000 + "text" + "</div>" * 5000
     df = spark.createDataFrame([(1, "u", None, 1), (None, None, "", 2), (2, "u", deep, 3), (2, "u", deep, 3), (3, "u", "<p>" + "w " * 200_000, 4)], "page_id long, url string, html string, text int")
