@@ -35,7 +35,7 @@ def idle_predicate(memory: Column, util: Column, max_memory_mib: float = 1000, m
     return (memory <= F.lit(max_memory_mib)) & (util <= F.lit(max_util_percent))
 
 
-def _order_number(df: DataFrame, order: str) -> Column:
+def order_number(df: DataFrame, order: str) -> Column:
     """The order as a long: microseconds of a timestamp, days of a date."""
     kind = df.schema[order].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -48,7 +48,7 @@ def _order_number(df: DataFrame, order: str) -> Column:
 def bucket_width_for(df: DataFrame, order: str, rows_per_bucket: int = DEFAULT_BUCKET_WIDTH) -> tuple[int, int]:
     """(order units per bucket, rows) for about ``rows_per_bucket`` rows of all keys
     together, so sparse orders (microseconds) don't make a bucket per row."""
-    r = df.select(_order_number(df, order).alias("o")).agg(
+    r = df.select(order_number(df, order).alias("o")).agg(
         F.min("o").alias("lo"), F.max("o").alias("hi"), F.count("o").alias("n"), F.count(F.lit(1)).alias("all")).first()
     if not r["n"]:
         return rows_per_bucket, int(r["all"])
@@ -65,15 +65,17 @@ def _overfull(d: DataFrame, key: str, bucket: str, bound: int) -> bool:
 
 
 def run_lengths(df: DataFrame, key: str, order: str, pred: Column, bucket_width: int | None = None, carry: DataFrame | None = None,
-                rows_per_bucket: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                rows_per_bucket: int = DEFAULT_BUCKET_WIDTH, reaches_back: str | None = None) -> DataFrame:
     """Add ``run_length``: the counter value after each row.
 
     ``bucket_width`` counts order units; by default it follows the data, for
     about ``rows_per_bucket`` rows, and no bucket of a key holds over four times
     as many.  ``carry`` (``key, run``) holds the runs open before the first row.
+    ``reaches_back`` names a further column: the row's run begins with its key's
+    first row.
     """
-    p, o, b, rn, last, k, cb, brought = fresh_names(df, "p", "o", "b", "rn", "last_break", "k", "cb", "carry")
-    d = df.withColumns({p: F.coalesce(pred, F.lit(False)), o: _order_number(df, order)})
+    p, o, b, rn, last, k, cb, brought, whole = fresh_names(df, "p", "o", "b", "rn", "last_break", "k", "cb", "carry", "whole")
+    d = df.withColumns({p: F.coalesce(pred, F.lit(False)), o: order_number(df, order)})
     width, rows = (bucket_width, 0) if bucket_width else bucket_width_for(df, order, rows_per_bucket)
 
     def bucketed(d: DataFrame, width: int) -> DataFrame:
@@ -106,13 +108,17 @@ def run_lengths(df: DataFrame, key: str, order: str, pred: Column, bucket_width:
         "_seg", F.sum(F.when(F.col("_all"), 0).otherwise(1)).over(seq.rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn(
         "_end", F.sum("_contrib").over(Window.partitionBy(k, "_seg").orderBy(cb).rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn(brought, F.coalesce(F.lag("_end").over(seq), F.lit(0))).select(k, cb, brought)
+    ).withColumn(brought, F.coalesce(F.lag("_end").over(seq), F.lit(0))).select(
+        k, cb, brought, F.coalesce(F.lag("_seg").over(seq) == 0, F.lit(True)).alias(whole))
     joined = d.join(chunks, F.col(key).eqNullSafe(F.col(k)) & (F.col(b) == F.col(cb)))
     run = F.when(
         F.col(p),
         F.when(F.col(last).isNull(), F.col(brought) + F.col(rn)).otherwise(F.col(rn) - F.col(last)),
     ).otherwise(F.lit(0))
-    return joined.withColumn("run_length", run.cast("long")).drop(p, o, b, rn, last, brought, k, cb)
+    joined = joined.withColumn("run_length", run.cast("long"))
+    if reaches_back:
+        joined = joined.withColumn(reaches_back, F.col(p) & F.col(last).isNull() & F.col(whole))
+    return joined.drop(p, o, b, rn, last, brought, k, cb, whole)
 
 
 def consecutive_runs(df: DataFrame, key: str, order: str, pred: Column, n: int = 3,

@@ -123,6 +123,61 @@ def test_late_file_fails_the_stream(spark, tmpdir_path):
         consecutive_runs_stream(spark, stream_folder(spark, tmpdir_path, batches, "k string, o long, p boolean"), "k", "o", "p", 2, max_files_per_trigger=1)
 
 
+def test_stream_equals_batch_on_random_runs(spark, tmpdir_path):
+    import random
+
+    rng = random.Random(4)
+    rows, batches = [], []
+    for b in range(5):
+        batch = [(k, 100 * b + i, rng.random() < 0.8) for k in range(6) for i in rng.sample(range(100), rng.randint(0, 6))]
+        batch += [(9, 100 * b + i, True) for i in range(3)]  # one run over all batches
+        rows, batches = rows + batch, [*batches, batch]
+    flat = stream_folder(spark, tmpdir_path, batches, "k long, o long, p boolean")
+    for n, files in ((3, 2), (14, 1)):
+        got = consecutive_runs_stream(spark, flat, "k", "o", "p", n, max_files_per_trigger=files).collect()
+        assert sorted((r.k, r.o) for r in got) == brute(rows, n) and all(r.run_length == n for r in got)
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmpdir_path):
+    import pytest
+
+    from specweave.streaming.runs import LateSampleError
+
+    schema = "k string, o long, p boolean"
+    batches = [[("a", 10 * b + i, True) for i in range(2)] + [(f"only{b}", 10 * b, True)] for b in range(3)]
+    folder, checkpoint = stream_folder(spark, tmpdir_path, batches[:1], schema), os.path.join(tmpdir_path, "state")
+
+    def go(**kw):
+        return sorted(map(tuple, consecutive_runs_stream(spark, folder, "k", "o", "p", 5, checkpoint=checkpoint, **kw).collect()))
+
+    assert go() == []
+    for b in (1, 2):
+        spark.createDataFrame(batches[b], schema).coalesce(1).write.mode("append").parquet(folder)
+        assert go() == ([("a", 20, 5)] if b == 2 else [])
+    assert go() == [("a", 20, 5)]  # nothing new
+    with pytest.raises(ValueError, match="other settings"):
+        consecutive_runs_stream(spark, folder, "k", "o", "p", 4, checkpoint=checkpoint)
+    # the second query saw one row per key and batch, in the keyed store
+    assert spark.read.parquet(f"{checkpoint}/segments/*").count() == 6 and os.path.isdir(f"{checkpoint}/state/state")
+    spark.createDataFrame([("only0", 0, True)], schema).coalesce(1).write.mode("append").parquet(folder)
+    with pytest.raises(LateSampleError, match="key 'only0': sample at 0 after one at 0"):
+        go()
+
+
+def test_idle_keys_are_retired(spark, tmpdir_path):
+    import datetime as dt
+
+    def at(minute):
+        return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+
+    batches = [[("a", at(0), True), ("a", at(1), True), ("b", at(0), True)], [("a", at(2), True), ("b", at(300), True)], [("a", at(301), True), ("b", at(301), True), ("b", at(302), True)]]
+    folder = stream_folder(spark, tmpdir_path, batches, "k string, t timestamp, p boolean")
+    kept = consecutive_runs_stream(spark, folder, "k", "t", "p", 4, max_files_per_trigger=1).collect()
+    assert sorted((r.k, r.t) for r in kept) == [("a", at(301)), ("b", at(302))]
+    retired = consecutive_runs_stream(spark, folder, "k", "t", "p", 3, max_files_per_trigger=1, retire_after_seconds=3600).collect()
+    assert sorted((r.k, r.t) for r in retired) == [("a", at(2)), ("b", at(302))]
+
+
 def test_shared_folder_is_demanded_on_a_cluster():
     import pytest
 
