@@ -101,10 +101,11 @@ def py_repr_double(x: Column) -> Column:
 def _py_repr_double(x: Column) -> Column:
     """Python ``repr(float)`` text for a double, built from Java's text.
 
-    Java and Python both print the shortest round-trip digits; they differ
-    only in layout (Java: plain for 1e-3 <= |x| < 1e7, Python: plain for
-    1e-4 <= |x| < 1e16; exponent style ``E-5`` vs ``e-05``).  We rebuild the
-    digit string and decimal exponent and lay them out Python's way.
+    Java's digits give the double back, but before JDK 19 they are not always the
+    fewest (:func:`_fewest_digits` finds those); the layouts differ as well (Java:
+    plain for 1e-3 <= |x| < 1e7, Python: plain for 1e-4 <= |x| < 1e16; exponent
+    style ``E-5`` vs ``e-05``).  We rebuild the digit string and decimal exponent
+    and lay them out Python's way.
     """
     s = x.cast("string")
     neg = s.startswith("-")
@@ -120,6 +121,62 @@ def _py_repr_double(x: Column) -> Column:
     exp = F.when(sci, F.substring_index(a, "E", -1).cast("int") + F.length(ip) - F.lit(1)).when(
         zero_ip, -(fp_lead + F.lit(1))
     ).otherwise(F.length(ip) - F.lit(1))
+    size = F.abs(x)
+    whole = (size >= F.lit(float(2**53))) & (size < F.lit(1e38))
+    exact = F.when(whole, _exact_digits(size))
+    parts = _let(exact, lambda e: F.struct(F.coalesce(F.regexp_replace(e, "0+$", ""), digits).alias("digits"),
+                                           F.coalesce(F.length(e) - F.lit(1), exp).alias("exp"), size.alias("size")))
+    return _let(parts, lambda p: _let(_fewest_digits(p["digits"], p["exp"], p["size"]), lambda d: _laid_out(x, neg, d["digits"], d["exp"])))
+
+
+def _exact_digits(size: Column) -> Column:
+    """All digits of a double from 2^53 to 1e38, which is a whole number: 53 bits
+    times a power of two, multiplied out in decimals.  (Java's digits may be off by
+    one in the last place there.)"""
+    def of(k: Column) -> Column:
+        bits = (size / F.pow(F.lit(2.0), k)).cast("long").cast("decimal(17,0)")
+        twos = [F.pow(F.lit(2.0), n).cast("long").cast("decimal(10,0)") for n in _thirds(k)]
+        return ((bits * twos[0]).cast("decimal(38,0)") * twos[1]).cast("decimal(38,0)") * twos[2]
+
+    power = F.greatest(F.lit(0), F.floor(F.log2(size)).cast("int") - F.lit(53))  # a bit to spare
+    return _let(power, lambda k: F.regexp_replace(of(k).cast("decimal(38,0)").cast("string"), "^0+", ""))
+
+
+def _thirds(k: Column) -> list[Column]:
+    """Three numbers of at most 31 that add up to ``k`` (at most 93)."""
+    first = F.least(k, F.lit(31))
+    second = F.least(k - first, F.lit(31))
+    return [first, second, k - first - second]
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _fewest_digits(digits: Column, exp: Column, size: Column) -> Column:
+    """``(digits, exp)`` of the shortest decimal d.ddd * 10^exp that casts back to
+    ``size``; of two of one length the one nearer to the given digits."""
+    def text(n: Column, d: Column) -> Column:
+        return F.concat(n.cast("string"), F.lit("e"), (exp - d + F.lit(1)).cast("string"))
+
+    def attempt(d: Column) -> Column:
+        low = F.substring(digits, F.lit(1), d).try_cast("long")
+        up = F.substring(digits, d + F.lit(1), F.lit(1)) >= F.lit("5")
+        pair = F.struct(F.when(up, low + 1).otherwise(low).alias("near"), F.when(up, low).otherwise(low + 1).alias("far"))
+        hit = _let(pair, lambda p: F.when(text(p["near"], d).try_cast("double") == size, p["near"]).when(
+            text(p["far"], d).try_cast("double") == size, p["far"]))
+        return _let(hit, lambda h: F.when(h.isNotNull(), F.struct(h.cast("string").alias("n"), d.alias("d"))))
+
+    tries = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(digits), F.lit(17)))), attempt)
+    def chosen(best: Column) -> Column:
+        found = F.struct(F.regexp_replace(best["n"], "0+$", "").alias("digits"), (exp + F.length(best["n"]) - best["d"]).alias("exp"))
+        return F.when((digits == F.lit("")) | best.isNull(), F.struct(digits.alias("digits"), exp.alias("exp"))).otherwise(found)
+
+    return _let(F.get(F.filter(tries, lambda t: t.isNotNull()), 0), chosen)
+
+
+def _laid_out(x: Column, neg: Column, digits: Column, exp: Column) -> Column:
     d_len = F.length(digits)
     fixed_pos = F.when(
         d_len <= exp + F.lit(1), F.concat(F.rpad(digits, exp + F.lit(1), "0"), F.lit(".0"))

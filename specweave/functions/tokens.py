@@ -8,6 +8,10 @@ plain-Python reader would judge it.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +31,8 @@ SPLITS = {"train": "train", "validation": "val", "test": "test"}
 # U+001C..U+001F, NEL U+0085 and the Unicode separator categories Z*.
 WHITESPACE_RX = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
-# One token Python's float() accepts (ASCII digits; underscores removed
-# beforehand).  Possessive quantifiers keep the match linear.
+# One token Python's float() accepts (decimal digits folded to ASCII and
+# underscores removed beforehand).  Possessive quantifiers keep the match linear.
 _NUM = r"[+-]?+(?:(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?+\d++)?+|(?i:inf(?:inity)?|nan))"
 NUMBER_RX = rf"^{_NUM}$"
 # A space-joined run of such tokens (an empty string is not matched).
@@ -47,6 +51,19 @@ def tokens(c: Column | str) -> Column:
     return F.array_remove(F.split(c, WHITESPACE_RX), "")
 
 
+@cache
+def _decimal_digits() -> tuple[str, str]:
+    """Every non-ASCII character that is a decimal digit, and its ASCII digits."""
+    found = [(chr(c), str(d)) for c in range(0x80, sys.maxunicode + 1) if (d := unicodedata.decimal(chr(c), None)) is not None]
+    return "".join(c for c, _ in found), "".join(d for _, d in found)
+
+
+def fold_digits(t: Column) -> Column:
+    """Decimal digits of any script as ASCII ones, as ``float()`` reads them; a
+    text of ASCII is not looked up."""
+    return F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, *_decimal_digits())).otherwise(t)
+
+
 def _cast_number(t: Column) -> Column:
     # Spark's cast rejects a signed NaN, Python accepts it.
     return F.when(F.lower(t).isin("nan", "+nan", "-nan"), F.lit(float("nan"))).otherwise(
@@ -56,7 +73,7 @@ def _cast_number(t: Column) -> Column:
 
 def py_float(token: Column) -> Column:
     """``float(token)`` or NULL where Python would raise ``ValueError``."""
-    cleaned = F.regexp_replace(token, UNDERSCORE_RX, "")
+    cleaned = F.regexp_replace(fold_digits(token), UNDERSCORE_RX, "")
     return F.when(cleaned.rlike(NUMBER_RX), _cast_number(cleaned))
 
 
@@ -71,7 +88,7 @@ def parse_numbers(section: Column) -> Column:
     """
     plain_vals = section.try_cast("array<double>")
     plain = F.translate(F.array_join(section, ""), PLAIN_NUMBER_CHARS, "") == F.lit("")
-    joined = F.regexp_replace(F.array_join(section, " "), UNDERSCORE_RX, "")
+    joined = F.regexp_replace(fold_digits(F.array_join(section, " ")), UNDERSCORE_RX, "")
     empty = F.size(section) == 0
     slow_ok = joined.rlike(NUMBER_RUN_RX)
     values = (

@@ -83,3 +83,41 @@ def test_py_repr_double_normal_range(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     rows = df.select("x", py_repr_double(F.col("x")).alias("r")).collect()
     assert [r.r for r in rows] == [repr(r.x) for r in rows]
+
+
+def test_repr_of_random_doubles_is_exact(spark):
+    """Fewest digits that cast back, also beyond 1e16 and for subnormals."""
+    import random
+    import struct
+
+    from specweave.functions.spectra import py_repr_double
+
+    rng = random.Random(11)
+    values = [struct.unpack("<d", rng.getrandbits(64).to_bytes(8, "little"))[0] for _ in range(80_000)]
+    values += [rng.getrandbits(52) * 5e-324 * (-1) ** i for i in range(20_000)]  # subnormals
+    values += [float(i) * 5e-324 for i in range(2000)] + [rng.random() * 10 ** rng.randint(14, 25) for _ in range(10_000)]
+    values += [float(2**i) for i in range(1024)] + [10.0**i for i in range(-323, 309)] + [2e23, 1e23, 9.5e-310, 1.7976931348623157e308, 0.0, -0.0, 9999999999999998.0]
+    values = [v for v in values if v == v]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", py_repr_double(F.col("x")).alias("t"))
+    wrong = [(r.x, r.t) for r in df.collect() if r.t != repr(r.x)]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
+def test_decimal_digits_of_all_scripts(spark):
+    import sys
+    import unicodedata
+
+    texts = [chr(c) + "." + chr(c) for c in range(sys.maxunicode + 1) if unicodedata.decimal(chr(c), None) is not None]
+    texts += ["١٢٣", "-١_٠e٢", "１２．５", "٣.x", "²", "Ⅷ", "٫٥", "١_", "𝟙𝟚", "+𝟎.𝟓E-𝟏", "中"]
+
+    def parsed(t):
+        try:
+            return float(t)
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", T.py_float(F.col("t")).alias("x"), T.parse_numbers(F.array(F.lit("1"), F.col("t"))).alias("s")).collect()
+    for r in got:
+        want = parsed(r.t)
+        assert r.x == want and r.s.ok == (want is not None) and r.s["values"] == (None if want is None else [1.0, want]), r
