@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +35,26 @@ def get_spark(master: str | None = None, app: str = "specweave",
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session's cluster, once: a
+    small archive that Spark hands to them, so they need neither the driver's
+    working folder nor an installation.  (Nothing to do where the package comes from
+    such an archive itself.)"""
+    context, here = spark.sparkContext, Path(__file__).parent
+    if getattr(context, "_specweave_shipped", False) or not here.is_dir():
+        return
+    modules = sorted(here.rglob("*.py"))
+    digest = hashlib.sha256(b"".join(m.read_bytes() for m in modules)).hexdigest()[:16]
+    folder = tempfile.mkdtemp(prefix="specweave-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = f"{folder}/specweave-{digest}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for m in modules:
+            z.write(m, m.relative_to(here.parent))
+    context.addPyFile(archive)
+    context._specweave_shipped = True
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.runs import order_number, run_lengths
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from ..sources import fs
 
 SEGMENTS = "key_id string, batch long, dated boolean, first long, last long, head long, whole boolean, tail long, at timestamp"
@@ -153,7 +153,8 @@ def consecutive_runs_stream(spark: SparkSession, path: str, key: str, order: str
     kinds = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in (key, order))
     if not fs.list_names(spark, f"{root}/segments"):
         return spark.createDataFrame([], f"{kinds}, run_length long")
-    segments = spark.readStream.schema(SEGMENTS).parquet(f"{root}/segments/*")
+    segments = spark.readStream.schema(SEGMENTS).option("recursiveFileLookup", "true").parquet(f"{root}/segments")
+    ship_package(spark)
     micros, timeout = None, GroupStateTimeout.NoTimeout
     if retire_after_seconds is not None:
         segments = segments.withWatermark("at", f"{retire_after_seconds} seconds")
@@ -166,7 +167,7 @@ def consecutive_runs_stream(spark: SparkSession, path: str, key: str, order: str
     if late:
         raise LateSampleError(_late_text(late[0], schema[order].dataType))
     certain = spark.read.schema(f"{kinds}, run_length long").parquet(f"{root}/out").select(key, order, "run_length")
-    heads = spark.read.schema(f"{kinds}, key_id string, i long, batch long").parquet(f"{root}/heads/*")
+    heads = spark.read.schema(f"{kinds}, key_id string, i long, batch long").option("recursiveFileLookup", "true").parquet(f"{root}/heads")
     fired = heads.join(decisions.select("key_id", "batch", "i"), ["key_id", "batch", "i"])
     return certain.unionByName(fired.select(key, order, F.lit(n).cast("long").alias("run_length")))
 
