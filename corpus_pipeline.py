@@ -3,8 +3,9 @@
 Each stage reads what its predecessor kept (Parquet) and calls one operator of
 ``specweave.llm``. All but the last return the columns of documents.
 
-  language ID        documents without a recognised language go; a missing
-                     ``lang`` is filled in
+  language ID        documents without a recognised language go, and those whose
+                     leading language has under MIN_LANGUAGE_SCORE of their
+                     letters; a missing ``lang`` is filled in
   near duplicates    one document of each SimHash group stays (smallest doc_id)
   decontamination    documents that hold a benchmark item, edited or not, go
   PII                personal data is replaced by placeholders, ``n_chars`` follows
@@ -22,6 +23,7 @@ from specweave.llm import decontaminate, langid, packing, pii, simhash
 from specweave.llm.common import like, table
 from specweave.llm.queries import tokenizer_path
 from specweave.session import scratch_path
+from specweave.sources import fs
 
 #: Least share of a document's letters in its leading language.
 MIN_LANGUAGE_SCORE = 0.2
@@ -65,10 +67,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each result is written to the
-    shared folder and read back."""
-    docs = table(spark, sf_dir, "documents")
+    shared folder and read back, and removed once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
-        docs = spark.read.parquet(path)
+        if before:  # its successor is written
+            fs.delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
