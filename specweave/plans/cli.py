@@ -20,6 +20,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from ..operators.enrich import store_reference, stored_buckets
 from . import jobs
 
 
@@ -30,6 +31,11 @@ def _session(checkpoint_dir: str | None) -> SparkSession:
     return builder.getOrCreate()
 
 
+def _reference(spark: SparkSession, path: str):
+    """A stored reference by its folder, any other Parquet table as a frame."""
+    return path if stored_buckets(spark, path) else spark.read.parquet(path)
+
+
 def _pairs(items: list[str], conv) -> dict:
     out = {}
     for item in items:
@@ -38,6 +44,7 @@ def _pairs(items: list[str], conv) -> dict:
     return out
 
 
+# Flag names and defaults of the original converters are kept.
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="specweave", description="Aligned-spectra preparation on Spark")
     p.add_argument("--checkpoint-dir", default=None, help="folder shared by the driver and all executors (spark.checkpoint.dir)")
@@ -66,6 +73,11 @@ def build_parser() -> argparse.ArgumentParser:
     m.add_argument("--line-index", default=None, help="folder that keeps line counts of the text files for later runs")
     m.add_argument("--rejects", default=None, help="quarantine failing lines in this folder instead of failing")
 
+    r = sub.add_parser("store-reference", help="write a molecule reference bucketed by SMILES, for several conversions")
+    r.add_argument("--molecule-ref", required=True, help="Parquet table (smiles, canonical_smiles, fingerprint, formula)")
+    r.add_argument("--output-dir", required=True)
+    r.add_argument("--buckets", type=int, required=True)
+
     sh = sub.add_parser("stage-hcir", help="convert if needed, verify, stage eval set, write READY (J3)")
     sh.add_argument("--source-view", required=True)
     sh.add_argument("--full-dir", required=True)
@@ -96,17 +108,20 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "msms":
         expected = {s: getattr(args, f"expected_{s}_molecules") for s in ("train", "validation", "test")}
         bits = {"type": args.fingerprint_type, "radius": args.fingerprint_radius}
-        result = jobs.convert_msms(spark, args.source_view, args.output_dir, spark.read.parquet(args.molecule_ref),
+        result = jobs.convert_msms(spark, args.source_view, args.output_dir, _reference(spark, args.molecule_ref),
                                    args.max_molecules, expected, args.manifest,
                                    fingerprint={k: v for k, v in bits.items() if v is not None},
                                    on_error="quarantine" if args.rejects else "fail", rejects=args.rejects, line_index=args.line_index)
+    elif args.command == "store-reference":
+        store_reference(spark.read.parquet(args.molecule_ref), args.output_dir, args.buckets)
+        result = {"reference": args.output_dir, "buckets": args.buckets}
     elif args.command == "stage-hcir":
         result = jobs.stage_hcir(spark, args.source_view, args.full_dir, args.eval_dir,
                                  _pairs(args.expected, int), args.eval_rows, args.expected_ir_length)
     else:
         expected = _pairs(args.expected, lambda v: tuple(int(x) for x in v.split(":")))
         result = jobs.stage_msms(spark, args.source_view, args.full_dir, args.eval_dir,
-                                 spark.read.parquet(args.molecule_ref), expected, args.eval_rows, args.manifest)
+                                 _reference(spark, args.molecule_ref), expected, args.eval_rows, args.manifest)
     print(json.dumps(result, indent=2, sort_keys=True))
     return 0
 

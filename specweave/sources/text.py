@@ -227,7 +227,7 @@ def read_aligned(spark: SparkSession, view: str, *args, **kwargs) -> DataFrame:
 
 
 def read_aligned_spans(spark: SparkSession, view: str, splits=None, max_molecules: int = 0,
-                       with_target: Callable[[DataFrame], DataFrame] | None = None, ranges: dict[str, Range] | None = None,
+                       with_target: Callable[[DataFrame, int], DataFrame] | None = None, ranges: dict[str, Range] | None = None,
                        index: LineIndex | None = None, only: Column | None = None) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
     """A1: ``(split, line_number, source, target)`` for all splits of a view,
     in line order, and the first and last line of each split that is read.
@@ -237,8 +237,8 @@ def read_aligned_spans(spark: SparkSession, view: str, splits=None, max_molecule
     line N+1 and lines up to N are parsed.  ``ranges`` names the lines of each
     split to read instead (splits it leaves out are not read).  Either way, files
     without such lines are skipped.  ``only`` is a predicate on split and line
-    number, ``with_target`` may add columns to the target lines; both come before
-    the shuffle.
+    number, ``with_target`` may add columns to the target lines, whose number (at
+    most) it is told; both come before the shuffle.
     """
     if ranges is None and max_molecules:
         ranges = {s: (1, max_molecules + 1) for s in splits or SPLITS}
@@ -252,7 +252,7 @@ def read_aligned_spans(spark: SparkSession, view: str, splits=None, max_molecule
     if only is not None:
         src, tgt = src.where(only), tgt.where(only)
     if with_target is not None:
-        tgt = with_target(tgt)
+        tgt = with_target(tgt, sum(max(0, high - low + 1) for low, high in spans.values()))
     return align_lines(src, tgt, spans, partitions_for(spark, src_bytes + tgt_bytes)), spans
 
 

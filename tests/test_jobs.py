@@ -216,5 +216,34 @@ def test_hot_molecule_in_a_sorted_join(spark):
     assert d.where("error IS NULL").count() == lines.count() and d.where(F.col("smiles") == hot).count() >= lines.count() // 4
 
 
+def test_stored_reference_is_not_exchanged(spark, tmpdir_path):
+    """Bucketed by SMILES: one exchange (of the lines); a hot SMILES by broadcast;
+    the same conversion."""
+    from specweave.operators import enrich as EN
+
+    ref, path = FX.molecule_ref(spark, SF001), os.path.join(tmpdir_path, "ref")
+    EN.store_reference(ref, path, 6)
+    assert EN.stored_buckets(spark, path) == 6 and EN.open_reference(spark, path).count() == ref.count()
+    with pytest.raises(FileExistsError):
+        EN.store_reference(ref, path, 6)
+    lines = V.msms_valid_lines(spark, SF001).select("split", "line_number", F.regexp_replace("target", " ", "").alias("key"))
+    plan = EN.attach_reference(lines, EN.open_reference(spark, path).hint("merge"), "key")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    assert "hashpartitioning(smiles" not in plan.replace("_ref_smiles", "smiles") and plan.count("Exchange hashpartitioning(key") == 1
+    hot = ref.orderBy("smiles").first()["smiles"]
+    many = lines.withColumn("key", F.when(F.col("line_number") % 3 == 0, F.lit(hot)).when(F.col("line_number") % 50 == 1, F.lit(None)).otherwise(F.col("key")))
+    got = EN.attach_stored_reference(many, path, "key", many.count())
+    assert [r.smiles for r in EN.hot_smiles(many, "key", 1 / 24, many.count()).collect()] == [hot]
+    want = EN.attach_reference(many, ref, "key")
+    columns = ["split", "line_number", "key", "_canonical", "ref_formula", "_known"]
+    assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(map(tuple, want.select(columns).collect()), key=str)
+    root = os.path.join(tmpdir_path, "payload")
+    view = os.path.join(root, "opennmt", "VIEW")
+    write_text_view(V.msms_valid_lines(spark, SF001), view)
+    open(os.path.join(root, "manifest.json"), "w").write("{}")
+    s = J.convert_msms(spark, view, os.path.join(tmpdir_path, "out"), path)
+    assert s["total_spectra"] == 1623 and sum(v["counts"].get("formula_mismatches", 0) for v in s["splits"].values()) == 7
+
+
 def test_throughput():
     assert J.throughput(10, 2.0) == 5.0 and J.throughput(3, 0.0) == 3e9
