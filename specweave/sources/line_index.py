@@ -69,7 +69,7 @@ class LineIndex:
     @staticmethod
     def open(spark: SparkSession, folder: str | None = None) -> LineIndex:
         """The index in ``folder``; without one, that of this process."""
-        key = folder or f"process {spark.sparkContext.applicationId}"
+        key = f"{spark.sparkContext.applicationId} {folder or ''}"
         if key not in _OPEN or not (folder or fs.exists(spark, _OPEN[key].folder)):
             made = folder or scratch_path(spark, "line-index")
             fs.mkdirs(spark, made)
