@@ -241,8 +241,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         vectors: dict[int, dict[int, int]] = {h[0]: {} for h in heads}
         if terms:
             named = docs.sparkSession.createDataFrame([(t, i) for t, i in number.items()], "terms string, term int")
-            for r in each.join(F.broadcast(named), "terms").select("example", "term", "counts").toLocalIterator():
-                vectors[r["example"]][r["term"]] = r["counts"]
+            found = each.join(F.broadcast(named), "terms").select("example", "term", "counts").toArrow()  # numbers, bounded as the index
+            for example, term, n in zip(*[found.column(i).to_numpy().tolist() for i in range(3)], strict=True):
+                vectors[example][term] = n
     ids, toxic = np.array([h[1] for h in heads], np.int64), np.array([h[2] for h in heads], np.int64)
     model = Model(number, idf, ids, toxic, BlockMaxIndex([], 0), np.zeros(1), np.full(1, float(ones > 0)))
     if not ones or not zeros:
