@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -61,6 +62,7 @@ _OPEN: dict[str, LineIndex] = {}
 class LineIndex:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.lasting = True
         self._lines: dict[tuple[str, int, int], int] = {}
         if fs.exists(spark, f"{self.folder}/files"):
             for r in spark.read.parquet(f"{self.folder}/files").collect():  # as many rows as files counted
@@ -74,6 +76,7 @@ class LineIndex:
             made = folder or scratch_path(spark, "line-index")
             fs.mkdirs(spark, made)
             _OPEN[key] = LineIndex(spark, made)
+            _OPEN[key].lasting = bool(folder)
         return _OPEN[key]
 
     # --- counts of files
@@ -83,23 +86,24 @@ class LineIndex:
         new = [f for f in files if f.stamp not in self._lines]
         if new:
             raw = self.spark.read.text([f.path for f in new]).select(F.col("_metadata.file_path").alias("_file"))
-            self.learn(new, raw.groupBy("_file").agg(F.count(F.lit(1)).alias("lines")))
+            self.learn(new, {r["_file"]: r["lines"] for r in raw.groupBy("_file").agg(F.count(F.lit(1)).alias("lines")).collect()})
         return [self._lines[f.stamp] for f in files]
 
-    def learn(self, files: list[TextFile], counted: DataFrame) -> None:
-        """Keep the counts ``(_file, lines)`` of ``files``; one that is not in
-        ``counted`` has no line."""
+    def learn(self, files: list[TextFile], counted: dict[str, int]) -> None:
+        """Keep the line counts of ``files``, by path as in ``_metadata.file_path``; one
+        that is not in ``counted`` has no line."""
         from .text import URI_PREFIX_RX
 
         new = [f for f in files if f.stamp not in self._lines]
         if not new:
             return
-        got = {r["key"]: int(r["lines"]) for r in counted.select(F.regexp_replace("_file", URI_PREFIX_RX, "").alias("key"), "lines").collect()}
+        got = {re.sub(URI_PREFIX_RX, "", path): int(n) for path, n in counted.items()}
         for f in new:
             self._lines[f.stamp] = got.get(f.key, 0)
-        rows = [(*f.stamp, self._lines[f.stamp]) for f in new]
-        table = self.spark.createDataFrame(rows, "file string, size long, modified long, lines long")
-        table.coalesce(1).write.mode("append").parquet(f"{self.folder}/files")
+        if self.lasting:  # the scratch folder of a process is read by no other
+            rows = [(*f.stamp, self._lines[f.stamp]) for f in new]
+            table = self.spark.createDataFrame(rows, "file string, size long, modified long, lines long")
+            table.coalesce(1).write.mode("append").parquet(f"{self.folder}/files")
 
     def holding(self, files: list[TextFile], low: int, high: int | None) -> tuple[list[TextFile], int]:
         """The files of one input that hold lines ``low`` to ``high`` (None: to the

@@ -138,8 +138,9 @@ def line_groups(spark: SparkSession, groups: dict[str, str], value_col: str = "v
     if not fs.exists(spark, f"{kept}/_SUCCESS"):
         chunk_offsets(raw, "_row", ["group"]).write.mode("overwrite").option("compression", "zstd").parquet(kept)
     offsets = spark.read.parquet(kept)
-    index.learn([f for g in names for f in files[g]], offsets.groupBy("_file").agg(F.sum("_n").alias("lines")))
-    for r in offsets.groupBy("group").agg(F.sum("_n").alias("n")).collect():
+    counts = offsets.groupBy("group", "_file").agg(F.sum("_n").alias("n")).collect()  # a row per file, as in the listing
+    index.learn([f for g in names for f in files[g]], {r["_file"]: r["n"] for r in counts})
+    for r in counts:
         lines[r["group"]] += int(r["n"])
     numbered = number_chunks(raw, offsets, "_row").select("group", "line_number", value_col)
     if ranges:

@@ -33,7 +33,7 @@ def formatted(df) -> str:
     scans = [b.strip() for b in details.split("\n\n") if re.match(r"\(\d+\) Scan", b.strip())]
     keep = []
     for b in scans:
-        lines = [ln for ln in b.splitlines() if ln.startswith(("(", "ReadSchema", "PushedFilters", "PartitionFilters"))]
+        lines = [ln for ln in b.splitlines() if ln.startswith(("(", "ReadSchema", "PushedFilters", "PartitionFilters", "PushedAggregation", "PushedGroupBy"))]
         keep.append("\n".join(ln[:160] for ln in lines))
     return tree.strip() + "\n\n" + "\n\n".join(keep)
 
@@ -53,15 +53,17 @@ def main() -> None:
         "E8 first 10 mismatches per split (rank filter)": M.mismatch_examples(V.msms(spark, sf).where(F.col("error").isNull())),
         "W1 consecutive runs (bucketed segmented scan)": consecutive_runs(FX.metric_samples(spark, sf), "user_id", "event_id",
                                                                           F.col("value") <= 20, 3),
-        "A10 row counts (no column read)": PQ.row_counts(spark, out),
         "F2 first rows of a written split (only the needed files)": PQ.first_rows(spark, f"{out}/split=test", 16),
     }
+    with PQ._footer_aggregates(spark):  # planned while the footers' source is on
+        counted = formatted(PQ.footer_counts(PQ.read_path(spark, out), "split"))
     parts = ["# Physical plans of the key operators\n",
              f"Generated by `tools/explain_plans.py` at `{sf}` (local session, AQE on; before execution,",
              "so AQE's runtime broadcast/coalesce decisions are not shown). Scan details list ReadSchema and",
              "pushed filters only.\n"]
     for title, df in plans.items():
         parts.append(f"## {title}\n\n```\n{formatted(df)}\n```\n")
+    parts.append(f"## A10 row counts (answered by footers)\n\n```\n{counted}\n```\n")
     path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "docs", "plans.md")
     with open(path, "w") as f:
         f.write("\n".join(parts))
