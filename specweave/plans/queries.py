@@ -96,7 +96,7 @@ def _msms_staged(spark: SparkSession, sf: str) -> str:
     def make():
         root = scratch_path(spark, "msms-clean")
         view = f"{root}/opennmt/VIEW"
-        valid = V.msms_valid(spark, sf).where(~F.col("formula_mismatch")).drop("line_number")
+        valid = V.msms_valid(spark, sf, ["source", "target", "formula_mismatch"]).where(~F.col("formula_mismatch")).drop("line_number")
         clean = number_rows(valid, ["split"], "source_line", materialize=True).select("split", "line_number", "source", "target")
         write_text_view(clean, view)
         fs.write_text(spark, f"{root}/manifest.json", '{"tables": ["lineitem", "orders"]}\n')
@@ -258,7 +258,7 @@ def q_smiles_join(spark, sf):
 
 
 def _msms_ordered_lines(spark, sf):
-    from ..functions.spectra import pair_peaks
+    from ..functions.spectra import pair_peaks, pair_values, plain_values
     from ..functions.staging import stage
 
     lines = FX.msms_lines(spark, sf).where(F.col("source").isNotNull())
@@ -270,29 +270,28 @@ def _msms_ordered_lines(spark, sf):
         c = pos[a] < pos[b]
         ok = c if ok is None else ok & c
     nxt = {"E10Pos": "E20Pos", "E20Pos": "E40Pos", "E40Pos": "IR"}
-    return stage(t.where(ok), **{
-        f"_pk_{m}": pair_peaks(T.section(F.col("_t"), pos[m], pos[nxt[m]])) for m in T.ENERGY_MARKERS})
+    t = stage(t.where(ok), **{f"_s_{m}": T.section(F.col("_t"), pos[m], pos[nxt[m]]) for m in T.ENERGY_MARKERS})
+    t = stage(t, **{f"_v_{m}": plain_values(F.col(f"_s_{m}")) for m in T.ENERGY_MARKERS})
+    return stage(t, **{f"_pk_{m}": F.coalesce(pair_values(F.col(f"_v_{m}"), F.col(f"_s_{m}")), pair_peaks(F.col(f"_s_{m}"))) for m in T.ENERGY_MARKERS})
 
 
-def q_peak_pairs(spark, sf):
-    t = _msms_ordered_lines(spark, sf)
-    parts = [t.select("split", "line_number", F.lit(m).alias("energy"), F.posexplode(f"_pk_{m}").alias("peak_idx", "p"))
-             for m in T.ENERGY_MARKERS]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+def _peak_rows(t: DataFrame, peaks: Callable[[Column], Column]) -> DataFrame:
+    """One row per energy and peak of ordered lines, in one pass over them."""
+    spectra = F.array(*[F.struct(F.lit(m).alias("energy"), peaks(F.col(f"_pk_{m}")).alias("peaks")) for m in T.ENERGY_MARKERS])
+    u = t.select("split", "line_number", F.inline(spectra)).select(
+        "split", "line_number", "energy", F.posexplode("peaks").alias("peak_idx", "p"))
     return u.select("split", "line_number", "energy", _long("peak_idx").alias("peak_idx"),
                     _long(F.col("p.mz")).alias("mz"), _long(F.col("p.intensity")).alias("intensity"))
 
 
+def q_peak_pairs(spark, sf):
+    return _peak_rows(_msms_ordered_lines(spark, sf), lambda peaks: peaks)
+
+
 def q_positive_peaks(spark, sf):
     from ..functions.spectra import positive_peaks
 
-    t = _msms_ordered_lines(spark, sf)
-    parts = [t.select("split", "line_number", F.lit(m).alias("energy"),
-                      F.posexplode(positive_peaks(F.col(f"_pk_{m}"))).alias("peak_idx", "p"))
-             for m in T.ENERGY_MARKERS]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.select("split", "line_number", "energy", _long("peak_idx").alias("peak_idx"),
-                    _long(F.col("p.mz")).alias("mz"), _long(F.col("p.intensity")).alias("intensity"))
+    return _peak_rows(_msms_ordered_lines(spark, sf), positive_peaks)
 
 
 def q_zero_peaks_removed(spark, sf):

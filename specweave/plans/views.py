@@ -38,16 +38,19 @@ def msms(spark: SparkSession, sf: str) -> DataFrame:
     return R.with_alignment_error(parsed, "msms")
 
 
-def msms_valid(spark: SparkSession, sf: str) -> DataFrame:
-    """Valid MS/MS molecules renumbered densely by line (``line_number``)."""
+def msms_valid(spark: SparkSession, sf: str, columns: list[str] | None = None) -> DataFrame:
+    """Valid MS/MS molecules renumbered densely by line (``line_number``); of
+    ``columns`` only the named ones are written for the numbering."""
     v = msms(spark, sf).where(F.col("error").isNull()).withColumnRenamed("line_number", "source_line")
+    if columns is not None:
+        v = v.select("split", "source_line", *columns)
     return number_rows(v, ["split"], "source_line", materialize=True)
 
 
 def msms_valid_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The valid MS/MS lines as a dense ``(split, line_number, source, target)`` view."""
     lines = FX.msms_lines(spark, sf).withColumnRenamed("line_number", "source_line")
-    keep = msms_valid(spark, sf).select("split", "source_line", "line_number")
+    keep = msms_valid(spark, sf, []).select("split", "source_line", "line_number")
     return lines.join(keep, ["split", "source_line"]).select("split", "line_number", "source", "target")
 
 
