@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tokens import PLAIN_NUMBER_CHARS, all_present, py_float
+from .tokens import all_present, plain_decimals, py_float
 
 PEAK_TYPE = "array<struct<mz:double,intensity:double>>"
 
@@ -48,11 +48,9 @@ def plain_values(toks: Column) -> Column:
 
     Over the characters ``0-9 . e E + -`` Spark's cast and Python's
     ``float()`` accept exactly the same tokens with the same value, so a
-    plain cast decides without any regex.
+    plain cast decides.
     """
-    vals = toks.try_cast("array<double>")
-    plain = F.translate(F.array_join(toks, ""), PLAIN_NUMBER_CHARS, "") == F.lit("")
-    return F.when(plain, vals)
+    return F.when(plain_decimals(toks), toks.try_cast("array<double>"))
 
 
 def pair_values(vals: Column, toks: Column) -> Column:

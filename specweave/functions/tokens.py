@@ -31,6 +31,10 @@ SPLITS = {"train": "train", "validation": "val", "test": "test"}
 # U+001C..U+001F, NEL U+0085 and the Unicode separator categories Z*.
 WHITESPACE_RX = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
+# A character that is neither the space nor visible ASCII: a line without one is
+# split at its spaces (one range, so the test costs little).
+NOT_VISIBLE_RX = "[^ -~]"
+
 # One token Python's float() accepts (decimal digits folded to ASCII and
 # underscores removed beforehand).  Possessive quantifiers keep the match linear.
 _NUM = r"[+-]?+(?:(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?+\d++)?+|(?i:inf(?:inity)?|nan))"
@@ -39,7 +43,7 @@ NUMBER_RX = rf"^{_NUM}$"
 NUMBER_RUN_RX = rf"^{_NUM}(?: {_NUM})*+$"
 # Characters of a plain decimal token.  Over this alphabet Spark's cast and
 # Python's float() accept the same strings (no d/f suffixes, hex, words).
-PLAIN_NUMBER_CHARS = "0123456789.eE+-"
+NOT_PLAIN_RX = "[^0123456789.eE+-]"
 # Python allows one underscore between two digits.
 UNDERSCORE_RX = r"(?<=\d)_(?=\d)"
 
@@ -47,8 +51,10 @@ UNDERSCORE_RX = r"(?<=\d)_(?=\d)"
 def tokens(c: Column | str) -> Column:
     """``str.split()``: split on any Unicode whitespace and drop empties."""
     c = F.col(c) if isinstance(c, str) else c
+    # Lines of visible ASCII and spaces are split without a regex.
+    parts = F.when(c.rlike(NOT_VISIBLE_RX), F.split(c, WHITESPACE_RX)).otherwise(F.split(c, " "))
     # array_remove (not a lambda filter) keeps the stage in whole-stage codegen.
-    return F.array_remove(F.split(c, WHITESPACE_RX), "")
+    return F.array_remove(parts, "")
 
 
 @cache
@@ -82,12 +88,12 @@ def parse_numbers(section: Column) -> Column:
 
     Returns a struct ``(ok boolean, values array<double>)``; ``ok`` is false
     when any token is not a Python float (``values`` is then NULL).
-    Common case without a regex: if every character is a plain decimal
-    character, a cast decides.  Otherwise (inf, nan, underscores, junk)
+    Common case: if every character is a plain decimal character, a cast
+    decides.  Otherwise (inf, nan, underscores, junk)
     the whole section is checked by one regex after underscore removal.
     """
     plain_vals = section.try_cast("array<double>")
-    plain = F.translate(F.array_join(section, ""), PLAIN_NUMBER_CHARS, "") == F.lit("")
+    plain = plain_decimals(section)
     joined = F.regexp_replace(fold_digits(F.array_join(section, " ")), UNDERSCORE_RX, "")
     empty = F.size(section) == 0
     slow_ok = joined.rlike(NUMBER_RUN_RX)
@@ -104,6 +110,11 @@ def parse_numbers(section: Column) -> Column:
     )), 0)
 
 
+def plain_decimals(section: Column) -> Column:
+    """Whether the tokens hold characters of plain decimals only."""
+    return ~F.array_join(section, "").rlike(NOT_PLAIN_RX)
+
+
 def all_present(arr: Column) -> Column:
     """No NULL element (without a lambda, so it stays code-generated)."""
     return F.size(F.array_compact(arr)) == F.size(arr)

@@ -242,9 +242,12 @@ def _msms_stages(source: str, target: str) -> list:
             f"_p_{m}": F.coalesce(S.pair_values(F.col(f"_v_{m}"), F.col(f"_s_{m}")), S.pair_peaks(F.col(f"_s_{m}")))
             for m in T.ENERGY_MARKERS
         }),
-        ("stage", {
-            # the raw error is bound once (lambda) and its message rendered in place
-            "error": F.get(F.transform(F.array(error), _finish), 0),
+        # The raw error is a column of its own, so that its rules are compiled; its
+        # message is rendered from it.
+        ("stage", {"_raw": error}),
+        ("stage", {"error": _finish(F.col("_raw"))}),
+        # not staged: a query that needs no peaks does not compute them
+        ("columns", {
             "zero_peaks": zero,
             **{f"peaks_{m}": S.positive_peaks(F.col(f"_p_{m}")) for m in T.ENERGY_MARKERS},
         }),
@@ -259,7 +262,7 @@ def parse_msms(df: DataFrame, source: str = "source", target: str = "target") ->
     """
     stages = _cached_stages(("msms", source, target), lambda: _msms_stages(source, target))
     out = _apply(df, stages)
-    return out.drop("_tok", "_pos", *[f"_s_{m}" for m in T.ENERGY_MARKERS],
+    return out.drop("_tok", "_pos", "_raw", *[f"_s_{m}" for m in T.ENERGY_MARKERS],
                     *[f"_v_{m}" for m in T.ENERGY_MARKERS], *[f"_p_{m}" for m in T.ENERGY_MARKERS])
 
 

@@ -74,20 +74,25 @@ def _intensity(discount: Column) -> Column:
 
 
 def msms_peak_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order: the three peak sections as text (NULL when the flag is absent)."""
+    """Per order: the three peak sections as text (NULL when the flag is absent).
+
+    The line items are dealt by order first: an order has few of them, far apart, so
+    partial lists before the exchange would only be sorted and written twice.  One
+    list per order holds all its peaks, with their texts.
+    """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_discount", "l_returnflag")
-    peak = F.struct((F.col("l_partkey") + 1).alias("mz"), _intensity(F.col("l_discount")).alias("it"))
-    aggs = []
-    for flag, marker in (("A", "E10Pos"), ("N", "E20Pos"), ("R", "E40Pos")):
-        aggs.append(F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == flag, peak))).alias(marker))
-    per_order = li.groupBy("l_orderkey").agg(*aggs)
-    cols = [F.col("l_orderkey")]
-    for marker in ("E10Pos", "E20Pos", "E40Pos"):
-        txt = F.array_join(
-            F.transform(marker, lambda p: F.concat(p["mz"].cast("string"), F.lit(" "), p["it"].cast("string"))), " "
-        )
-        cols.append(F.when(F.size(marker) > 0, F.concat(F.lit(marker + " "), txt)).alias(marker))
-    return per_order.select(*cols)
+    sections = (("A", "E10Pos"), ("N", "E20Pos"), ("R", "E40Pos"))
+    mz, it = F.col("l_partkey") + 1, _intensity(F.col("l_discount"))
+    peak = F.struct(F.col("l_returnflag").alias("flag"), mz.alias("mz"), it.alias("it"),
+                    F.concat(mz.cast("string"), F.lit(" "), it.cast("string")).alias("text"))
+    peak = F.when(F.col("l_returnflag").isin([flag for flag, _ in sections]), peak)
+    dealt = li.repartition("l_orderkey").select("l_orderkey", peak.alias("peak"))
+    per_order = dealt.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("peak")).alias("peaks"))
+    per_order = per_order.select(
+        "l_orderkey", *[F.filter("peaks", lambda p: p["flag"] == F.lit(flag)).alias(marker) for flag, marker in sections])  # noqa: B023  called at once
+    return per_order.select("l_orderkey", *[
+        F.when(F.size(marker) > 0, F.concat(F.lit(marker + " "), F.array_join(F.col(marker)["text"], " "))).alias(marker)
+        for _, marker in sections])
 
 
 def _order_line(key: Column) -> tuple[Column, Column]:
