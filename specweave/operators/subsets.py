@@ -31,7 +31,8 @@ def explode_energies(df: DataFrame) -> DataFrame:
         for m in ENERGY_MARKERS
     ])
     cols = [c for c in df.columns if not c.startswith("peaks_")]
-    return df.select(*cols, F.posexplode(entries).alias("energy_ord", "_e")).select(
+    # built in a projection, which is compiled; a generator with a lambda function is not
+    return df.select(*cols, entries.alias("_entries")).select(*cols, F.posexplode("_entries").alias("energy_ord", "_e")).select(
         *cols, "energy_ord", F.col("_e.energy").alias("energy"), F.col("_e.spectrum").alias("spectrum")
     )
 

@@ -48,13 +48,12 @@ def _ir_text(c: Column) -> Column:
 
 
 def _spectrum_text(c: Column) -> Column:
-    return F.array_join(
-        F.transform(c, lambda p: F.concat(F.get(p, 0).cast("long").cast("string"), F.lit(":"),
-                                          F.get(p, 1).cast("long").cast("string"))), " ")
+    texts = c.cast("array<array<bigint>>").cast("array<array<string>>")
+    return F.array_join(F.transform(texts, lambda p: F.concat(F.get(p, 0), F.lit(":"), F.get(p, 1))), " ")
 
 
 def _bits(c: Column) -> Column:
-    return F.array_join(F.transform(c, lambda b: b.cast("string")), "")
+    return F.array_join(c.cast("array<string>"), "")
 
 
 # --------------------------------------------------------------------------- file-backed runs
